@@ -589,7 +589,8 @@ STATEMENTS: dict[str, str] = {
     + " AS finished_share FROM orders GROUP BY o_orderpriority",
     "share_within_rank": "SELECT o_orderpriority, o_orderstatus, count(*) AS order_count, "
     f"{percent('count(*)', 'sum(count(*)) OVER (PARTITION BY o_orderpriority)', 2)} AS share_within, "
-    "dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC) AS rank_within FROM orders GROUP BY ALL",
+    "dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC) AS rank_within FROM orders "
+    "GROUP BY o_orderpriority, o_orderstatus",
     "sequence_daily_events": "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS event_count, "
     f"{rounded('avg(value)', 2)} AS mean_value FROM events GROUP BY day) "
     "SELECT strftime(day, '%Y-%m-%d') AS event_date, row_number() OVER w AS day_number, event_count, mean_value, "
@@ -597,11 +598,11 @@ STATEMENTS: dict[str, str] = {
     f"{rounded('avg(mean_value) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 2)} AS smoothed_value, "
     f"{percent('sum(event_count) OVER w', 'sum(event_count) OVER ()', 1)} AS cumulative_share "
     "FROM d WINDOW w AS (ORDER BY day)",
-    "location_quotient": "WITH s AS (SELECT c_nationkey, count(*) AS total_orders, "
+    "location_quotient": "WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS total_orders, "
     "count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS segment_orders, "
     "count(*) FILTER (WHERE o_totalprice >= 400000) AS total_large, "
     "count(*) FILTER (WHERE o_totalprice >= 400000 AND c_mktsegment = 'BUILDING') AS segment_large "
-    "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) SELECT *, "
+    "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY customer.c_nationkey) SELECT *, "
     f"{rounded('segment_large * total_orders / nullif(total_large * segment_orders, 0)', 4)} AS quotient FROM s",
     "quartile_cohorts": "WITH p AS (SELECT o_orderpriority, round(o_totalprice) AS price FROM orders), "
     f"b AS (SELECT {quantile('price', 0.25)} AS q1, {quantile('price', 0.75)} AS q3 FROM p) "

@@ -29,10 +29,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 _warehouses: dict[tuple, Warehouse] = {}
 
 
+def _stamp(spark: SparkSession, path: str) -> int:
+    """Modification time of a table, so that replaced input is loaded anew."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getFileStatus(location).getModificationTime()
+
+
 def warehouse(spark: SparkSession, directory: str) -> Warehouse:
     """The load of one input directory, shared by all queries of a session."""
-    files = [f for name in ("orders", "customer", "nation", "lineitem") for f in load(spark, directory, name).inputFiles()]
-    key = (spark.sparkContext.applicationId, tuple(sorted(files)))
+    stamps = tuple(_stamp(spark, f"{directory}/{name}.parquet") for name in adapter.INPUTS)
+    key = (spark.sparkContext.applicationId, directory, stamps)
     if key not in _warehouses:
         _warehouses[key] = Warehouse(spark, lambda: adapter.staging(spark, directory))
     return _warehouses[key]

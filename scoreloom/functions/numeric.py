@@ -73,10 +73,14 @@ def percentile_cont(
     n: Column | None = None,
     where: Column | None = None,
 ) -> Column:
-    """Aggregate: exact interpolated quantile(s) of value, each value taken n times."""
+    """Aggregate: exact interpolated quantile(s) of value, each value taken n times.
+
+    The interpolation is in double in any case; converting before Spark collects
+    the distinct values keeps its tables small and quick to merge.
+    """
     if where is not None:
         value = F.when(where, value)
-    return F.percentile(value, p, n if n is not None else F.lit(1))
+    return F.percentile(value.cast("double"), p, n if n is not None else F.lit(1))
 
 
 def iqr(quartiles: Column, places: int) -> Column:

@@ -14,6 +14,8 @@ from scoreloom import fixed_values as fv
 from scoreloom.schemas import ELECTIVE, STAGING_FIELDS, SUBJECTS
 from scoreloom.sources.tables import load
 
+INPUTS = ("orders", "customer", "nation", "lineitem")
+
 # --- fixed values of the adapter --------------------------------------------
 LINE_OF = {"Ukr": 1, "Hist": 2, "Math": 3}
 ELECTIVE_LINE = 4
@@ -48,25 +50,39 @@ def _marks(lineitem: DataFrame) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(*measures, (part % len(ELECTIVE)).alias("elective_number"))
 
 
-def _block(subject) -> dict[str, Column]:
-    """The columns of one subject block."""
+def _record_texts(marks: DataFrame) -> DataFrame:
+    """Marks as status, scaled and raw text per line; NULL for a line that the order does not have."""
+    columns = []
+    for line in range(1, ELECTIVE_LINE + 1):
+        quantity, cents = F.col(f"quantity_{line}"), F.col(f"cents_{line}")
+        points = F.lit(10000) + cents % 10001
+        comma = F.concat(_text(F.floor(points / 100)), F.lit(","), F.lpad(_text(points % 100), 2, "0"))
+        absent = quantity >= 48
+        columns += [
+            F.when(absent, ABSENT).when(quantity.isNotNull(), RESULT).alias(f"status_{line}"),
+            F.when(absent, fv.MISSING).when(quantity <= 5, "0,0").otherwise(comma).alias(f"ball100_{line}"),
+            F.when(absent, fv.MISSING).otherwise(_text(quantity)).alias(f"ball_{line}"),
+        ]
+    return marks.select("l_orderkey", "elective_number", *columns)
+
+
+def _block(subject) -> list[Column]:
+    """The columns of one subject block, from the texts of the line that stands for it."""
     line = LINE_OF.get(subject.code, ELECTIVE_LINE)
-    quantity, cents = F.col(f"quantity_{line}"), F.col(f"cents_{line}")
-    used = quantity.isNotNull()
+    used = F.col(f"status_{line}").isNotNull()
     if not subject.mandatory:
-        used = used & (F.col("elective_number") == ELECTIVE.index(subject.code))
-    absent = quantity >= 48
-    points = F.lit(10000) + cents % 10001
-    comma = F.concat(_text((points / 100).cast("long")), F.lit(","), F.lpad(_text(points % 100), 2, "0"))
-    missing = F.lit(fv.MISSING)
-    fields = {
-        "block": F.when(used, subject.code).otherwise(missing),
-        "lang": F.when(used, "українська").otherwise(missing),
-        "status": F.when(used & absent, ABSENT).when(used, RESULT).otherwise(missing),
-        "ball100": F.when(~used | absent, missing).when(used & (quantity <= 5), "0,0").when(used, comma).otherwise(missing),
-        "ball": F.when(used & ~absent, _text(quantity)).otherwise(missing),
+        used = F.col("elective_number") == ELECTIVE.index(subject.code)
+    texts = {
+        "block": F.lit(subject.code),
+        "lang": F.lit("українська"),
+        "status": F.col(f"status_{line}"),
+        "ball100": F.col(f"ball100_{line}"),
+        "ball": F.col(f"ball_{line}"),
     }
-    return {f"{subject.prefix}_{part}": col for part, col in fields.items() if f"{subject.prefix}_{part}" in subject.fields}
+    return [
+        F.when(used, texts[field.removeprefix(f"{subject.prefix}_")]).otherwise(F.lit(fv.MISSING)).alias(field)
+        for field in subject.fields
+    ]
 
 
 def staging(spark: SparkSession, directory: str) -> DataFrame:
@@ -74,10 +90,11 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
     orders = load(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     customer = load(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = load(spark, directory, "nation").select("n_nationkey", "n_name")
-    marks = _marks(load(spark, directory, "lineitem"))
+    texts = _record_texts(_marks(load(spark, directory, "lineitem")))
+    blocks = texts.select("l_orderkey", *[column for subject in SUBJECTS for column in _block(subject)])
     rows = (
         orders.join(customer.join(nation, customer.c_nationkey == nation.n_nationkey), orders.o_custkey == customer.c_custkey)
-        .join(marks, orders.o_orderkey == marks.l_orderkey, "left")
+        .join(blocks, orders.o_orderkey == blocks.l_orderkey, "left")
     )
 
     k, c, country = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
@@ -115,5 +132,5 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
         "pt_ter_name": missing,
     }
     for subject in SUBJECTS:
-        columns.update(_block(subject))
+        columns.update({field: F.coalesce(F.col(field), missing) for field in subject.fields})
     return rows.select(*[columns[field].alias(field) for field in STAGING_FIELDS])
