@@ -29,3 +29,14 @@ def mean_where(score: Column, condition: Column) -> Column:
 def max_where(value: Column, condition: Column) -> Column:
     """The long-to-wide building block: one output column per condition."""
     return F.max(F.when(condition, value))
+
+
+def max_code_where(code: Column, codes: list[str], condition: Column) -> Column:
+    """Largest code, in text order, among rows that meet the condition.
+
+    Works on the position in the sorted list of known codes: a numeric maximum
+    can be hash-aggregated in place, a text maximum would need a sort.
+    """
+    ordered = F.array(*[F.lit(c) for c in sorted(codes)])
+    position = F.max(F.when(condition, F.nullif(F.array_position(ordered, code), F.lit(0))))
+    return F.try_element_at(ordered, position.cast("int"))

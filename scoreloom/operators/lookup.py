@@ -38,18 +38,20 @@ def _tier_keys(tiers: list[Tier], side: int) -> Column:
 
 
 def _exploded(df: DataFrame, keep: list[Column], tiers: list[Tier], side: int) -> DataFrame:
-    return (
-        df.select(*keep, F.explode(_tier_keys(tiers, side)).alias("_entry"))
-        .filter(F.col("_entry").isNotNull())
-        .select(*[c for c in df.select(*keep).columns], "_entry.tier", "_entry.key")
-    )
+    exploded = df.select(*keep, F.explode(_tier_keys(tiers, side)).alias("_entry"))
+    kept = [c for c in exploded.columns if c != "_entry"]
+    return exploded.filter(F.col("_entry").isNotNull()).select(*kept, "_entry.tier", "_entry.key")
 
 
 def tiered_lookup(
     references: DataFrame, dimension: DataFrame, by: list[str], tiers: list[Tier], id_col: str
 ) -> DataFrame:
-    """Map each distinct reference tuple that resolves to its id and the tier that found it."""
-    wanted = _exploded(references.select(*by).distinct(), [F.col(c) for c in by], tiers, 0)
+    """Map each reference tuple that resolves to its id and the tier that found it.
+
+    The references must be distinct in the by columns; they may carry further
+    columns derived from those for the tiers to use.
+    """
+    wanted = _exploded(references, [F.col(c) for c in by], tiers, 0)
     index = (
         _exploded(dimension, [F.col(id_col)], tiers, 1)
         .groupBy("tier", "key")

@@ -22,6 +22,14 @@ from scoreloom.schemas import SUBJECTS
 
 REFERENCE = ["eo_edeboid", "eo_edrpou", "eo_name", "eo_reg_name", "eo_area_name", "eo_ter_name"]
 
+# The reference columns that are compared by value, without the missing-value text.
+REFERENCE_VALUES = {
+    "_edebo": "eo_edeboid",
+    "_edrpou": "eo_edrpou",
+    "_town": "eo_ter_name",
+    "_district": "eo_area_name",
+}
+
 INSTITUTION_COLUMNS = {
     "edebo_id": "eo_edeboid",
     "edrpou": "eo_edrpou",
@@ -74,8 +82,7 @@ def _resolution_tiers() -> list[Tier]:
     With neither, name and region must agree, and district and town too unless
     the record marks them as missing. Within a tier the smallest id wins.
     """
-    edebo, edrpou = null_sentinel("eo_edeboid"), null_sentinel("eo_edrpou")
-    town, district = null_sentinel("eo_ter_name"), null_sentinel("eo_area_name")
+    edebo, edrpou, town, district = [F.col(name) for name in REFERENCE_VALUES]
     same_town, same_district = (town, F.col("ter_name")), (district, F.col("area_name"))
     same_name = (F.col("eo_name"), F.col("institution_name"))
     anything = F.lit(True)
@@ -122,8 +129,9 @@ TIERS_BY_CODE = 9
 
 def resolve_institutions(staging: DataFrame, dimension: DataFrame) -> DataFrame:
     """Map the distinct institution references of staging to institution ids."""
-    references = staging.filter(has_value("eo_name"))
-    return tiered_lookup(references, dimension, REFERENCE, _resolution_tiers(), "institution_id")
+    references = staging.filter(has_value("eo_name")).select(*REFERENCE).distinct()
+    valued = references.withColumns({name: null_sentinel(raw) for name, raw in REFERENCE_VALUES.items()})
+    return tiered_lookup(valued, dimension, REFERENCE, _resolution_tiers(), "institution_id")
 
 
 def participants(staging: DataFrame, dimension: DataFrame) -> DataFrame:

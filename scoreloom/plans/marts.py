@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import rules
-from scoreloom.functions.conditional import any_where, max_where, mean_where
+from scoreloom.functions.conditional import any_where, max_code_where, max_where, mean_where
 from scoreloom.functions.numeric import MEAN, half_up, score_mean
-from scoreloom.schemas import MANDATORY
+from scoreloom.schemas import ELECTIVE, MANDATORY
 
 CLEAN_COLUMNS = [
     "result_id", "out_id", "test_date", "subject_code", "raw_score", "scaled_score",
@@ -84,7 +84,7 @@ def student_profiles(exam_results: DataFrame, participants: DataFrame, instituti
             max_where(score, code == "Math").alias("score_math"),
             max_where(score, code == "Hist").alias("score_hist"),
             mean_where(score, is_mandatory).alias("_mandatory_mean"),
-            max_where(code, ~is_mandatory).alias("elective_subject"),
+            max_code_where(code, ELECTIVE, ~is_mandatory).alias("elective_subject"),
             max_where(score, ~is_mandatory).alias("elective_score"),
             score_mean(score).alias("_overall_mean"),
             F.max("test_date").alias("test_date"),

@@ -91,19 +91,23 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
     customer = load(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = load(spark, directory, "nation").select("n_nationkey", "n_name")
     texts = _record_texts(_marks(load(spark, directory, "lineitem")))
-    blocks = texts.select("l_orderkey", *[column for subject in SUBJECTS for column in _block(subject)])
+    fields = [field for subject in SUBJECTS for field in subject.fields]
+    blocks = texts.select("l_orderkey", F.struct(*[column for subject in SUBJECTS for column in _block(subject)]).alias("blocks"))
+    no_blocks = F.struct(*[F.lit(fv.MISSING).alias(field) for field in fields])
     rows = (
         orders.join(customer.join(nation, customer.c_nationkey == nation.n_nationkey), orders.o_custkey == customer.c_custkey)
         .join(blocks, orders.o_orderkey == blocks.l_orderkey, "left")
+        .withColumn("blocks", F.coalesce("blocks", no_blocks))
     )
 
     k, c, country = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
     status, name, missing = F.col("o_orderstatus"), F.col("n_name"), F.lit(fv.MISSING)
     digest = F.md5(_text(k))
+    uuid_form = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     with_centre = ~country.isin(*NATIONS_WITHOUT_CENTRE)
     district = F.concat(F.lit("District "), _text(c % 4))
     columns = {
-        "outid": F.concat_ws("-", *[F.substring(digest, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+        "outid": uuid_form,
         "birth": F.when(k % 50 == 0, missing).otherwise(_text(F.lit(2008) - k % 5)),
         "sex_type_name": F.when(k % 2 == 0, fv.WOMEN).otherwise(fv.MEN),
         "reg_name": name,
@@ -131,6 +135,5 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
         "pt_area_name": missing,
         "pt_ter_name": missing,
     }
-    for subject in SUBJECTS:
-        columns.update({field: F.coalesce(F.col(field), missing) for field in subject.fields})
+    columns.update({field: F.col(f"blocks.{field}") for field in fields})
     return rows.select(*[columns[field].alias(field) for field in STAGING_FIELDS])
