@@ -475,7 +475,11 @@ _STAR_COLUMNS = (
 
 STATEMENTS: dict[str, str] = {
     "etl_staging": _with(*STAGING, select="SELECT * FROM staging"),
-    "etl_subjects": _with(_subjects(), select="SELECT * FROM subjects"),
+    "etl_subjects": _with(
+        *EXAMS, _subjects(),
+        select="SELECT s.*, count(e.subject_code) AS result_count, count(*) FILTER (WHERE e.is_present) AS attended_count "
+        "FROM subjects s LEFT JOIN exam_results e USING (subject_code) GROUP BY ALL",
+    ),
     "etl_institutions": _with(*INSTITUTIONS, select=f"SELECT {_STAR_COLUMNS} FROM institutions"),
     "etl_participants": _with(
         *PARTICIPANTS, select="SELECT * REPLACE (CAST(birth_year AS BIGINT) AS birth_year) FROM participants"

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from scoreloom.plans import (
     archetypes,
     electives,
+    etl,
     marts,
     on_orders,
     quality,
@@ -100,7 +101,7 @@ def _exported(w: Warehouse) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # load
     "etl_staging": _from_load(lambda w: w["staging"]),
-    "etl_subjects": _from_load(lambda w: w["subjects"]),
+    "etl_subjects": _from_load(lambda w: etl.subject_usage(w["subjects"], w["exam_results"])),
     "etl_institutions": _from_load(lambda w: w["institutions"]),
     "etl_participants": _from_load(lambda w: w["participants"]),
     "etl_exam_results": _from_load(lambda w: w["exam_results"].drop("result_id")),

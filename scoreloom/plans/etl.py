@@ -53,7 +53,8 @@ def institutions(staging: DataFrame) -> DataFrame:
     """One row per institution: the record that knows most about it survives.
 
     Records with a governing body come first, then those with a registry code;
-    the remaining columns settle ties so that reruns agree.
+    the remaining columns settle ties so that reruns agree. Equal records collapse
+    first, by hash aggregation in the input tasks: only distinct ones are ranked.
     """
     typed = staging.filter(has_value("eo_name")).select(
         cascade_key(["eo_edeboid", "eo_edrpou"], ["eo_name", "eo_reg_name", "eo_area_name", "eo_ter_name"]).alias("_key"),
@@ -66,7 +67,7 @@ def institutions(staging: DataFrame) -> DataFrame:
         F.col("institution_name").asc(),
         *[F.col(name).asc_nulls_first() for name in INSTITUTION_COLUMNS],
     ]
-    unique = surrogate_key(first_per_key(typed, ["_key"], order), "_key", "institution_id")
+    unique = surrogate_key(first_per_key(typed.distinct(), ["_key"], order), "_key", "institution_id")
     return unique.select(
         "institution_id", "edebo_id", "edrpou", "institution_name", "institution_type",
         "reg_name", "area_name", "ter_name", "parent_governance",
@@ -190,3 +191,11 @@ def exam_results(staging: DataFrame) -> DataFrame:
         "pt_area_name",
         "pt_ter_name",
     )
+
+
+def subject_usage(subjects: DataFrame, results: DataFrame) -> DataFrame:
+    """The subject dimension with the number of results that refer to each subject."""
+    used = results.groupBy("subject_code").agg(
+        F.count("*").alias("result_count"), F.count_if("is_present").alias("attended_count")
+    )
+    return subjects.join(used, "subject_code", "left").na.fill(0, ["result_count", "attended_count"])
