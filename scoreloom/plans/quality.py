@@ -97,12 +97,17 @@ def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
-    return _stacked([
-        foreign_key(tables[child], column, tables[parent], parent_column)
-        .agg(F.count("*").alias("violations"))
-        .select(F.lit(child).alias("table_name"), F.lit(f"{column} in {parent}").alias("rule"), "violations")
-        for child, column, parent, parent_column in schemas.FOREIGN_KEYS
-    ])
+    """Child rows without a parent, per foreign key. Rows are counted per key before the join."""
+    reports = []
+    for child, column, parent, parent_column in schemas.FOREIGN_KEYS:
+        per_key = tables[child].groupBy(column).agg(F.count("*").alias("_rows"))
+        orphans = foreign_key(per_key, column, tables[parent], parent_column)
+        reports.append(
+            orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations")).select(
+                F.lit(child).alias("table_name"), F.lit(f"{column} in {parent}").alias("rule"), "violations"
+            )
+        )
+    return _stacked(reports)
 
 
 def not_null_report(tables: dict[str, DataFrame]) -> DataFrame:

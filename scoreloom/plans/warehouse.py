@@ -64,7 +64,7 @@ class Warehouse:
     def _written(self, name: str, df: DataFrame) -> DataFrame:
         if self.path is None:
             return df
-        target = f"{self.path}/{name}"
+        target = self.fresh_path(name)  # a retry after a failed write must not meet its leftovers
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 

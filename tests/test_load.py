@@ -240,6 +240,35 @@ def test_checks_return_the_violating_rows(spark):
     assert [r.k for r in quality.too_long(child, "k", 1).collect()] == ["bb"]
 
 
+def test_orphans_are_counted_by_row(spark):
+    tables = {
+        "subjects": spark.createDataFrame([("Ukr",)], "subject_code string"),
+        "institutions": spark.createDataFrame([(1,)], "institution_id long"),
+        "participants": spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "out_id string, institution_id long"),
+        "exam_results": spark.createDataFrame([("a", "Ukr"), ("z", "Ukr"), ("z", "Xyz")], "out_id string, subject_code string"),
+    }
+    got = {(r.table_name, r.rule): r.violations for r in quality.foreign_key_report(tables).collect()}
+    assert got == {
+        ("participants", "institution_id in institutions"): 1,
+        ("exam_results", "out_id in participants"): 2,
+        ("exam_results", "subject_code in subjects"): 1,
+    }
+
+
+def test_a_failed_write_can_be_repeated(spark, staging_of, tmp_path):
+    calls = []
+
+    def source():
+        calls.append(1)
+        good = staging_of({"outid": ID.format(1)})
+        return good if len(calls) > 1 else good.select(F.raise_error(F.lit("lost")).cast("string").alias("outid"))
+
+    load = Warehouse(spark, source, str(tmp_path))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        load["staging"]
+    assert load["staging"].count() == 1
+
+
 def test_staging_checks(staging_of):
     staging = staging_of(
         {"outid": ID.format(1), **SCHOOL, "eo_edeboid": "1", "ukr_ball100": "12x"},
