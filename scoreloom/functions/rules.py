@@ -67,13 +67,19 @@ def high(score: Column) -> Column:
     return score >= F.lit(fv.HIGH_SCORE)
 
 
+def ratio_of_shares(hits: Column, size: Column, base_hits: Column, base_size: Column) -> Column:
+    """(hits / size) / (base_hits / base_size) as one fraction, so that it is rounded only once.
+
+    Counts of up to thirteen digits leave eleven decimal places in the quotient.
+    NULL where either size or the base hits are zero.
+    """
+    hits, size, base_hits, base_size = [c.cast("decimal(13,0)") for c in (hits, size, base_hits, base_size)]
+    return safe_div(hits * base_size, base_hits * size)
+
+
 def location_quotient(part_hits: Column, part_size: Column, all_hits: Column, all_size: Column) -> Column:
-    """Share of the hits found in the part, over the part's share of everyone."""
-    wide = "decimal(18,0)"
-    return safe_div(
-        part_hits.cast(wide) * all_size.cast(wide),
-        all_hits.cast(wide) * part_size.cast(wide),
-    )
+    """How over-represented the hits are in the part, against everyone."""
+    return ratio_of_shares(part_hits, part_size, all_hits, all_size)
 
 
 def region_class(quotient: Column) -> Column:

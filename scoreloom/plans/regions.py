@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import rules
 from scoreloom.functions.conditional import count_where, sum_where
-from scoreloom.functions.numeric import half_up, pct, percentile_cont, pg_round, safe_div
+from scoreloom.functions.numeric import half_up, pct, percentile_cont, pg_round
 from scoreloom.operators.value_counts import value_counts
 
 
@@ -35,9 +35,7 @@ def regions(profiles: DataFrame) -> DataFrame:
         sum_where(n_failed, ~center).alias("periphery_failed"),
     )
     c = F.col
-    wide = "decimal(18,0)"
-    center_rate = safe_div(c("center_failed").cast(wide), c("center").cast(wide))
-    periphery_rate = safe_div(c("periphery_failed").cast(wide), c("periphery").cast(wide))
+    fail_ratio = rules.ratio_of_shares(c("periphery_failed"), c("periphery"), c("center_failed"), c("center"))
     indicators = sums.select(
         c("region").alias("reg_name"),
         c("total").alias("total_participants"),
@@ -54,7 +52,7 @@ def regions(profiles: DataFrame) -> DataFrame:
         ),
         pct(c("center_failed"), c("center"), 2).alias("center_failed_percentage"),
         pct(c("periphery_failed"), c("periphery"), 2).alias("periphery_failed_percentage"),
-        half_up(safe_div(periphery_rate, center_rate), 2).alias("fail_rate_ratio"),
+        half_up(fail_ratio, 2).alias("fail_rate_ratio"),
     )
     return indicators.withColumn("region_classification", rules.region_class(c("monopoly_lq_index"))).orderBy(
         c("monopoly_lq_index").desc_nulls_last(), "reg_name"

@@ -136,3 +136,10 @@ def test_school_rank_is_strict(spark):
     assert evaluated(df, rank) == [
         fv.SCHOOL_POLARISED, fv.SCHOOL_TYPICAL, fv.SCHOOL_TYPICAL, fv.SCHOOL_TYPICAL, fv.SCHOOL_FLAGSHIP,
     ]
+
+
+def test_ratio_of_shares_is_rounded_once(spark):
+    rows = [(2512499999, 10**10, 1, 4), (1, 2, 1, 4), (1, 0, 1, 4), (1, 2, 0, 4), (0, 2, 1, 4), (1, 2, 1, 0)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    ratio = F.round(rules.ratio_of_shares(*[F.col(c) for c in "abcd"]), 2)
+    assert evaluated(df, ratio) == [Decimal("1.00"), Decimal("2.00"), None, None, Decimal("0.00"), Decimal("0.00")]
