@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-Each task numbers the distinct pieces of a block of texts and encodes all pieces that are new to it at once: an index
+Each task numbers the distinct runs without white space of a block of texts and encodes all that are new to it at once: an index
 maps the rank of every pair to all its positions in the block. Ranks are applied in ascending order; each application
 merges a whole position list and moves the neighbours it touches to the lists of their new pairs. Texts are then
-assembled from the pieces without a loop over tokens.
+assembled from the runs without a loop over tokens.
 
 Cases. Null and empty texts: no ids. Strings of special tokens in a text give their ids. Very long texts form a block of
 their own. Repeated rows: each row on its own. Empty tables: empty result. Characters outside the vocabulary cannot
@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 
 from scoreloom.llm import blocks as B
 
-#: Bytes of text whose pieces are encoded together.
+#: Bytes of text whose runs are encoded together.
 BLOCK = 16 << 20
-#: Pieces that a task remembers; it starts anew beyond.
+#: Runs that a task remembers; it starts anew beyond.
 REMEMBERED = 400_000
 
 
@@ -43,7 +43,8 @@ class Vocabulary:
         self.suffix = model["end_of_word_suffix"]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.piece = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.space = regex.compile(file["normalizer"]["normalizers"][1]["pattern"]["Regex"])
+        space = regex.compile(file["normalizer"]["normalizers"][1]["pattern"]["Regex"])
+        self.spaces = [c for c in map(chr, range(0x3100)) if c != " " and space.fullmatch(c)]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
         hidden = [b for b in range(256) if b not in shown]
         letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -70,19 +71,44 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def pieces(self, text: str) -> Iterator[str | int]:
-        """Lists of pieces and ids of special tokens, in order."""
+    def chunks(self, text: str) -> Iterator[list[str | int]]:
+        """Runs without white space, which no piece crosses, and ids of special tokens, in order."""
         end = 0
         for found in self.split.finditer(text) if self.split else ():
-            yield self.piece.findall(self._normal(text[end : found.start()]))
+            yield self._normal(text[end : found.start()])
             yield [self.special[found[0]]]
             end = found.end()
-        yield self.piece.findall(self._normal(text[end:] if end else text))
+        yield self._normal(text[end:] if end else text)
 
-    def _normal(self, text: str) -> str:
-        if not text.isascii():
+    def _normal(self, text: str) -> list[str]:
+        plain = text.isascii()
+        if not plain:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # capital sigma: one lower form wherever it stands
-        return self.space.sub(" ", text).lower()
+        for space in self.spaces[:5] if plain else self.spaces:
+            text = text.replace(space, " ")
+        return text.lower().split(" ")
+
+    def encode_chunks(self, chunks: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after another, and how many each has."""
+        pieces, numbers = _Numbers(), []
+        of_chunk = np.zeros(len(chunks), np.int64)
+        for k, chunk in enumerate(chunks):
+            found = [chunk] if isinstance(chunk, int) else self.piece.findall(chunk)
+            of_chunk[k] = len(found)
+            numbers.extend(map(pieces.__getitem__, found))
+        if not numbers:
+            return np.zeros(0, np.int32), of_chunk
+        special = np.array([isinstance(p, int) for p in pieces])
+        made, size = self.encode([p for p in pieces if isinstance(p, str)]) if not special.all() else (np.zeros(0, np.int32), [])
+        counts = np.ones(len(pieces), np.int64)
+        counts[~special] = size
+        in_special = np.repeat(special, counts)
+        ids = np.empty(len(in_special), np.int32)
+        ids[~in_special] = made
+        ids[in_special] = [p for p in pieces if isinstance(p, int)]
+        numbers = np.array(numbers)
+        ends = np.append(0, np.cumsum(counts[numbers]))[np.append(0, np.cumsum(of_chunk))]
+        return B.ragged(ids, np.cumsum(counts)[numbers] - counts[numbers], counts[numbers]), np.diff(ends)
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after another, and how many each has."""
@@ -185,20 +211,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] |
                 numbers, flat, lengths = _Numbers(), flat[:0], lengths[:0]
             texts, known = [], len(numbers)
             for value in table.column("__text"):
-                found = [np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)) for part in v.pieces(value.as_py() or "")]
+                found = [np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)) for part in v.chunks(value.as_py() or "")]
                 texts.append(found[0] if len(found) == 1 else np.concatenate(found))
-            fresh = list(numbers)[known:]
-            words = [p for p in fresh if isinstance(p, str)]
-            made, counts = v.encode(words) if words else (flat[:0], lengths[:0])
-            if len(words) < len(fresh):  # special tokens are pieces of one id
-                is_word = np.array([isinstance(p, str) for p in fresh])
-                all_counts = np.ones(len(fresh), np.int64)
-                all_counts[is_word] = counts
-                owner = np.repeat(np.arange(len(fresh)), all_counts)
-                all_ids = np.empty(len(owner), np.int32)
-                all_ids[is_word[owner]] = made
-                all_ids[~is_word[owner]] = [p for p in fresh if not isinstance(p, str)]
-                made, counts = all_ids, all_counts
+            made, counts = v.encode_chunks(list(numbers)[known:])
             flat, lengths = np.concatenate([flat, made]), np.concatenate([lengths, counts])
             starts = np.cumsum(lengths) - lengths
             done = 0
