@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe
+from scoreloom.llm import bpe, quality
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -37,8 +37,30 @@ def op1_bpe(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def remainder(id: str, of: int) -> Column:
+    """crc32 of the id as text, modulo `of`; a null id counts as 0."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % of, F.lit(0))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Fitted to the labels that may be learned from."""
+    return quality.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+
+
+def op10_quality(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    model = quality_model(docs, table(spark, directory, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op10_quality": op10_quality,
 }
 
 STATEMENTS: dict[str, str] = {}
