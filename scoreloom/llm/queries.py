@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, quality
+from scoreloom.llm import bpe, jaccard, quality
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -58,8 +58,14 @@ def op10_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
+    found = jaccard.linked(table(spark, directory, "documents"), width=3, num=90, den=100)
+    return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op7_jaccard": op7_jaccard,
     "op10_quality": op10_quality,
 }
 
