@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, jaccard, quality
+from scoreloom.llm import bpe, jaccard, mixing, quality
 
 VOCABULARY = "word_bpe_49k.json"
+#: Mixing: listed languages, markers of topics, how far shares are evened out, seed of the sample.
+MIX = {"languages": ["en", "de", "fr", "es"], "topics": {"table": " | ", "contact": "@", "licence": "icense"}, "temper": 0.9, "seed": 11}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -58,6 +60,11 @@ def op10_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    drawn = mixing.rake(table(spark, directory, "documents"), **MIX)
+    return drawn.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     found = jaccard.linked(table(spark, directory, "documents"), width=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -65,8 +72,11 @@ def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_mixing": op3_mixing,
     "op7_jaccard": op7_jaccard,
     "op10_quality": op10_quality,
 }
 
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {
+    "op3_mixing": mixing.statement(**MIX),
+}
