@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from scoreloom.llm import blocks as B
 
 #: Bytes of text whose runs are encoded together.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Runs that a task remembers; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Vocabulary:
