@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, jaccard, mixing, quality
+from scoreloom.llm import bpe, jaccard, mixing, quality, reputation
 
 VOCABULARY = "word_bpe_49k.json"
 #: Mixing: listed languages, markers of topics, how far shares are evened out, seed of the sample.
 MIX = {"languages": ["en", "de", "fr", "es"], "topics": {"table": " | ", "contact": "@", "licence": "icense"}, "temper": 0.9, "seed": 11}
 
+#: Url rules; least lower bound of a host's share of good pages, standard deviations below the mean.
+URLS = {
+    "rules": [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")],
+    "least": 0.5,
+    "width": 1.2816,
+}
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -39,6 +46,12 @@ def op1_bpe(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op9_reputation(spark: SparkSession, directory: str) -> DataFrame:
+    found = reputation.judged(table(spark, directory, "pages"), table(spark, directory, "labels"), **URLS)
+    figures = [F.round(c, 6).alias(c) for c in ("reputation", "bound")]
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "labelled", *figures)
+
+
 def remainder(id: str, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % of, F.lit(0))
@@ -74,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_mixing": op3_mixing,
     "op7_jaccard": op7_jaccard,
+    "op9_reputation": op9_reputation,
     "op10_quality": op10_quality,
 }
 
 STATEMENTS: dict[str, str] = {
     "op3_mixing": mixing.statement(**MIX),
+    "op9_reputation": reputation.statement(**URLS),
 }
