@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, jaccard, mixing, quality, reputation
+from scoreloom.llm import bpe, exact_top, jaccard, learned_search, mixing, quality, reputation, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 #: Mixing: listed languages, markers of topics, how far shares are evened out, seed of the sample.
 MIX = {"languages": ["en", "de", "fr", "es"], "topics": {"table": " | ", "contact": "@", "licence": "icense"}, "temper": 0.9, "seed": 11}
 
+#: Exact search: results of a query, which rows are queries, factor of the components.
+EXACT = {"k": 5, "every": 50, "scale": 256}
 #: Url rules; least lower bound of a host's share of good pages, standard deviations below the mean.
 URLS = {
     "rules": [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")],
@@ -73,11 +75,24 @@ def op10_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op2_exact_top(spark: SparkSession, directory: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(EXACT["scale"] * x.cast("double")))
+    rows = table(spark, directory, "embeddings").where(vectors.valid("embedding")).select(F.col("vec_id").alias("id"), whole.alias("vector"))
+    found = exact_top.search(rows, rows.where(F.col("id") % EXACT["every"] == 0), EXACT["k"])
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_mixing(spark: SparkSession, directory: str) -> DataFrame:
     drawn = mixing.rake(table(spark, directory, "documents"), **MIX)
     return drawn.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op5_learned_search(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = learned_search.search(rows, rows.where(F.col("id") % 20 == 0), 20)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     found = jaccard.linked(table(spark, directory, "documents"), width=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -85,13 +100,16 @@ def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_exact_top": op2_exact_top,
     "op3_mixing": op3_mixing,
+    "op5_learned_search": op5_learned_search,
     "op7_jaccard": op7_jaccard,
     "op9_reputation": op9_reputation,
     "op10_quality": op10_quality,
 }
 
 STATEMENTS: dict[str, str] = {
+    "op2_exact_top": exact_top.statement(**EXACT),
     "op3_mixing": mixing.statement(**MIX),
     "op9_reputation": reputation.statement(**URLS),
 }
