@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, exact_top, jaccard, learned_search, mixing, quality, reputation, vectors
+from scoreloom.llm import bpe, exact_top, jaccard, learned_search, mixing, quality, reputation, templates, training_order, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 #: Mixing: listed languages, markers of topics, how far shares are evened out, seed of the sample.
@@ -16,6 +16,8 @@ MIX = {"languages": ["en", "de", "fr", "es"], "topics": {"table": " | ", "contac
 
 #: Exact search: results of a query, which rows are queries, factor of the components.
 EXACT = {"k": 5, "every": 50, "scale": 256}
+#: Training order: ids of a sequence, sequences of a shard, key of the permutation.
+ORDER = {"length": 1024, "per_shard": 1 << 14, "key": 20240817}
 #: Url rules; least lower bound of a host's share of good pages, standard deviations below the mean.
 URLS = {
     "rules": [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")],
@@ -48,6 +50,11 @@ def op1_bpe(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op8_training_order(spark: SparkSession, directory: str) -> DataFrame:
+    index = training_order.in_order(table(spark, directory, "documents"), **ORDER)
+    return index.withColumnRenamed("id", "doc_id")
+
+
 def op9_reputation(spark: SparkSession, directory: str) -> DataFrame:
     found = reputation.judged(table(spark, directory, "pages"), table(spark, directory, "labels"), **URLS)
     figures = [F.round(c, 6).alias(c) for c in ("reputation", "bound")]
@@ -87,6 +94,11 @@ def op3_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return drawn.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op4_templates(spark: SparkSession, directory: str) -> DataFrame:
+    found = templates.extract(table(spark, directory, "pages"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_learned_search(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     found = learned_search.search(rows, rows.where(F.col("id") % 20 == 0), 20)
@@ -102,8 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_top": op2_exact_top,
     "op3_mixing": op3_mixing,
+    "op4_templates": op4_templates,
     "op5_learned_search": op5_learned_search,
     "op7_jaccard": op7_jaccard,
+    "op8_training_order": op8_training_order,
     "op9_reputation": op9_reputation,
     "op10_quality": op10_quality,
 }
