@@ -14,8 +14,8 @@ that blocks of texts repeat, counted over all blocks; the most common FREQUENT_M
 
 Signatures that up to SMALL nodes share give all their pairs. Those of more nodes give first a star around the node with
 the fewest rare tokens, later the pairs that lie in different components by then. Pairs go through exact bounds: sizes;
-how many prefix tokens before the last shared one are missing; rare tokens that cannot be shared. What remains is
-compared set by set.
+rare tokens of the prefix that ends first and are not in the other; rare tokens that cannot be shared. What remains
+is compared set by set.
 
 Cases. Null and empty texts, texts without words: no tokens, component of their own, linked with nothing. Null ids: null
 component. Repeated rows: each gets its row; rows of one id and different texts link what each of them links.
@@ -129,13 +129,13 @@ def _pairs_within(classes: np.ndarray, tokens: np.ndarray, band: int) -> np.ndar
     return B.mix(B.mix(tokens[one] + U(band + 1)) * U(3) + tokens[second])
 
 
-def _signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """Signatures and positions (-1 for those of two tokens) of a set, and how many of its tokens are rare, as far as its prefix goes."""
+def _signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[list[np.ndarray], list[np.ndarray], int, int]:
+    """Signatures and positions (-1 for those of two tokens) of a set, how many rare tokens its prefix has, and where it ends."""
     s = len(tokens)
     lost = s - -(-num * s // den)
     rare = tokens[~frequent]
     if len(rare) > lost:
-        return [rare[: lost + 1]], [np.arange(lost + 1)], lost + 1
+        return [rare[: lost + 1]], [np.arange(lost + 1)], lost + 1, int((rare[lost : lost + 1] ^ U(1 << 63)).astype(np.int64)[0])
     common = tokens[frequent]
     made, at = [rare], [np.arange(len(rare))]
     low, high = (int(np.log(x) / np.log(den / num) + 1e-9) for x in (s, s * den // num))
@@ -148,35 +148,49 @@ def _signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
         pairs = _pairs_within(classes[:end], common[:end], band)
         made.append(pairs)
         at.append(np.full(len(pairs), -1))
-    return made, at, len(rare)
+    return made, at, len(rare), (1 << 63) - 1
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int, id: str, text: str) -> DataFrame:
-    """(sig, pos, node, tokens, rare) rows; a task gives those of a node once."""
+    """(sig, pos, node) rows; a task gives those of a node once, the first of them with tokens, rare and end.
+
+    `end` is the last rare token that the prefix reaches, in the order of tokens; the greatest long if it reaches all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, done = shared.value, set()
         for batch in B.blocks(batches, "__text", BLOCK):
-            sig, pos, node, size, rares, count = [], [], [], [], [], []
+            sig, pos, node, size, rares, ends, count = [], [], [], [], [], [], []
             for tokens in _sets(batch, width):
                 if not len(tokens) or (key := _key(tokens)) in done:
                     continue
                 done.add(key)
                 at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
-                made, places, rare = _signatures(tokens, common[at] == tokens if len(common) else np.zeros(len(tokens), bool), num, den)
+                made, places, rare, end = _signatures(tokens, common[at] == tokens if len(common) else np.zeros(len(tokens), bool), num, den)
+                if not sum(map(len, made)):
+                    continue  # one token: only equal sets are similar enough
                 sig += made
                 pos += places
                 count.append(sum(map(len, made)))
                 node.append(key)
                 size.append(len(tokens))
                 rares.append(rare)
+                ends.append(end)
             if count:
-                repeat = lambda x: pa.array(np.repeat(np.array(x, np.int64), count))
-                columns = [_long(np.concatenate(sig)), pa.array(np.concatenate(pos).astype(np.int32)), repeat(node), repeat(size).cast(pa.int32()), repeat(rares).cast(pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "pos", "node", "tokens", "rare"])
+                first = np.cumsum(count) - count
+
+                def once(x, kind):
+                    out = pa.array(np.repeat(np.array(x, kind), count))
+                    mask = np.ones(len(out), bool)
+                    mask[first] = False
+                    return pa.array(out.to_numpy(), mask=mask)
+
+                columns = [_long(np.concatenate(sig)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.repeat(np.array(node, np.int64), count))]
+                columns += [once(size, np.int32), once(rares, np.int32), once(ends, np.int64)]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "pos", "node", "tokens", "rare", "end"])
 
-    return _input(docs, id, text).mapInArrow(run, "sig long, pos int, node long, tokens int, rare int")
+    return _input(docs, id, text).mapInArrow(run, "sig long, pos int, node long, tokens int, rare int, end long")
 
 
 def _sized(num: int, den: int) -> str:
@@ -234,33 +248,33 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     common = counted.orderBy(F.desc("times"), "repeated").limit(FREQUENT_MOST).select("repeated").toPandas()["repeated"]
     made = written(signatures(docs, np.sort(common.to_numpy(np.int64).astype(U)), *args), "signatures")
 
-    groups = made.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many"), F.min(F.struct("rare", "node")).alias("centre"))
-    groups = groups.where("low <> high").select("sig", "many", F.col("centre.node").alias("centre"))
-    shared = written(made.join(groups, "sig").groupBy("sig", "node").agg(*[F.first(c).alias(c) for c in ("pos", "tokens", "rare", "many", "centre")]), "shared")
+    groups = made.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("low <> high")
     # rows that several tasks gave count more than once in `many`; that only sends a signature the other way
-
-    side = lambda df, p: df.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "pos", "tokens", "rare")])
-    need = _sized(num, den)
-    fits = f"{need} <= least(l_tokens, r_tokens) and (l_pos >= 0 or {need} <= least(l_tokens - l_rare, r_tokens - r_rare))"
+    shared = made.select("sig", "pos", "node").join(groups.select("sig", "many"), "sig")
+    shared = written(shared.groupBy("sig", "node").agg(F.min("pos").alias("pos"), F.first("many").alias("many")), "shared")
+    about = made.where("end is not null").select("node", "tokens", "rare", "end")
+    about = written(about.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "about")
 
     small = shared.where(F.col("many") <= SMALL)
-    pairs = side(small, "l").join(side(small, "r"), "sig").where("l_node < r_node").where(fits)
-    pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(
-        F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"),
-        F.max("l_pos").alias("l_last"),
-        F.max("r_pos").alias("r_last"),
-        F.max((F.col("l_pos") < 0).cast("int")).alias("combined"),
-        F.first("l_tokens").alias("l_tokens"),
-        F.first("r_tokens").alias("r_tokens"),
-    )
+    side = lambda df, p, *more: df.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "pos", *more)])
+    pairs = side(small, "l").join(side(small, "r"), "sig").where("l_node < r_node")
+    pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"))
     large = shared.where((F.col("many") > SMALL) & (F.col("pos") >= 0)).groupBy("node").agg(F.count("*").alias("unseen"))
-    unseen = lambda p: large.select(F.col("node").alias(p), F.col("unseen").alias(f"{p}_unseen"))
-    pairs = pairs.join(unseen("l"), "l", "left").join(unseen("r"), "r", "left")
-    missed = "{p}_last + 1 - met - least(coalesce(l_unseen, 0), coalesce(r_unseen, 0)) <= {p}_tokens - " + need
-    first = pairs.where("combined = 1 or (" + missed.format(p="l") + " and " + missed.format(p="r") + ")").select("l", "r")
-
-    hot = shared.where(F.col("many") > SMALL)
-    star = hot.where("node <> centre").select(F.least("node", "centre").alias("l"), F.greatest("node", "centre").alias("r")).distinct()
+    known = about.join(large, "node", "left").select("node", "tokens", "rare", "end", F.coalesce("unseen", F.lit(0)).alias("unseen"))
+    of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("tokens", "rare", "end", "unseen")])
+    need = _sized(num, den)
+    # of the prefix that ends first, every rare token that is not shared with the other prefix is missing there
+    missed = "({p}_end > {q}_end or {p}_rare - met - least(l_unseen, r_unseen) <= {p}_tokens - " + need + ")"
+    pairs = pairs.join(of("l"), "l").join(of("r"), "r").where(f"{need} <= least(l_tokens, r_tokens)")
+    first = pairs.where(missed.format(p="l", q="r") + " and " + missed.format(p="r", q="l")).select("l", "r")
+
+    hot = shared.where(F.col("many") > SMALL).join(about, "node")
+    centres = hot.groupBy("sig").agg(F.min(F.struct("rare", "node", "tokens")).alias("c"))
+    centres = centres.select("sig", F.col("c.rare").alias("r_rare"), F.col("c.node").alias("r_node"), F.col("c.tokens").alias("r_tokens"))
+    # signatures of two tokens: rare tokens that both had would be signatures themselves
+    fits = f"{need} <= least(l_tokens, r_tokens) and (l_pos >= 0 or {need} <= least(l_tokens - l_rare, r_tokens - r_rare))"
+    star = side(hot, "l", "tokens", "rare").join(centres, "sig").where("l_node <> r_node").where(fits)
+    star = star.select(F.least("l_node", "r_node").alias("l"), F.greatest("l_node", "r_node").alias("r"))
     first = written(first.unionAll(star).distinct(), "pairs")
     links = written(compare(first, docs, rows, *args), "links")
     found = components(links.select(F.col("l").alias("a"), F.col("r").alias("b")))
@@ -268,8 +282,8 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     placed = hot.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     placed = placed.join(open_, "sig")
-    side = lambda p: placed.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "pos", "tokens", "rare", "component")])
-    rest = side("l").join(side("r"), "sig").where("l_node < r_node and l_component <> r_component").where(fits)
+    columns = ("tokens", "rare", "component")
+    rest = side(placed, "l", *columns).join(side(placed, "r", *columns), "sig").where("l_node < r_node and l_component <> r_component").where(fits)
     rest = rest.select(F.col("l_node").alias("l"), F.col("r_node").alias("r")).distinct()
     rest = written(rest.join(first, ["l", "r"], "left_anti"), "pairs")
     if rest.limit(1).count():

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, exact_top, jaccard, learned_search, mixing, quality, reputation, templates, training_order, vectors
+from scoreloom.llm import bpe, context_mixing, exact_top, jaccard, learned_search, mixing, quality, reputation, templates, training_order, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 #: Mixing: listed languages, markers of topics, how far shares are evened out, seed of the sample.
@@ -105,6 +105,11 @@ def op5_learned_search(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op6_context_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    found = context_mixing.score(table(spark, directory, "documents"), remainder("doc_id", 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("trains")).alias("held_out"), *found.columns[2:])
+
+
 def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     found = jaccard.linked(table(spark, directory, "documents"), width=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_templates": op4_templates,
     "op5_learned_search": op5_learned_search,
+    "op6_context_mixing": op6_context_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_training_order": op8_training_order,
     "op9_reputation": op9_reputation,
