@@ -576,12 +576,12 @@ STATEMENTS: dict[str, str] = {
     "ORDER BY o_custkey, orders.o_orderdate DESC NULLS LAST, o_orderkey",
     "percentile_by_group": "SELECT l_returnflag, count(*) AS line_count, "
     + ", ".join(
-        f"{rounded(quantile('round(l_extendedprice)', p), 2)} AS {name}"
+        f"{rounded(quantile('l_extendedprice', p), 2)} AS {name}"
         for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
     )
     + " FROM lineitem GROUP BY l_returnflag",
-    "percentile_filtered": f"SELECT l_linestatus, {rounded(quantile('round(l_extendedprice)', 0.5), 2)} AS median_price, "
-    f"{rounded(quantile('round(l_extendedprice)', 0.5, 'l_discount >= 0.05'), 2)} AS median_discounted_price "
+    "percentile_filtered": f"SELECT l_linestatus, {rounded(quantile('l_extendedprice', 0.5), 2)} AS median_price, "
+    f"{rounded(quantile('l_extendedprice', 0.5, 'l_discount >= 0.05'), 2)} AS median_discounted_price "
     "FROM lineitem GROUP BY l_linestatus",
     "cv_iqr": f"SELECT l_returnflag, l_linestatus, {rounded('avg(l_quantity)', 2)} AS mean_quantity, "
     f"{rounded('stddev_samp(l_quantity) / avg(l_quantity)', 4)} AS coefficient_of_variation, "
@@ -608,7 +608,7 @@ STATEMENTS: dict[str, str] = {
     "count(*) FILTER (WHERE o_totalprice >= 400000 AND c_mktsegment = 'BUILDING') AS segment_large "
     "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY customer.c_nationkey) SELECT *, "
     f"{rounded('segment_large * total_orders / nullif(total_large * segment_orders, 0)', 4)} AS quotient FROM s",
-    "quartile_cohorts": "WITH p AS (SELECT o_orderpriority, round(o_totalprice) AS price FROM orders), "
+    "quartile_cohorts": "WITH p AS (SELECT o_orderpriority, o_totalprice AS price FROM orders), "
     f"b AS (SELECT {quantile('price', 0.25)} AS q1, {quantile('price', 0.75)} AS q3 FROM p) "
     "SELECT o_orderpriority, count(*) FILTER (WHERE price < (SELECT q1 FROM b)) AS below, "
     "count(*) FILTER (WHERE price BETWEEN (SELECT q1 FROM b) AND (SELECT q3 FROM b)) AS inside, "
@@ -616,8 +616,8 @@ STATEMENTS: dict[str, str] = {
     "any_where_flags": "SELECT o_custkey, bool_or(o_orderstatus = 'P') AS has_pending, "
     "bool_or(o_totalprice >= 400000) AS has_large FROM orders GROUP BY o_custkey",
     "benchmark_compare": "WITH c AS (SELECT o_custkey, count(*) AS n, "
-    f"{quantile('round(o_totalprice)', 0.5)} AS own FROM orders GROUP BY o_custkey), "
-    f"a AS (SELECT {quantile('round(o_totalprice)', 0.5)} AS mid FROM orders), "
+    f"{quantile('o_totalprice', 0.5)} AS own FROM orders GROUP BY o_custkey), "
+    f"a AS (SELECT {quantile('o_totalprice', 0.5)} AS mid FROM orders), "
     "g AS (SELECT CASE WHEN own > (SELECT mid FROM a) THEN 'above' WHEN own < (SELECT mid FROM a) THEN 'below' ELSE 'at' END "
     "AS position, count(*) AS customers, CAST(sum(n) AS BIGINT) AS order_count FROM c GROUP BY 1) "
     f"SELECT *, {percent('customers', 'sum(customers) OVER ()', 2)} AS customer_share FROM g",

@@ -1,12 +1,8 @@
-"""The operators applied directly to the order and event tables.
-
-Prices are counted in whole units where quantiles are taken, so that the table of
-distinct values stays small however many rows there are.
-"""
+"""The operators applied directly to the order and event tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,16 +21,13 @@ from scoreloom.functions.numeric import (
 from scoreloom.functions.rules import location_quotient
 from scoreloom.operators import benchmarks, sequence, share
 from scoreloom.operators.dedup import first_per_key
+from scoreloom.operators.quantiles import group_quantiles, large_quantiles
 from scoreloom.operators.value_counts import value_counts
 
 LARGE_ORDER = 400000
 FOCUS_SEGMENT = "BUILDING"
 
 
-def _units(col: str) -> Column:
-    return F.round(F.col(col)).cast("long")
-
-
 def latest_order_per_customer(orders: DataFrame) -> DataFrame:
     latest = first_per_key(
         orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"),
@@ -45,28 +38,25 @@ def latest_order_per_customer(orders: DataFrame) -> DataFrame:
 
 
 def price_quartiles(lineitem: DataFrame) -> DataFrame:
-    counted = value_counts(lineitem, ["l_returnflag"], _units("l_extendedprice"))
-    quartiles = percentile_cont(F.col("value"), [0.25, 0.5, 0.75], F.col("n"))
-    return (
-        counted.groupBy("l_returnflag")
-        .agg(F.sum("n").alias("line_count"), quartiles.alias("q"))
-        .select(
-            "l_returnflag",
-            "line_count",
-            *[pg_round(F.col("q")[i], 2).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
-        )
+    quartiles = large_quantiles(lineitem, ["l_returnflag"], F.col("l_extendedprice"), [0.25, 0.5, 0.75])
+    counts = lineitem.groupBy("l_returnflag").agg(F.count("*").alias("line_count"))
+    same = counts["l_returnflag"].eqNullSafe(quartiles["l_returnflag"])
+    return counts.join(quartiles, same, "left").select(
+        counts["l_returnflag"],
+        "line_count",
+        *[pg_round(F.col("q")[i], 2).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
     )
 
 
 def discounted_price_median(lineitem: DataFrame) -> DataFrame:
-    discounted = F.col("l_discount") >= 0.05
-    counted = value_counts(
-        lineitem, ["l_linestatus"], _units("l_extendedprice"), {"n_discounted": count_where(discounted)}
-    )
-    value = F.col("value")
-    return counted.groupBy("l_linestatus").agg(
-        pg_round(percentile_cont(value, 0.5, F.col("n")), 2).alias("median_price"),
-        pg_round(percentile_cont(value, 0.5, F.col("n_discounted")), 2).alias("median_discounted_price"),
+    price, key = F.col("l_extendedprice"), ["l_linestatus"]
+    every = large_quantiles(lineitem, key, price, [0.5], "every")
+    discounted = large_quantiles(lineitem.filter(F.col("l_discount") >= 0.05), key, price, [0.5], "discounted")
+    same = every["l_linestatus"].eqNullSafe(discounted["l_linestatus"])
+    return every.join(discounted, same, "left").select(
+        every["l_linestatus"],
+        pg_round(F.col("every")[0], 2).alias("median_price"),
+        pg_round(F.col("discounted")[0], 2).alias("median_discounted_price"),
     )
 
 
@@ -150,21 +140,17 @@ def large_order_quotient(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 def price_cohorts(orders: DataFrame) -> DataFrame:
     """Orders per priority that fall below, inside and above the middle half of all prices."""
-    counted = value_counts(orders, ["o_orderpriority"], _units("o_totalprice"))
-    quartiles = percentile_cont(F.col("value"), [0.25, 0.75], F.col("n"))
-    bounds = (
-        value_counts(orders, [], _units("o_totalprice"))
-        .agg(quartiles.alias("q"))
-        .select(settled(F.col("q")[0]).alias("q1"), settled(F.col("q")[1]).alias("q3"))
+    bounds = large_quantiles(orders, [], F.col("o_totalprice"), [0.25, 0.75]).select(
+        settled(F.col("q")[0]).alias("q1"), settled(F.col("q")[1]).alias("q3")
     )
-    value, n = F.col("value"), F.col("n")
+    price = settled(F.col("o_totalprice"))
     return (
-        benchmarks.attach(counted, bounds)
+        benchmarks.attach(orders.select("o_orderpriority", "o_totalprice"), bounds)
         .groupBy("o_orderpriority")
         .agg(
-            sum_where(n, value < F.col("q1")).alias("below"),
-            sum_where(n, value.between(F.col("q1"), F.col("q3"))).alias("inside"),
-            sum_where(n, value > F.col("q3")).alias("above"),
+            count_where(price < F.col("q1")).alias("below"),
+            count_where(price.between(F.col("q1"), F.col("q3"))).alias("inside"),
+            count_where(price > F.col("q3")).alias("above"),
         )
     )
 
@@ -178,10 +164,12 @@ def customer_flags(orders: DataFrame) -> DataFrame:
 
 def customers_against_median(orders: DataFrame) -> DataFrame:
     """Customers by whether their median order price lies above, at or below the overall median."""
-    value, n = F.col("value"), F.col("n")
-    counted = value_counts(orders, ["o_custkey"], _units("o_totalprice"))
-    own = counted.groupBy("o_custkey").agg(percentile_cont(value, 0.5, n).alias("own_median"), F.sum("n").alias("orders"))
-    overall = value_counts(orders, [], _units("o_totalprice")).agg(percentile_cont(value, 0.5, n).alias("overall_median"))
+    counted = value_counts(orders.filter(F.col("o_totalprice").isNotNull()), ["o_custkey"], F.col("o_totalprice"))
+    medians = group_quantiles(counted, ["o_custkey"], [0.5]).select("o_custkey", F.col("q")[0].alias("own_median"))
+    sizes = orders.groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    same = sizes["o_custkey"].eqNullSafe(medians["o_custkey"])
+    own = sizes.join(medians, same, "left").select(sizes["o_custkey"], "orders", "own_median")
+    overall = large_quantiles(orders, [], F.col("o_totalprice"), [0.5]).select(F.col("q")[0].alias("overall_median"))
     compared = benchmarks.attach(own, overall)
     own_median, overall_median = settled(F.col("own_median")), settled(F.col("overall_median"))
     position = F.when(own_median > overall_median, "above").when(own_median < overall_median, "below").otherwise("at")
