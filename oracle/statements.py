@@ -127,24 +127,33 @@ institutions AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY md5(k), k) AS institution_id, * EXCLUDE (k) FROM chosen
 )"""
 
-# Every candidate pair under the OR-ed condition, then the best one per reference.
-_LOOKUP = """refs AS (
-  SELECT DISTINCT eo_edeboid, eo_edrpou, eo_name, eo_reg_name, eo_area_name, eo_ter_name FROM staging WHERE eo_name <> 'null'
+# One select per way to find an institution; a smaller place wins, then the smaller id.
+_REFERENCE = ("eo_edeboid", "eo_edrpou", "eo_name", "eo_reg_name", "eo_area_name", "eo_ter_name")
+
+
+def _closeness(known: str, candidate: str) -> str:
+    """0 for the same place, 1 for another, 2 where either side says nothing."""
+    return f"CASE WHEN {known} = 'null' OR {known} IS NULL OR {candidate} IS NULL THEN 2 WHEN {known} = {candidate} THEN 0 ELSE 1 END"
+
+
+_LOOKUP = f"""refs AS (
+  SELECT DISTINCT {", ".join(_REFERENCE)} FROM staging WHERE eo_name <> 'null'
+),
+without_id AS (SELECT * FROM refs WHERE eo_edeboid = 'null' OR eo_edeboid IS NULL),
+by_id AS (SELECT r.*, 0 AS place, i.institution_id FROM refs r JOIN institutions i ON i.edebo_id = r.eo_edeboid WHERE r.eo_edeboid <> 'null'),
+by_code AS (
+  SELECT r.*, 10 + 3 * ({_closeness("r.eo_ter_name", "i.ter_name")}) + ({_closeness("r.eo_area_name", "i.area_name")}) AS place, i.institution_id
+  FROM without_id r JOIN institutions i ON i.edrpou = r.eo_edrpou AND i.institution_name = r.eo_name WHERE r.eo_edrpou <> 'null'
+),
+by_place AS (
+  SELECT r.*, 20 AS place, i.institution_id
+  FROM without_id r JOIN institutions i ON i.institution_name = r.eo_name AND i.reg_name = r.eo_reg_name
+  WHERE (r.eo_edrpou = 'null' OR r.eo_edrpou IS NULL)
+    AND list_contains(['null', i.area_name], r.eo_area_name) AND list_contains(['null', i.ter_name], r.eo_ter_name)
 ),
 matches AS MATERIALIZED (
-  SELECT r.*, i.institution_id
-  FROM refs r JOIN institutions i ON
-       (nullif(r.eo_edeboid, 'null') = i.edebo_id)
-    OR (coalesce(r.eo_edeboid, 'null') = 'null' AND nullif(r.eo_edrpou, 'null') = i.edrpou AND r.eo_name = i.institution_name)
-    OR (coalesce(r.eo_edeboid, 'null') = 'null' AND coalesce(r.eo_edrpou, 'null') = 'null'
-        AND r.eo_name = i.institution_name AND r.eo_reg_name = i.reg_name
-        AND (r.eo_area_name = 'null' OR r.eo_area_name = i.area_name)
-        AND (r.eo_ter_name = 'null' OR r.eo_ter_name = i.ter_name))
-  QUALIFY row_number() OVER (
-    PARTITION BY r.eo_edeboid, r.eo_edrpou, r.eo_name, r.eo_reg_name, r.eo_area_name, r.eo_ter_name
-    ORDER BY (i.edebo_id = nullif(r.eo_edeboid, 'null')) DESC NULLS LAST, (i.edrpou = nullif(r.eo_edrpou, 'null')) DESC NULLS LAST,
-             (i.ter_name = nullif(r.eo_ter_name, 'null')) DESC NULLS LAST, (i.area_name = nullif(r.eo_area_name, 'null')) DESC NULLS LAST,
-             i.institution_id) = 1
+  SELECT {", ".join(_REFERENCE)}, min(struct_pack(place := place, id := institution_id)).id AS institution_id
+  FROM (FROM by_id UNION ALL FROM by_code UNION ALL FROM by_place) GROUP BY {", ".join(_REFERENCE)}
 )"""
 
 _SAME_REFERENCE = " AND ".join(
@@ -197,13 +206,30 @@ def _subjects() -> str:
 
 # --- marts -------------------------------------------------------------------
 
-_CENTRE = f"""CASE WHEN i.institution_id IS NULL THEN FALSE
-              WHEN i.reg_name IN {listed(fv.CAPITAL_REGION_SPELLINGS)} THEN TRUE
-              WHEN trim(regexp_replace(i.area_name, '^м\\.\\s*', '')) IN {listed(fv.CENTRE_DISTRICTS)} THEN TRUE
-              WHEN i.ter_name ILIKE 'м.%' AND trim(regexp_replace(i.ter_name, '^м\\.\\s*', '')) IN {listed(fv.CENTRE_TOWNS)} THEN TRUE
-              WHEN i.ter_name ILIKE 'м.%' AND trim(regexp_replace(i.ter_name, '^м\\.\\s*', '')) = '{fv.AMBIGUOUS_TOWN}'
-                   AND i.reg_name = '{fv.AMBIGUOUS_TOWN_REGION}' THEN TRUE
-              ELSE FALSE END"""
+def _bare(column: str) -> str:
+    """A place name without its town mark."""
+    return f"trim(regexp_replace({column}, '^м\\.\\s*', ''))"
+
+
+def _centre_places() -> str:
+    rows = [("region", name, None) for name in fv.CAPITAL_REGION_SPELLINGS]
+    rows += [("district", name, None) for name in fv.CENTRE_DISTRICTS]
+    rows += [("town", name, None) for name in fv.CENTRE_TOWNS]
+    rows.append(("town", fv.AMBIGUOUS_TOWN, fv.AMBIGUOUS_TOWN_REGION))
+    return ", ".join(f"({text(level)}, {text(name)}, {text(region) if region else 'NULL'})" for level, name, region in rows)
+
+
+# Which institutions lie in a regional centre, from a table of places by level.
+_CENTRAL = f"""centre_places(level, place, region) AS (VALUES {_centre_places()}),
+named_places AS (
+  SELECT institution_id, 'region' AS level, reg_name AS place, reg_name FROM institutions
+  UNION ALL SELECT institution_id, 'district', {_bare("area_name")}, reg_name FROM institutions
+  UNION ALL SELECT institution_id, 'town', {_bare("ter_name")}, reg_name FROM institutions WHERE ter_name ILIKE 'м.%'
+),
+central AS MATERIALIZED (
+  SELECT DISTINCT institution_id, TRUE AS is_regional_center FROM named_places JOIN centre_places USING (level, place)
+  WHERE region IS NULL OR region = reg_name
+)"""
 
 _CLEAN = f"""clean AS MATERIALIZED (
   SELECT e.out_id, e.test_date, e.subject_code, e.raw_score, e.scaled_score, p.participant_status,
@@ -211,8 +237,9 @@ _CLEAN = f"""clean AS MATERIALIZED (
                        '{fv.TERRITORY_VILLAGE}': '{fv.LOCATION_VILLAGE}'}}[p.ter_type], '{fv.UNDEFINED}') AS macro_location,
          p.gender, i.institution_id, i.institution_name, i.institution_type, i.reg_name, i.area_name, i.ter_name,
          concat_ws(', ', i.reg_name, i.area_name, i.ter_name) AS full_institution_location,
-         {_CENTRE} AS is_regional_center
+         coalesce(c.is_regional_center, FALSE) AS is_regional_center
   FROM exam_results e JOIN participants p USING (out_id) LEFT JOIN institutions i USING (institution_id)
+  LEFT JOIN central c USING (institution_id)
   WHERE e.is_present AND e.test_date IS NOT NULL AND e.scaled_score IS NOT NULL
 )"""
 
@@ -243,7 +270,7 @@ INSTITUTIONS = [*STAGING, _INSTITUTIONS]
 PARTICIPANTS = [*INSTITUTIONS, _LOOKUP, _PARTICIPANTS]
 EXAMS = [*STAGING, _exam_results()]
 STAR = [*PARTICIPANTS, _exam_results(), _subjects()]
-CLEAN = [*PARTICIPANTS, _exam_results(), _CLEAN]
+CLEAN = [*PARTICIPANTS, _exam_results(), _CENTRAL, _CLEAN]
 PROFILES = [*CLEAN, _PROFILES]
 
 
@@ -251,63 +278,97 @@ PROFILES = [*CLEAN, _PROFILES]
 
 _CURRENT = f"participant_status = '{fv.STATUS_CURRENT_YEAR}'"
 
-_DAYS = f"""sittings AS (
-  SELECT out_id, test_date, participant_status,
-         avg(CAST(scaled_score AS DOUBLE)) FILTER (WHERE {_IS_MANDATORY}) AS rating,
-         bool_or(scaled_score = 0 AND {_IS_MANDATORY}) AS failed
+# One select per measure of a session, joined on the date; neighbouring sessions by their number.
+_PER_DAY = {
+    "turnout": ", ".join(
+        [
+            "count(*) AS total_participants",
+            *[
+                f"{percent(hits(f'participant_status = {text(status)}'), 'count(*)', 1)} AS {name}_pct"
+                for status, name in (
+                    (fv.STATUS_CURRENT_YEAR, "current_year_graduates"),
+                    (fv.STATUS_PREVIOUS_YEARS, "previous_year_graduates"),
+                    (fv.STATUS_PENITENTIARY, "penitentiary_graduates"),
+                )
+            ],
+        ]
+    ),
+    "overall": f"{rounded('avg(rating)', 2)} AS avg_scaled_score_overall, {rounded(quantile('rating', 0.5), 2)} AS median_scaled_score_overall",
+    "losses": f"{percent(hits('failed'), 'count(*)', 2)} AS fail_rate_mandatory",
+}
+
+_DAYS = f"""person_days AS MATERIALIZED (
+  SELECT out_id, participant_status, test_date, avg(CAST(scaled_score AS DOUBLE)) FILTER (WHERE {_IS_MANDATORY}) AS rating,
+         count(*) FILTER (WHERE scaled_score = 0 AND {_IS_MANDATORY}) > 0 AS failed
   FROM clean GROUP BY ALL
 ),
-calendar AS (
-  SELECT test_date, count(*) AS total_participants,
-         {percent(hits(_CURRENT), "count(*)", 1)} AS current_year_graduates_pct,
-         {percent(hits(f"participant_status = '{fv.STATUS_PREVIOUS_YEARS}'"), "count(*)", 1)} AS previous_year_graduates_pct,
-         {percent(hits(f"participant_status = '{fv.STATUS_PENITENTIARY}'"), "count(*)", 1)} AS penitentiary_graduates_pct,
-         {rounded("avg(rating)", 2)} AS avg_scaled_score_overall,
-         {rounded(f"avg(rating) FILTER (WHERE {_CURRENT})", 2)} AS avg_score_current_year,
-         {rounded(quantile("rating", 0.5), 2)} AS median_scaled_score_overall,
-         {rounded(quantile("rating", 0.5, _CURRENT), 2)} AS median_score_current_year,
-         {percent(hits("failed"), "count(*)", 2)} AS fail_rate_mandatory
-  FROM sittings GROUP BY test_date
+{", ".join(f"{name} AS (SELECT test_date, {measures} FROM person_days GROUP BY test_date)" for name, measures in _PER_DAY.items())},
+graduates AS (
+  SELECT test_date, {rounded("avg(rating)", 2)} AS avg_score_current_year, {rounded(quantile("rating", 0.5), 2)} AS median_score_current_year
+  FROM person_days WHERE {_CURRENT} GROUP BY test_date
+),
+numbered AS MATERIALIZED (
+  SELECT *, (SELECT count(*) FROM turnout e WHERE e.test_date <= t.test_date) AS seq_session_number
+  FROM turnout t JOIN overall USING (test_date) JOIN losses USING (test_date) LEFT JOIN graduates USING (test_date)
+),
+phases(month_number, session_phase) AS (VALUES {", ".join(f"({m}, {text(label)})" for m, label in fv.SESSION_PHASES.items())}),
+weekdays(day_number, day_of_week) AS (VALUES {", ".join(f"({d}, {text(label)})" for d, label in fv.WEEKDAYS.items())}),
+nearby AS (
+  SELECT a.test_date, {rounded("avg(b.avg_score_current_year)", 2)} AS smoothed_avg_current_year
+  FROM numbered a JOIN numbered b ON abs(a.seq_session_number - b.seq_session_number) <= 1 GROUP BY a.test_date
+),
+progress AS (
+  SELECT a.test_date, {percent("sum(b.total_participants)", "(SELECT sum(total_participants) FROM numbered)", 1)} AS cume_progress
+  FROM numbered a JOIN numbered b ON b.test_date <= a.test_date GROUP BY a.test_date
 ),
 days AS MATERIALIZED (
-  SELECT test_date, row_number() OVER w AS seq_session_number,
-         MAP {{{", ".join(f"{m}: {text(label)}" for m, label in fv.SESSION_PHASES.items())}}}[month(test_date)] AS session_phase,
-         MAP {{{", ".join(f"{d}: {text(label)}" for d, label in fv.WEEKDAYS.items())}}}[isodow(test_date)] AS day_of_week,
-         * EXCLUDE (test_date),
-         {rounded("avg_score_current_year - lag(avg_score_current_year) OVER w", 2)} AS day_over_day_delta_current_year,
-         {rounded("avg(avg_score_current_year) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)", 2)} AS smoothed_avg_current_year,
-         {percent("sum(total_participants) OVER w", "sum(total_participants) OVER ()", 1)} AS cume_progress
-  FROM calendar WINDOW w AS (ORDER BY test_date)
+  SELECT n.test_date, n.seq_session_number, session_phase, day_of_week, n.total_participants, n.current_year_graduates_pct,
+         n.previous_year_graduates_pct, n.penitentiary_graduates_pct, n.avg_scaled_score_overall, n.avg_score_current_year,
+         n.median_scaled_score_overall, n.median_score_current_year, n.fail_rate_mandatory,
+         {rounded("n.avg_score_current_year - y.avg_score_current_year", 2)} AS day_over_day_delta_current_year,
+         smoothed_avg_current_year, cume_progress
+  FROM numbered n LEFT JOIN numbered y ON y.seq_session_number = n.seq_session_number - 1
+  LEFT JOIN phases ON month_number = month(n.test_date) LEFT JOIN weekdays ON day_number = isodow(n.test_date)
+  JOIN nearby w ON w.test_date = n.test_date JOIN progress p ON p.test_date = n.test_date
 )"""
 
-_REGIONS = f"""placed AS (
-  SELECT out_id, CASE WHEN reg_name = '{fv.CAPITAL_AS_REGION}' THEN '{fv.CAPITAL_HOME_REGION}' ELSE reg_name END AS reg_name,
-         is_regional_center AS central, avg(CAST(scaled_score AS DOUBLE)) AS rating, bool_or(scaled_score = 0) AS failed
-  FROM clean WHERE reg_name IS NOT NULL GROUP BY ALL
+
+def _side(name: str, condition: str) -> str:
+    """Figures of the centres or of everywhere else, by region."""
+    return f"""{name} AS (
+  SELECT reg_name, count(*) AS n, {rounded(quantile("rating", 0.5), 2)} AS median, {hits("rating >= 180")} AS top, {hits("failed")} AS lost,
+         {percent(hits("rating >= 180"), "count(*)", 2)} AS top_share, {percent(hits("failed"), "count(*)", 2)} AS lost_share
+  FROM residents WHERE {condition} GROUP BY reg_name
+)"""
+
+
+# Centres and the rest as two tables, joined on the region.
+_REGIONS = f"""residents AS MATERIALIZED (
+  SELECT reg_name, out_id, in_centre, avg(CAST(scaled_score AS DOUBLE)) AS rating, min(scaled_score) = 0 AS failed
+  FROM (SELECT coalesce(MAP {{{text(fv.CAPITAL_AS_REGION)}: {text(fv.CAPITAL_HOME_REGION)}}}[reg_name], reg_name) AS reg_name, out_id,
+               is_regional_center AS in_centre, scaled_score FROM clean WHERE reg_name IS NOT NULL)
+  GROUP BY reg_name, out_id, in_centre
+),
+{_side("centre", "in_centre")},
+{_side("rest", "NOT in_centre")},
+both_sides AS (
+  SELECT reg_name, c.* EXCLUDE (reg_name), r.n AS r_n, r.median AS r_median, r.top AS r_top, r.lost AS r_lost, r.top_share AS r_top_share,
+         r.lost_share AS r_lost_share, coalesce(c.n, 0) + coalesce(r.n, 0) AS everyone, coalesce(c.top, 0) + coalesce(r.top, 0) AS all_top
+  FROM centre c FULL JOIN rest r USING (reg_name)
 ),
-sides AS (
-  SELECT reg_name, count(*) AS everyone, {hits("central")} AS inside, {hits("NOT central")} AS outside,
-         {rounded(quantile("rating", 0.5, "central"), 2)} AS inside_median,
-         {rounded(quantile("rating", 0.5, "NOT central"), 2)} AS outside_median,
-         {hits("rating >= 180")} AS strong, {hits("rating >= 180 AND central")} AS inside_strong,
-         {hits("rating >= 180 AND NOT central")} AS outside_strong,
-         {hits("failed AND central")} AS inside_failed, {hits("failed AND NOT central")} AS outside_failed
-  FROM placed GROUP BY reg_name
+quotients AS (
+  SELECT *, {rounded("(top / n) / nullif(all_top / everyone, 0)", 2)} AS monopoly_lq_index FROM both_sides
 ),
 regions AS MATERIALIZED (
-  SELECT reg_name, everyone AS total_participants, inside AS center_participants, outside AS periphery_participants,
-         {percent("inside", "everyone", 1)} AS center_participants_percentage,
-         inside_median AS median_center_score, outside_median AS median_periphery_score,
-         {rounded("inside_median - outside_median", 2)} AS delta_median,
-         {percent("inside_strong", "inside", 2)} AS center_high_achievers_percentage,
-         {percent("outside_strong", "outside", 2)} AS periphery_high_achievers_percentage,
-         {rounded("(inside_strong * everyone) / nullif(strong * inside, 0)", 2)} AS monopoly_lq_index,
-         {percent("inside_failed", "inside", 2)} AS center_failed_percentage,
-         {percent("outside_failed", "outside", 2)} AS periphery_failed_percentage,
-         {rounded("(outside_failed / nullif(outside, 0)) / nullif(inside_failed / nullif(inside, 0), 0)", 2)} AS fail_rate_ratio,
+  SELECT reg_name, everyone AS total_participants, coalesce(n, 0) AS center_participants, coalesce(r_n, 0) AS periphery_participants,
+         {percent("coalesce(n, 0)", "everyone", 1)} AS center_participants_percentage,
+         median AS median_center_score, r_median AS median_periphery_score, {rounded("median - r_median", 2)} AS delta_median,
+         top_share AS center_high_achievers_percentage, r_top_share AS periphery_high_achievers_percentage, monopoly_lq_index,
+         lost_share AS center_failed_percentage, r_lost_share AS periphery_failed_percentage,
+         {rounded("(r_lost / r_n) / nullif(lost / n, 0)", 2)} AS fail_rate_ratio,
          CASE {" ".join(f"WHEN monopoly_lq_index >= {floor} THEN '{name}'" for floor, name in fv.REGION_CLASSES)}
               WHEN monopoly_lq_index IS NULL THEN '{fv.UNDEFINED}' ELSE '{fv.REGION_BALANCED}' END AS region_classification
-  FROM sides
+  FROM quotients
 )"""
 
 _ANY_FAIL = "score_ukr = 0 OR score_math = 0 OR score_hist = 0"
