@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 
@@ -40,7 +41,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = strings(batch.column(text))
+        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.append(0, np.cumsum(lengths.astype(np.int64)))
         start = 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
@@ -53,7 +55,7 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
     held, size = [], 0
     for batch in blocks(batches, text, most):
         held.append(batch)
-        size += len(strings(batch.column(text))[0])
+        size += pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
         if size >= most:
             yield pa.Table.from_batches(held)
             held, size = [], 0

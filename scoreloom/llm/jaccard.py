@@ -38,9 +38,9 @@ from scoreloom.llm.shared import written
 
 U = np.uint64
 #: Bytes of text that are hashed at once; tokens among which repeats are counted at once.
-BLOCK, COUNTED = 1 << 20, 1 << 21
+BLOCK, COUNTED = 1 << 19, 1 << 21
 #: A token is frequent if blocks in which it stands SEEN times or more have it FREQUENT times together.
-SEEN, FREQUENT, FREQUENT_MOST = 3, 12, 1 << 18
+SEEN, FREQUENT, FREQUENT_MOST = 2, 12, 1 << 19
 #: A signature of so many nodes gives all their pairs.
 SMALL = 24
 #: Bits of the filter that leaves out sets which no pair needs.
@@ -97,7 +97,7 @@ def nodes(docs: DataFrame, width: int, id: str, text: str) -> DataFrame:
         waiting = None
         for batch in B.blocks(batches, "__text", BLOCK):
             sets = _sets(batch, width)
-            held.extend(sets)
+            held.append(np.concatenate(sets))
             size += sum(map(len, sets))
             if waiting:
                 yield row(*waiting, [], [])
@@ -259,14 +259,19 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     side = lambda df, p, *more: df.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "pos", *more)])
     pairs = side(small, "l").join(side(small, "r"), "sig").where("l_node < r_node")
     pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"))
-    large = shared.where((F.col("many") > SMALL) & (F.col("pos") >= 0)).groupBy("node").agg(F.count("*").alias("unseen"))
-    known = about.join(large, "node", "left").select("node", "tokens", "rare", "end", F.coalesce("unseen", F.lit(0)).alias("unseen"))
-    of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("tokens", "rare", "end", "unseen")])
+    singles = shared.where("pos >= 0").groupBy("node").agg(F.sum((F.col("many") > SMALL).cast("int")).alias("in_large"), F.sum((F.col("many") <= SMALL).cast("int")).alias("in_small"))
+    known = written(about.join(singles, "node", "left").na.fill(0, ["in_large", "in_small"]), "known")
+    of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("tokens", "rare", "end", "in_large", "in_small")])
     need = _sized(num, den)
-    # of the prefix that ends first, every rare token that is not shared with the other prefix is missing there
-    missed = "({p}_end > {q}_end or {p}_rare - met - least(l_unseen, r_unseen) <= {p}_tokens - " + need + ")"
-    pairs = pairs.join(of("l"), "l").join(of("r"), "r").where(f"{need} <= least(l_tokens, r_tokens)")
-    first = pairs.where(missed.format(p="l", q="r") + " and " + missed.format(p="r", q="l")).select("l", "r")
+
+    def possible(pairs: DataFrame, others: str) -> DataFrame:
+        """Of (l, r, met) those that can link: of the prefix that ends first, every rare token that is not shared with the other
+        prefix is missing there. `met` counts shared ones in some signatures, `others` has the number of each node's in all others."""
+        pairs = pairs.join(of("l"), "l").join(of("r"), "r").where(f"{need} <= least(l_tokens, r_tokens)")
+        test = "({p}_end > {q}_end or {p}_rare - met - least(l_" + others + ", r_" + others + ") <= {p}_tokens - " + need + ")"
+        return pairs.where(test.format(p="l", q="r") + " and " + test.format(p="r", q="l")).select("l", "r")
+
+    first = possible(pairs, "in_large")
 
     hot = shared.where(F.col("many") > SMALL).join(about, "node")
     centres = hot.groupBy("sig").agg(F.min(F.struct("rare", "node", "tokens")).alias("c"))
@@ -284,8 +289,8 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     placed = placed.join(open_, "sig")
     columns = ("tokens", "rare", "component")
     rest = side(placed, "l", *columns).join(side(placed, "r", *columns), "sig").where("l_node < r_node and l_component <> r_component").where(fits)
-    rest = rest.select(F.col("l_node").alias("l"), F.col("r_node").alias("r")).distinct()
-    rest = written(rest.join(first, ["l", "r"], "left_anti"), "pairs")
+    rest = rest.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"))
+    rest = written(possible(rest, "in_small").join(first, ["l", "r"], "left_anti"), "pairs")
     if rest.limit(1).count():
         links = links.unionAll(compare(rest, docs, rows, *args))
 

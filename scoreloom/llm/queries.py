@@ -106,7 +106,7 @@ def op5_learned_search(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op6_context_mixing(spark: SparkSession, directory: str) -> DataFrame:
-    found = context_mixing.score(table(spark, directory, "documents"), remainder("doc_id", 7) != 2)
+    found = context_mixing.score(table(spark, directory, "documents"), remainder("doc_id", 7) != 2, group="lang")
     return found.select(F.col("id").alias("doc_id"), (~F.col("trains")).alias("held_out"), *found.columns[2:])
 
 
