@@ -184,10 +184,15 @@ def _exam_results() -> str:
             f"{value_or_null(s.prefix + '_ball')} AS raw_text, {value_or_null(s.prefix + '_ball100')} AS scaled_text FROM staging"
         )
     stacked = "\n  UNION ALL\n".join(parts)
+    fields = ", ".join(
+        f"coalesce(CAST({c} AS VARCHAR), '-')"
+        for c in ("out_id", "subject_code", "test_date", "exam_lang", "status", "raw_score", "scaled_score", "is_present",
+                  "pt_reg_name", "pt_area_name", "pt_ter_name")
+    )
     return f"""long AS (
 {stacked}
 ),
-exam_results AS MATERIALIZED (
+results AS (
   SELECT lower(trim(outid)) AS out_id, subject_code, CAST(strptime(nullif(day, 'null'), '%d.%m.%Y') AS DATE) AS test_date,
          exam_lang, status,
          CAST(trim(replace(raw_text, ',', '.')) AS DECIMAL(5,2)) AS raw_score,
@@ -196,7 +201,9 @@ exam_results AS MATERIALIZED (
          nullif(pt_reg_name, 'null') AS pt_reg_name, nullif(pt_area_name, 'null') AS pt_area_name,
          nullif(pt_ter_name, 'null') AS pt_ter_name
   FROM long WHERE status IS NOT NULL OR scaled_text IS NOT NULL
-)"""
+),
+keyed AS (SELECT *, concat_ws('|', {fields}) AS k FROM results),
+exam_results AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(k), k) AS result_id, * EXCLUDE (k) FROM keyed)"""
 
 
 def _subjects() -> str:
@@ -232,7 +239,7 @@ central AS MATERIALIZED (
 )"""
 
 _CLEAN = f"""clean AS MATERIALIZED (
-  SELECT e.out_id, e.test_date, e.subject_code, e.raw_score, e.scaled_score, p.participant_status,
+  SELECT e.result_id, e.out_id, e.test_date, e.subject_code, e.raw_score, e.scaled_score, p.participant_status,
          coalesce(MAP {{'{fv.TERRITORY_ABROAD}': '{fv.LOCATION_ABROAD}', '{fv.TERRITORY_CITY}': '{fv.LOCATION_CITY}',
                        '{fv.TERRITORY_VILLAGE}': '{fv.LOCATION_VILLAGE}'}}[p.ter_type], '{fv.UNDEFINED}') AS macro_location,
          p.gender, i.institution_id, i.institution_name, i.institution_type, i.reg_name, i.area_name, i.ter_name,
@@ -478,10 +485,9 @@ def _union(parts: list[str]) -> str:
 def _unique_parts() -> list[str]:
     parts = []
     for table, key in schemas.PRIMARY_KEYS.items():
-        source = table if table != "exam_results" else "(SELECT *, row_number() OVER () AS result_id FROM exam_results)"
         parts.append(
             f"SELECT '{table}' AS table_name, '{key}' AS rule, count(*) AS keys_checked, {hits('n > 1')} AS violations "
-            f"FROM (SELECT {key}, count(*) AS n FROM {source} GROUP BY {key})"
+            f"FROM (SELECT {key}, count(*) AS n FROM {table} GROUP BY {key})"
         )
     return parts
 
@@ -500,7 +506,7 @@ def _rule(table: str, rule: str, condition: str) -> str:
 
 def _not_null_parts() -> list[str]:
     return [
-        _rule(table, column, "FALSE" if column == "result_id" else f"{column} IS NULL")
+        _rule(table, column, f"{column} IS NULL")
         for table, columns in schemas.REQUIRED.items()
         for column in columns
     ]

@@ -30,17 +30,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 _warehouses: dict[tuple, Warehouse] = {}
 
 
-def _stamp(spark: SparkSession, path: str) -> int:
-    """Modification time of a table, so that replaced input is loaded anew."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.getFileStatus(location).getModificationTime()
-
-
 def warehouse(spark: SparkSession, directory: str) -> Warehouse:
-    """The load of one input directory, shared by all queries of a session."""
-    stamps = tuple(_stamp(spark, f"{directory}/{name}.parquet") for name in adapter.INPUTS)
-    key = (spark.sparkContext.applicationId, directory, stamps)
+    """The load of one input directory, shared by all queries of a session; other input files make another load."""
+    files = tuple(tuple(load(spark, directory, name).inputFiles()) for name in adapter.INPUTS)
+    key = (spark.sparkContext.applicationId, directory, files)
     if key not in _warehouses:
         _warehouses[key] = Warehouse(spark, lambda: adapter.staging(spark, directory))
     return _warehouses[key]
@@ -75,13 +68,11 @@ def _profiles(w: Warehouse) -> DataFrame:
 
 
 def _days(w: Warehouse) -> DataFrame:
-    return sessions.daily_sessions(w["exam_results"], w["participants"])
+    return sessions.calendar_of(w["person_days"])
 
 
 def _raw_file(w: Warehouse) -> DataFrame:
     """Staging written in the raw file format and read back through the raw reader."""
-    if w.path is None:
-        return w["staging"]
     path = w.fresh_path("raw")
     staging_csv.write_staging(w["staging"], path)
     return staging_csv.read_staging(w.spark, path)
@@ -90,8 +81,6 @@ def _raw_file(w: Warehouse) -> DataFrame:
 def _exported(w: Warehouse) -> DataFrame:
     """A finished result written for publication and read back as text."""
     result = resilience.macro_locations(_profiles(w))
-    if w.path is None:
-        return result.select(*[F.col(c).cast("string").alias(c) for c in result.columns])
     path = w.fresh_path("export")
     write_result(result, path)
     text = T.StructType([T.StructField(c, T.StringType()) for c in result.columns])
@@ -104,11 +93,11 @@ QUERIES: dict[str, Query] = {
     "etl_subjects": _from_load(lambda w: etl.subject_usage(w["subjects"], w["exam_results"])),
     "etl_institutions": _from_load(lambda w: w["institutions"]),
     "etl_participants": _from_load(lambda w: w["participants"]),
-    "etl_exam_results": _from_load(lambda w: w["exam_results"].drop("result_id")),
+    "etl_exam_results": _from_load(lambda w: w["exam_results"]),
     "csv_raw_file": _from_load(_raw_file),
     "csv_result_export": _from_load(_exported),
     # marts
-    "mart_clean_exam_results": _from_load(lambda w: w.clean_exam_results().drop("result_id")),
+    "mart_clean_exam_results": _from_load(lambda w: w.clean_exam_results()),
     "mart_student_profiles": _from_load(lambda w: _profiles(w).select(*marts.PROFILE_COLUMNS)),
     # modules
     "m1_daily_sessions": _from_load(_days),
@@ -138,7 +127,7 @@ QUERIES: dict[str, Query] = {
     "dq_foreign_key": _from_load(lambda w: quality.foreign_key_report(w.star)),
     "dq_not_null": _from_load(lambda w: quality.not_null_report(w.star)),
     "dq_domain": _from_load(lambda w: quality.domain_report(w.star, w["staging"])),
-    "dq_unresolved": _from_load(lambda w: quality.resolution_summary(w["staging"], w["institutions"])),
+    "dq_unresolved": _from_load(lambda w: quality.resolution_summary(w["staging"], w["institutions"], w["institution_lookup"])),
     # single operators on the order and event tables
     "first_per_key_latest_order": _from_tables(on_orders.latest_order_per_customer, "orders"),
     "percentile_by_group": _from_tables(on_orders.price_quartiles, "lineitem"),

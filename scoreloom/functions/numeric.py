@@ -88,20 +88,23 @@ def iqr(quartiles: Column, places: int) -> Column:
     return pg_round(F.element_at(quartiles, -1) - F.element_at(quartiles, 1), places)
 
 
-def sample_stddev(value: Column, n: Column) -> Column:
-    """Aggregate over value counts of a two-place decimal: exact sample standard deviation.
+def sample_stddev(value: Column, n: Column, places: int = 2) -> Column:
+    """Aggregate over value counts of a decimal with so many places: exact sample standard deviation.
 
-    Uses integer power sums of the hundredths, so no order-dependent double
-    accumulation; NULL for fewer than two values.
+    Integer power sums of the last place, so no order-dependent double accumulation. They are centred on the
+    whole number next to the mean before anything is squared away, which leaves room for 10^15 rows in a group.
+    NULL for fewer than two values.
     """
-    hundredths = (value * 100).cast("decimal(9,0)")
-    weight = F.when(value.isNotNull(), n).cast("decimal(12,0)")
-    count = F.sum(weight).cast("decimal(12,0)")
-    total = F.sum(hundredths * weight).cast("decimal(19,0)")
-    squares = F.sum(hundredths * hundredths * weight).cast("decimal(26,0)")
-    spread = (count * squares - total * total).cast("double")
-    pairs = (count * (count - 1)).cast("double")
-    return F.sqrt(safe_div(spread, pairs)) / 100
+    units = (value * 10**places).cast("decimal(10,0)")
+    weight = F.when(value.isNotNull(), n).cast("decimal(15,0)")
+    count = F.sum(weight).cast("decimal(16,0)")
+    total = F.sum((units * weight).cast("decimal(25,0)")).cast("decimal(26,0)")
+    squares = F.sum((units * units * weight).cast("decimal(36,0)")).cast("decimal(38,0)")
+    middle = F.round(total / F.nullif(count, F.lit(0))).cast("decimal(10,0)")
+    off = total - middle * count  # at most half the count
+    centred = squares.cast("decimal(38,0)") - (middle * (total + off)).cast("decimal(38,0)")
+    spread = centred.cast("double") - safe_div(off.cast("double") * off.cast("double"), count.cast("double"))
+    return F.sqrt(safe_div(spread, (count - 1).cast("double"))) / 10**places
 
 
 def cv(value: Column, n: Column, places: int) -> Column:

@@ -70,10 +70,10 @@ def high(score: Column) -> Column:
 def ratio_of_shares(hits: Column, size: Column, base_hits: Column, base_size: Column) -> Column:
     """(hits / size) / (base_hits / base_size) as one fraction, so that it is rounded only once.
 
-    Counts of up to thirteen digits leave eleven decimal places in the quotient.
+    Counts of up to sixteen digits leave six decimal places in the quotient.
     NULL where either size or the base hits are zero.
     """
-    hits, size, base_hits, base_size = [c.cast("decimal(13,0)") for c in (hits, size, base_hits, base_size)]
+    hits, size, base_hits, base_size = [c.cast("decimal(16,0)") for c in (hits, size, base_hits, base_size)]
     return safe_div(hits * base_size, base_hits * size)
 
 

@@ -124,6 +124,9 @@ def _resolution_tiers() -> list[Tier]:
     return tiers
 
 
+# Stands for NULL where all fields of a result make one text.
+ABSENT_FIELD = "-"
+
 TIERS_BY_ID = 1
 TIERS_BY_CODE = 9
 
@@ -135,8 +138,8 @@ def resolve_institutions(staging: DataFrame, dimension: DataFrame) -> DataFrame:
     return tiered_lookup(valued, dimension, REFERENCE, _resolution_tiers(), "institution_id")
 
 
-def participants(staging: DataFrame, dimension: DataFrame) -> DataFrame:
-    """One row per person with at most one institution."""
+def participants(staging: DataFrame, dimension: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """One row per person with at most one institution; mapping: resolved references, if there are any already."""
     typed = staging.select(
         canonical_uuid("outid").alias("out_id"),
         null_sentinel("birth").cast("short").alias("birth_year"),
@@ -145,7 +148,7 @@ def participants(staging: DataFrame, dimension: DataFrame) -> DataFrame:
     ).filter(F.col("out_id").isNotNull())
     order = [F.col(name).asc_nulls_first() for name in ["birth_year", *PARTICIPANT_COLUMNS, *REFERENCE]]
     people = first_per_key(typed, ["out_id"], order)
-    resolved = attach_lookup(people, resolve_institutions(staging, dimension), REFERENCE, ["institution_id"])
+    resolved = attach_lookup(people, mapping or resolve_institutions(staging, dimension), REFERENCE, ["institution_id"])
     return resolved.select(
         "out_id", "birth_year", "gender", "participant_status", "ter_type",
         "reg_name", "area_name", "ter_name", "institution_id",
@@ -166,10 +169,10 @@ def _subject_blocks() -> list[dict]:
 
 
 def exam_results(staging: DataFrame) -> DataFrame:
-    """One row per person and subject with a status or a scaled score. No shuffle.
+    """One row per person and subject with a status or a scaled score.
 
-    result_id is unique within a written load; like a database sequence it
-    follows the load order and carries no meaning.
+    Results are numbered by the hash order of all their fields, so the ids are the
+    same however the input is partitioned; equal results get neighbouring ids.
     """
     keep = [
         canonical_uuid("outid").alias("out_id"),
@@ -177,8 +180,7 @@ def exam_results(staging: DataFrame) -> DataFrame:
         *[null_sentinel(name).alias(name) for name in ("pt_reg_name", "pt_area_name", "pt_ter_name")],
     ]
     rows = unpivot_blocks(staging, keep, _subject_blocks(), ["status", "scaled_text"])
-    return rows.select(
-        F.monotonically_increasing_id().alias("result_id"),
+    typed = rows.select(
         "out_id",
         "subject_code",
         "test_date",
@@ -191,6 +193,9 @@ def exam_results(staging: DataFrame) -> DataFrame:
         "pt_area_name",
         "pt_ter_name",
     )
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit(ABSENT_FIELD)) for c in typed.columns]
+    numbered = surrogate_key(typed.withColumn("_key", F.concat_ws("|", *fields)), "_key", "result_id")
+    return numbered.select("result_id", *typed.columns)
 
 
 def subject_usage(subjects: DataFrame, results: DataFrame) -> DataFrame:

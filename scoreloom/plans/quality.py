@@ -46,17 +46,17 @@ def unreadable_scores(staging: DataFrame, column: str) -> DataFrame:
     return staging.filter(has_value(column) & try_parse_score(F.col(column)).isNull())
 
 
-def unresolved(staging: DataFrame, institutions: DataFrame) -> DataFrame:
+def unresolved(staging: DataFrame, institutions: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Staging rows that name an institution which no tier could find."""
-    mapping = resolve_institutions(staging, institutions)
+    mapping = mapping or resolve_institutions(staging, institutions)
     named = staging.filter(has_value("eo_name"))
     return attach_lookup(named, mapping, REFERENCE, ["institution_id"]).filter(F.col("institution_id").isNull())
 
 
-def resolution_summary(staging: DataFrame, institutions: DataFrame) -> DataFrame:
+def resolution_summary(staging: DataFrame, institutions: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """How the named institutions were found: rows and distinct references per way."""
     named = staging.filter(has_value("eo_name")).groupBy(*REFERENCE).agg(F.count("*").alias("n"))
-    mapping = resolve_institutions(staging, institutions)
+    mapping = mapping or resolve_institutions(staging, institutions)
     tier = F.col("tier")
     way = (
         F.when(tier < TIERS_BY_ID, RESOLVED_BY_ID)

@@ -31,10 +31,15 @@ def person_days(exam_results: DataFrame, participants: DataFrame) -> DataFrame:
 
 
 def daily_sessions(exam_results: DataFrame, participants: DataFrame) -> DataFrame:
+    """The calendar, from the results themselves."""
+    return calendar_of(person_days(exam_results, participants))
+
+
+def calendar_of(days_of_people: DataFrame) -> DataFrame:
     """Per session date: attendance, cohort mix, scores, and their course over the calendar."""
     status = F.col("participant_status")
     counted = value_counts(
-        person_days(exam_results, participants),
+        days_of_people,
         ["test_date"],
         F.col("rating"),
         {

@@ -1,11 +1,11 @@
 """One load, end to end: staging, star tables and marts, written once and read many times.
 
-Tables go to the shared folder that the cluster names in spark.checkpoint.dir,
-under a fresh path per load, so a lost executor costs only the running stage and
-every statement reads narrow columnar files instead of repeating the load.
-Without a shared folder on a cluster nothing is written: each statement then
-plans from the source, with the same results. Only local mode falls back to a
-temporary folder.
+Tables go to a folder of their own below the one that the cluster names in
+spark.checkpoint.dir, so a lost executor costs only the running stage and every
+statement reads narrow columnar files instead of repeating the load. Once all
+tables are complete the load can be opened by its path in any later session.
+Without a shared folder a load is an error; only a session that runs in one
+process falls back to a temporary folder.
 """
 
 from __future__ import annotations
@@ -18,23 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom import schemas
-from scoreloom.plans import etl, marts, quality
+from scoreloom.plans import etl, marts, quality, sessions
 
-TABLES = ["staging", "subjects", "institutions", "participants", "exam_results", "student_academic_profiles"]
+TABLES = [
+    "staging", "subjects", "institutions", "institution_lookup", "participants", "exam_results", "person_days",
+    "student_academic_profiles",
+]
+
+FINISHED = "finished"
 
 
 class QualityError(ValueError):
     """A load broke an integrity rule."""
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Where tables may be written, or None."""
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables may be written so that all executors see them."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         return tempfile.mkdtemp(prefix="scoreloom-")
-    return None
+    raise ValueError("a load needs a folder that all executors share: set spark.checkpoint.dir")
 
 
 class Warehouse:
@@ -42,19 +48,38 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, staging: Callable[[], DataFrame], folder: str | None = None):
         self.spark = spark
-        base = folder or shared_folder(spark)
-        self.path = f"{base}/scoreloom-load-{uuid.uuid4().hex}" if base else None
+        self.path = f"{folder or shared_folder(spark)}/scoreloom-load-{uuid.uuid4().hex}"
         self._builders: dict[str, Callable[[], DataFrame]] = {
             "staging": staging,
             "subjects": lambda: schemas.subjects_df(spark),
             "institutions": lambda: etl.institutions(self["staging"]),
-            "participants": lambda: etl.participants(self["staging"], self["institutions"]),
+            "institution_lookup": lambda: etl.resolve_institutions(self["staging"], self["institutions"]),
+            "participants": lambda: etl.participants(self["staging"], self["institutions"], self["institution_lookup"]),
             "exam_results": lambda: etl.exam_results(self["staging"]),
+            "person_days": lambda: sessions.person_days(self["exam_results"], self["participants"]),
             "student_academic_profiles": lambda: marts.student_profiles(
                 self["exam_results"], self["participants"], self["institutions"]
             ),
         }
         self._tables: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Warehouse:
+        """A finished load of this or another session, read from its path; nothing is written."""
+        load = cls.__new__(cls)
+        load.spark, load.path, load._builders = spark, path, {}
+        load._paths = {r.table_name: r.path for r in spark.read.parquet(f"{path}/{FINISHED}").collect()}  # one row per table
+        load._tables = {name: spark.read.parquet(f"{path}/{part}") for name, part in load._paths.items()}
+        return load
+
+    def finish(self) -> str:
+        """Build what is missing and note that the load is complete; returns the path to open it by."""
+        for name in TABLES:
+            self[name]
+        rows = [(name, self._paths[name]) for name in TABLES]
+        self.spark.createDataFrame(rows, "table_name string, path string").coalesce(1).write.parquet(f"{self.path}/{FINISHED}")
+        return self.path
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -62,11 +87,10 @@ class Warehouse:
         return self._tables[name]
 
     def _written(self, name: str, df: DataFrame) -> DataFrame:
-        if self.path is None:
-            return df
-        target = self.fresh_path(name)  # a retry after a failed write must not meet its leftovers
-        df.write.parquet(target)
-        return self.spark.read.schema(df.schema).parquet(target)
+        part = f"{name}-{uuid.uuid4().hex}"  # a retry after a failed write must not meet its leftovers
+        df.write.parquet(f"{self.path}/{part}")
+        self._paths[name] = part
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{part}")
 
     def fresh_path(self, label: str) -> str:
         """A new path beside the tables of this load."""
