@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from oracle import statements
 from scoreloom import schemas
 from scoreloom.plans import etl, quality
-from scoreloom.plans.warehouse import QualityError, Warehouse, shared_folder
+from scoreloom.plans.warehouse import TABLES, QualityError, Warehouse, shared_folder
 from scoreloom.sources.results import write_result
 from scoreloom.sources.staging_csv import read_staging, write_staging
 
@@ -302,14 +302,35 @@ def fake_session(master, folder=None):
 
 def test_tables_go_to_the_shared_folder_only():
     assert shared_folder(fake_session("yarn", "hdfs://shared/x")) == "hdfs://shared/x"
-    assert shared_folder(fake_session("yarn")) is None, "no machine-local folder on a cluster"
     assert shared_folder(fake_session("local[2]")) is not None
+    for master in ("yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(fake_session(master))
 
 
-def test_without_a_folder_the_load_stays_lazy(spark, staging_of, monkeypatch):
-    monkeypatch.setattr("scoreloom.plans.warehouse.shared_folder", lambda spark: None)
+def test_a_finished_load_opens_by_its_path(spark, staging_of, tmp_path):
     good = {"outid": ID.format(1), **SCHOOL, "test_date": "02.06.2025", "ukr_status": "ok", "ukr_ball": "1", "ukr_ball100": "150"}
-    load = Warehouse(spark, lambda: staging_of(good))
-    assert load.path is None
-    assert load["student_academic_profiles"].count() == 1
-    assert load.clean_exam_results().first().institution_id == 1
+    load = Warehouse(spark, lambda: staging_of(good), str(tmp_path))
+    path = load.finish()
+    files = sorted(p.name for p in tmp_path.rglob("*"))
+    again = Warehouse.open(spark, path)
+    for name in TABLES:
+        assert sorted(again[name].collect(), key=str) == sorted(load[name].collect(), key=str)
+    assert again.clean_exam_results().first().institution_id == 1
+    assert sorted(p.name for p in tmp_path.rglob("*")) == files, "opening writes nothing"
+
+
+def test_an_unfinished_load_does_not_open(spark, staging_of, tmp_path):
+    load = Warehouse(spark, lambda: staging_of({"outid": ID.format(1)}), str(tmp_path))
+    load["staging"]
+    with pytest.raises(PySparkException):
+        Warehouse.open(spark, load.path)
+
+
+def test_result_ids_do_not_depend_on_partitions(staging_of):
+    records = [{"outid": ID.format(k), "ukr_status": "ok", "ukr_ball100": "150", "geo_ball100": str(100 + k)} for k in range(9)]
+    records += records[:2]
+    found = [etl.exam_results(staging_of(*rows).repartition(n)).collect() for rows, n in ((records, 3), (records[::-1], 7))]
+    first, second = [sorted(rows, key=lambda r: r.result_id) for rows in found]
+    assert first == second
+    assert [r.result_id for r in first] == list(range(1, 23))
