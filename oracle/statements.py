@@ -43,39 +43,48 @@ def value_or_null(column: str) -> str:
 
 # --- staging -----------------------------------------------------------------
 
-_MARKS = """marks AS (
-  SELECT l_orderkey AS k, l_linenumber AS line, min(l_partkey) AS pk,
-         max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, max(CAST(l_quantity AS BIGINT)) AS q
-  FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL
+_EXAMS = f"""exams AS (
+  SELECT l_orderkey AS k, CASE l_linenumber WHEN 1 THEN 'Ukr' WHEN 2 THEN 'Hist' WHEN 3 THEN 'Math'
+         ELSE [{", ".join(text(code) for code in ELECTIVE)}][l_partkey % {len(ELECTIVE)} + 1] END AS subject,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS q, l_linenumber, l_partkey
+  FROM lineitem
+),
+repeated AS (
+  SELECT *, row_number() OVER (PARTITION BY k, subject ORDER BY l_linenumber, cents, q, l_partkey) AS record FROM exams
+),
+records AS (
+  SELECT k, record, {", ".join(f"max(cents) FILTER (WHERE subject = '{s.code}') AS c_{s.prefix}, max(q) FILTER (WHERE subject = '{s.code}') AS q_{s.prefix}" for s in SUBJECTS)}
+  FROM repeated GROUP BY k, record
 )"""
 
 
 def _block_columns() -> list[str]:
     columns = []
     for subject in SUBJECTS:
-        line = {"Ukr": "m1", "Hist": "m2", "Math": "m3"}.get(subject.code, "m4")
-        used = f"{line}.q IS NOT NULL"
-        if not subject.mandatory:
-            used += f" AND {line}.pk % 9 = {ELECTIVE.index(subject.code)}"
-        points = f"(10000 + {line}.cents % 10001)"
+        q, points = f"q_{subject.prefix}", f"(10000 + c_{subject.prefix} % 10001)"
         values = {
             "block": f"'{subject.code}'",
             "lang": "'українська'",
-            "status": f"CASE WHEN {line}.q >= 48 THEN 'Не з''явився' ELSE 'Отримав результат' END",
-            "ball100": f"CASE WHEN {line}.q >= 48 THEN 'null' WHEN {line}.q <= 5 THEN '0,0' "
+            "status": f"CASE WHEN {q} >= 48 THEN 'Не з''явився' ELSE 'Отримав результат' END",
+            "ball100": f"CASE WHEN {q} >= 48 THEN 'null' WHEN {q} <= 5 THEN '0,0' "
             f"ELSE ({points} // 100) || ',' || lpad(CAST({points} % 100 AS VARCHAR), 2, '0') END",
-            "ball": f"CASE WHEN {line}.q >= 48 THEN 'null' ELSE CAST({line}.q AS VARCHAR) END",
+            "ball": f"CASE WHEN {q} >= 48 THEN 'null' ELSE CAST({q} AS VARCHAR) END",
         }
         for part, value in values.items():
             if f"{subject.prefix}_{part}" in subject.fields:
-                columns.append(f"CASE WHEN {used} THEN {value} ELSE 'null' END AS {subject.prefix}_{part}")
+                columns.append(f"CASE WHEN {q} IS NOT NULL THEN {value} ELSE 'null' END AS {subject.prefix}_{part}")
     return columns
 
 
 def _staging() -> str:
     blocks = ",\n         ".join(_block_columns())
-    return f"""{_MARKS},
-staging AS MATERIALIZED (
+    return f"""{_EXAMS},
+sources AS (
+  SELECT coalesce(o_orderkey, k) AS o_orderkey, o_custkey, o_orderstatus, c_mktsegment, n_nationkey, n_name,
+         (coalesce(record, 1) - 1) * 7 AS later, records.* EXCLUDE (k, record)
+  FROM orders FULL JOIN records ON k = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
+),
+texts AS (
   SELECT regexp_replace(md5(CAST(o_orderkey AS VARCHAR)), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS outid,
          CASE WHEN o_orderkey % 50 = 0 THEN 'null' ELSE CAST(2008 - o_orderkey % 5 AS VARCHAR) END AS birth,
          CASE o_orderkey % 2 WHEN 0 THEN 'жіноча' ELSE 'чоловіча' END AS sex_type_name,
@@ -94,15 +103,12 @@ staging AS MATERIALIZED (
          CASE WHEN o_custkey % 6 = 0 THEN 'null' ELSE 'R' || o_custkey END AS eo_edrpou,
          CASE WHEN o_custkey % 3 = 0 THEN 'null' ELSE CAST(o_custkey AS VARCHAR) END AS eo_edeboid,
          'session' AS test,
-         strftime(DATE '2025-05-17' + CAST(o_orderkey % 60 AS INTEGER), '%d.%m.%Y') AS test_date,
+         strftime(DATE '2025-05-17' + CAST((o_orderkey + later) % 60 AS INTEGER), '%d.%m.%Y') AS test_date,
          {blocks},
          n_name AS pt_reg_name, 'null' AS pt_area_name, 'null' AS pt_ter_name
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  LEFT JOIN marks m1 ON m1.k = o_orderkey AND m1.line = 1
-  LEFT JOIN marks m2 ON m2.k = o_orderkey AND m2.line = 2
-  LEFT JOIN marks m3 ON m3.k = o_orderkey AND m3.line = 3
-  LEFT JOIN marks m4 ON m4.k = o_orderkey AND m4.line = 4
-)"""
+  FROM sources
+),
+staging AS MATERIALIZED (SELECT {", ".join(f"coalesce({c}, 'null') AS {c}" for c in STAGING_FIELDS)} FROM texts)"""
 
 
 # --- star schema -------------------------------------------------------------

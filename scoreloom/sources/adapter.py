@@ -1,13 +1,16 @@
 """Order tables in the shape of raw exam records.
 
-One order stands for one participant and one customer for one institution; the
-first four lines of an order are its exams. Integer arithmetic throughout, so any
+One order stands for one participant and one customer for one institution; every
+line of an order is an exam: lines 1 to 3 in the mandatory subjects, the others in
+electives. An order that has a subject more than once gets as many records, each
+with its own values and a later date. Integer arithmetic throughout, so any
 engine derives the same records from the same tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom import fixed_values as fv
@@ -17,12 +20,12 @@ from scoreloom.sources.tables import load
 INPUTS = ("orders", "customer", "nation", "lineitem")
 
 # --- fixed values of the adapter --------------------------------------------
-LINE_OF = {"Ukr": 1, "Hist": 2, "Math": 3}
-ELECTIVE_LINE = 4
+LINES = {1: "Ukr", 2: "Hist", 3: "Math"}
 ABSENT = "Не з'явився"
 RESULT = "Отримав результат"
 FIRST_SESSION = "2025-05-17"
 SESSION_DAYS = 60
+DAYS_TO_NEXT_RECORD = 7
 NATIONS_WITHOUT_CENTRE = (2, 3)
 
 
@@ -30,55 +33,47 @@ def _text(col: Column) -> Column:
     return col.cast("string")
 
 
-def _marks(lineitem: DataFrame) -> DataFrame:
-    """Per order, the marks on its first four lines; repeated lines collapse. One shuffle."""
-    lines = lineitem.filter(F.col("l_linenumber") <= ELECTIVE_LINE).select(
+def _exams(lineitem: DataFrame) -> DataFrame:
+    """Every line as an exam: its order, subject, record number and texts."""
+    line, cents, quantity = F.col("l_linenumber"), F.col("cents"), F.col("quantity")
+    subject = F.element_at(F.array(*[F.lit(code) for code in ELECTIVE]), (F.col("l_partkey") % len(ELECTIVE) + 1).cast("int"))
+    for number, code in LINES.items():
+        subject = F.when(line == number, code).otherwise(subject)
+    exams = lineitem.select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
+        subject.alias("subject"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
         F.col("l_quantity").cast("long").alias("quantity"),
     )
-    measures = []
-    for line in range(1, ELECTIVE_LINE + 1):
-        here = F.col("l_linenumber") == line
-        measures += [
-            F.max(F.when(here, F.col("cents"))).alias(f"cents_{line}"),
-            F.max(F.when(here, F.col("quantity"))).alias(f"quantity_{line}"),
-        ]
-    part = F.min(F.when(F.col("l_linenumber") == ELECTIVE_LINE, F.col("l_partkey")))
-    return lines.groupBy("l_orderkey").agg(*measures, (part % len(ELECTIVE)).alias("elective_number"))
-
-
-def _record_texts(marks: DataFrame) -> DataFrame:
-    """Marks as status, scaled and raw text per line; NULL for a line that the order does not have."""
-    columns = []
-    for line in range(1, ELECTIVE_LINE + 1):
-        quantity, cents = F.col(f"quantity_{line}"), F.col(f"cents_{line}")
-        points = F.lit(10000) + cents % 10001
-        comma = F.concat(_text(F.floor(points / 100)), F.lit(","), F.lpad(_text(points % 100), 2, "0"))
-        absent = quantity >= 48
-        columns += [
-            F.when(absent, ABSENT).when(quantity.isNotNull(), RESULT).alias(f"status_{line}"),
-            F.when(absent, fv.MISSING).when(quantity <= 5, "0,0").otherwise(comma).alias(f"ball100_{line}"),
-            F.when(absent, fv.MISSING).otherwise(_text(quantity)).alias(f"ball_{line}"),
-        ]
-    return marks.select("l_orderkey", "elective_number", *columns)
+    again = W.partitionBy("l_orderkey", "subject").orderBy("l_linenumber", "cents", "quantity", "l_partkey")
+    points = F.lit(10000) + cents % 10001
+    comma = F.concat(_text(F.floor(points / 100)), F.lit(","), F.lpad(_text(points % 100), 2, "0"))
+    absent = quantity >= 48
+    return exams.select(
+        "l_orderkey",
+        "subject",
+        F.row_number().over(again).alias("record"),
+        F.struct(
+            F.when(absent, ABSENT).when(quantity.isNotNull(), RESULT).otherwise(fv.MISSING).alias("status"),
+            F.when(absent | cents.isNull(), fv.MISSING).when(quantity <= 5, "0,0").otherwise(comma).alias("ball100"),
+            F.when(absent | quantity.isNull(), fv.MISSING).otherwise(_text(quantity)).alias("ball"),
+        ).alias("texts"),
+    )
+
+
+def _records(exams: DataFrame) -> DataFrame:
+    """One row per order and record with the texts of each subject; NULL for a subject that it does not have."""
+    texts = [F.max(F.when(F.col("subject") == s.code, F.col("texts"))).alias(s.code) for s in SUBJECTS]
+    return exams.groupBy("l_orderkey", "record").agg(*texts)
 
 
 def _block(subject) -> list[Column]:
-    """The columns of one subject block, from the texts of the line that stands for it."""
-    line = LINE_OF.get(subject.code, ELECTIVE_LINE)
-    used = F.col(f"status_{line}").isNotNull()
-    if not subject.mandatory:
-        used = F.col("elective_number") == ELECTIVE.index(subject.code)
-    texts = {
-        "block": F.lit(subject.code),
-        "lang": F.lit("українська"),
-        "status": F.col(f"status_{line}"),
-        "ball100": F.col(f"ball100_{line}"),
-        "ball": F.col(f"ball_{line}"),
-    }
+    """The columns of one subject block."""
+    used = F.col(subject.code).isNotNull()
+    texts = {"block": F.lit(subject.code), "lang": F.lit("українська")}
+    texts |= {part: F.col(f"{subject.code}.{part}") for part in ("status", "ball100", "ball")}
     return [
         F.when(used, texts[field.removeprefix(f"{subject.prefix}_")]).otherwise(F.lit(fv.MISSING)).alias(field)
         for field in subject.fields
@@ -90,17 +85,16 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
     orders = load(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     customer = load(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = load(spark, directory, "nation").select("n_nationkey", "n_name")
-    texts = _record_texts(_marks(load(spark, directory, "lineitem")))
-    fields = [field for subject in SUBJECTS for field in subject.fields]
-    blocks = texts.select("l_orderkey", F.struct(*[column for subject in SUBJECTS for column in _block(subject)]).alias("blocks"))
-    no_blocks = F.struct(*[F.lit(fv.MISSING).alias(field) for field in fields])
+    records = _records(_exams(load(spark, directory, "lineitem")))
+    known = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
     rows = (
-        orders.join(customer.join(nation, customer.c_nationkey == nation.n_nationkey), orders.o_custkey == customer.c_custkey)
-        .join(blocks, orders.o_orderkey == blocks.l_orderkey, "left")
-        .withColumn("blocks", F.coalesce("blocks", no_blocks))
+        orders.join(records, orders.o_orderkey == records.l_orderkey, "full")
+        .join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
+        .withColumn("k", F.coalesce("o_orderkey", "l_orderkey"))
+        .withColumn("later", (F.coalesce("record", F.lit(1)) - 1) * DAYS_TO_NEXT_RECORD)
     )
 
-    k, c, country = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
+    k, c, country = F.col("k"), F.col("o_custkey"), F.col("n_nationkey")
     status, name, missing = F.col("o_orderstatus"), F.col("n_name"), F.lit(fv.MISSING)
     digest = F.md5(_text(k))
     uuid_form = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
@@ -130,10 +124,10 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
         "eo_edrpou": F.when(c % 6 == 0, missing).otherwise(F.concat(F.lit("R"), _text(c))),
         "eo_edeboid": F.when(c % 3 == 0, missing).otherwise(_text(c)),
         "test": F.lit("session"),
-        "test_date": F.date_format(F.date_add(F.lit(FIRST_SESSION).cast("date"), (k % SESSION_DAYS).cast("int")), "dd.MM.yyyy"),
+        "test_date": F.date_format(F.date_add(F.lit(FIRST_SESSION).cast("date"), ((k + F.col("later")) % SESSION_DAYS).cast("int")), "dd.MM.yyyy"),
         "pt_reg_name": name,
         "pt_area_name": missing,
         "pt_ter_name": missing,
     }
-    columns.update({field: F.col(f"blocks.{field}") for field in fields})
-    return rows.select(*[columns[field].alias(field) for field in STAGING_FIELDS])
+    columns.update({column_name: column for subject in SUBJECTS for column_name, column in zip(subject.fields, _block(subject), strict=True)})
+    return rows.select(*[F.coalesce(columns[field], missing).alias(field) for field in STAGING_FIELDS])

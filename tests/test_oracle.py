@@ -59,11 +59,18 @@ def total(rows, column):
 
 def test_person_days_cover_all_students(result):
     students = len(result("mart_student_profiles"))
-    assert total(result("m1_daily_sessions"), "total_participants") == students
+    days = {(r.out_id, r.test_date) for r in result("mart_clean_exam_results")}
+    assert total(result("m1_daily_sessions"), "total_participants") == len(days) > students, "some sit on several days"
     assert total(result("m3_macro"), "total_students") <= students
     assert total(result("m2_regions"), "total_participants") <= students
 
 
+def test_every_line_is_an_exam(spark, result):
+    lines = spark.read.parquet(f"{contract.ENTRY_TABLES}/lineitem.parquet").count()
+    assert len(result("etl_exam_results")) == lines
+    assert len({r.outid for r in result("etl_staging")}) < len(result("etl_staging")), "records repeat"
+
+
 def test_choices_are_part_of_both_their_sources(result):
     assert total(result("m5_choices"), "students_count") <= total(result("m5_archetypes"), "total_students")
     assert total(result("m5_choices"), "students_count") <= total(result("m4_electives"), "total_candidates")
