@@ -13,7 +13,7 @@ whatever tokens are called frequent; that choice only decides how many other pai
 that blocks of texts repeat, counted over all blocks; the most common FREQUENT_MOST of them are sent to all tasks.
 
 Signatures that up to SMALL nodes share give all their pairs. Those of more nodes give first a star around the node with
-the fewest rare tokens, later the pairs that lie in different components by then. Pairs go through exact bounds: sizes;
+the fewest rare tokens (the most tokens of these), later the pairs that lie in different components by then. Pairs go through exact bounds: sizes;
 rare tokens of the prefix that ends first and are not in the other; rare tokens that cannot be shared. What remains
 is compared set by set.
 
@@ -152,7 +152,7 @@ def _signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int, id: str, text: str) -> DataFrame:
-    """(sig, pos, node) rows; a task gives those of a node once, the first of them with tokens, rare and end.
+    """(sig, pos, node, tokens) rows; a task gives those of a node once, the first of them with rare and end.
 
     `end` is the last rare token that the prefix reaches, in the order of tokens; the greatest long if it reaches all.
     """
@@ -187,7 +187,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                     return pa.array(out.to_numpy(), mask=mask)
 
                 columns = [_long(np.concatenate(sig)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.repeat(np.array(node, np.int64), count))]
-                columns += [once(size, np.int32), once(rares, np.int32), once(ends, np.int64)]
+                columns += [pa.array(np.repeat(np.array(size, np.int32), count)), once(rares, np.int32), once(ends, np.int64)]
                 yield pa.RecordBatch.from_arrays(columns, ["sig", "pos", "node", "tokens", "rare", "end"])
 
     return _input(docs, id, text).mapInArrow(run, "sig long, pos int, node long, tokens int, rare int, end long")
@@ -250,31 +250,32 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
 
     groups = made.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("low <> high")
     # rows that several tasks gave count more than once in `many`; that only sends a signature the other way
-    shared = made.select("sig", "pos", "node").join(groups.select("sig", "many"), "sig")
-    shared = written(shared.groupBy("sig", "node").agg(F.min("pos").alias("pos"), F.first("many").alias("many")), "shared")
-    about = made.where("end is not null").select("node", "tokens", "rare", "end")
+    shared = made.select("sig", "pos", "node", "tokens").join(groups.select("sig", "many"), "sig")
+    shared = written(shared.groupBy("sig", "node").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"), F.first("many").alias("many")), "shared")
+    about = made.where("end is not null").select("node", "rare", "end")
     about = written(about.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "about")
 
     small = shared.where(F.col("many") <= SMALL)
     side = lambda df, p, *more: df.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "pos", *more)])
-    pairs = side(small, "l").join(side(small, "r"), "sig").where("l_node < r_node")
-    pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"))
+    need = _sized(num, den)
+    size = [F.first(c).alias(c) for c in ("l_tokens", "r_tokens")]
+    pairs = side(small, "l", "tokens").join(side(small, "r", "tokens"), "sig").where(f"l_node < r_node and {need} <= least(l_tokens, r_tokens)")
+    pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"), *size)
     singles = shared.where("pos >= 0").groupBy("node").agg(F.sum((F.col("many") > SMALL).cast("int")).alias("in_large"), F.sum((F.col("many") <= SMALL).cast("int")).alias("in_small"))
     known = written(about.join(singles, "node", "left").na.fill(0, ["in_large", "in_small"]), "known")
-    of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("tokens", "rare", "end", "in_large", "in_small")])
-    need = _sized(num, den)
+    of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("rare", "end", "in_large", "in_small")])
 
     def possible(pairs: DataFrame, others: str) -> DataFrame:
-        """Of (l, r, met) those that can link: of the prefix that ends first, every rare token that is not shared with the other
+        """Of (l, r, met, l_tokens, r_tokens) those that can link: of the prefix that ends first, every rare token that is not shared with the other
         prefix is missing there. `met` counts shared ones in some signatures, `others` has the number of each node's in all others."""
-        pairs = pairs.join(of("l"), "l").join(of("r"), "r").where(f"{need} <= least(l_tokens, r_tokens)")
+        pairs = pairs.join(of("l"), "l").join(of("r"), "r")
         test = "({p}_end > {q}_end or {p}_rare - met - least(l_" + others + ", r_" + others + ") <= {p}_tokens - " + need + ")"
         return pairs.where(test.format(p="l", q="r") + " and " + test.format(p="r", q="l")).select("l", "r")
 
     first = possible(pairs, "in_large")
 
     hot = shared.where(F.col("many") > SMALL).join(about, "node")
-    centres = hot.groupBy("sig").agg(F.min(F.struct("rare", "node", "tokens")).alias("c"))
+    centres = hot.groupBy("sig").agg(F.min(F.struct("rare", (-F.col("tokens")).alias("fewer"), "node", "tokens")).alias("c"))
     centres = centres.select("sig", F.col("c.rare").alias("r_rare"), F.col("c.node").alias("r_node"), F.col("c.tokens").alias("r_tokens"))
     # signatures of two tokens: rare tokens that both had would be signatures themselves
     fits = f"{need} <= least(l_tokens, r_tokens) and (l_pos >= 0 or {need} <= least(l_tokens - l_rare, r_tokens - r_rare))"
@@ -289,7 +290,7 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     placed = placed.join(open_, "sig")
     columns = ("tokens", "rare", "component")
     rest = side(placed, "l", *columns).join(side(placed, "r", *columns), "sig").where("l_node < r_node and l_component <> r_component").where(fits)
-    rest = rest.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"))
+    rest = rest.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"), *size)
     rest = written(possible(rest, "in_small").join(first, ["l", "r"], "left_anti"), "pairs")
     if rest.limit(1).count():
         links = links.unionAll(compare(rest, docs, rows, *args))
