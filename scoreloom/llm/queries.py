@@ -17,7 +17,7 @@ MIX = {"languages": ["en", "de", "fr", "es"], "topics": {"table": " | ", "contac
 #: Exact search: results of a query, which rows are queries, factor of the components.
 EXACT = {"k": 5, "every": 50, "scale": 256}
 #: Training order: ids of a sequence, sequences of a shard, key of the permutation.
-ORDER = {"length": 1024, "per_shard": 1 << 14, "key": 20240817}
+ORDER = {"length": 512, "per_shard": 1 << 15, "key": 20240817}
 #: Url rules; least lower bound of a host's share of good pages, standard deviations below the mean.
 URLS = {
     "rules": [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")],

@@ -1,16 +1,20 @@
 """Token sequences in training order, as binary shards.
 
 Texts become ids of one byte each: their UTF-8 bytes, then END; neither END nor PAD occurs in UTF-8. The ids of a text are cut into
-sequences of `length`, the last one padded. Sequences are numbered 0 .. n - 1 by bucket of the id's hash, id and place in the text;
-a keyed Feistel permutation of the least even number of bits that holds n, walked along its cycle until the value is
-below n, gives every sequence its slot in the training order. Nothing is sorted but each shard: a sequence finds its slot by itself.
+sequences of `length`, the last one padded. Sequences are numbered 0 .. n - 1 in the order of the stored table: a first
+pass counts those of each partition, a second one numbers them from there, so the texts are not shuffled for it. A keyed
+Feistel permutation of the least even number of bits that holds n, walked along its cycle until the value is below n,
+gives every sequence its slot in the training order. Nothing is sorted but each shard: a sequence finds its slot by itself.
+
+The input has to be a stored table, whose partitions are the same whenever they are read, also after an executor is lost. A
+task whose partition has another number of sequences than it was counted with fails rather than reuse slots.
 
 Shard s holds the slots s * `per_shard` and on, in order, in a folder shard=s with one file. A record is the `length` ids and a line
 feed, so slot t lies at byte (t % per_shard) * (length + 1) of its shard whatever the ids are: a reader continues at any
 slot with one seek. Files come from Spark's own writer, so a lost executor's shard is written again and half a file is never seen.
 
-Cases. Null and empty texts: one sequence, END alone. Rows with a null id: numbered like the others, before all of their bucket. Repeated
-rows: each its own sequences, in the order of their texts. Very long texts: all their sequences. Empty tables: no shard, empty result.
+Cases. Null and empty texts: one sequence, END alone. Rows with a null id: like the others. Repeated rows: each its own
+sequences. Very long texts: all their sequences. Empty tables: no shard, empty result.
 Extra columns are not read.
 """
 
@@ -20,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from scoreloom.llm import blocks as B
-from scoreloom.llm.shared import fresh, written
+from scoreloom.llm.shared import fresh
 
 PAD, END = 0xFE, 0xFF
-ROUNDS, BUCKETS = 6, 4096
+ROUNDS = 6
 
 
 def _half_bits(n: int) -> int:
@@ -51,34 +56,24 @@ def permute(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int, id: str, text: str) -> tuple[DataFrame, int]:
-    """(id, text, first): every row with the number of its first sequence; and how many sequences there are."""
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # ceil((bytes + END) / length)
-    rows = rows.withColumn("many", F.floor(F.octet_length("text") / length).cast("long") + 1)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")).withColumn("sign", F.xxhash64("text"))
-    # only ids, counts and signs are dealt out; equal rows are interchangeable
-    narrow = rows.groupBy("bucket", "id", "sign", "many").agg(F.count("*").alias("copies"))
-    before = F.sum(F.col("many") * F.col("copies")).over(W.partitionBy("bucket").orderBy("id", "sign", "many").rowsBetween(W.unboundedPreceding, -1))
-    placed = written(narrow.withColumn("before", F.coalesce(before, F.lit(0))), "places")
-    sums = placed.groupBy("bucket").agg(F.sum(F.col("many") * F.col("copies")).alias("all")).orderBy("bucket").collect()  # at most BUCKETS rows
-    start, base = 0, {}
-    for r in sums:
-        base[r["bucket"]] = start
-        start += r["all"]
-    if not start:
-        return rows.select("id", "text", F.lit(0).cast("long").alias("first")), 0
-    bases = docs.sparkSession.createDataFrame(list(base.items()), "bucket int, base long")
-    placed = placed.join(F.broadcast(bases), "bucket").select("id", "sign", "many", "copies", (F.col("base") + F.col("before")).alias("first"))
-    single = placed.where("copies = 1").drop("copies")
-    several = placed.where("copies > 1")
-    keys = [rows[c].eqNullSafe(single[c]) for c in ("id", "sign", "many")]
-    one = rows.join(single, keys).select(rows["id"], rows["text"], "first")
-    # equal rows: one of them stands for all, with as many first numbers
-    keys = [rows[c].eqNullSafe(several[c]) for c in ("id", "sign", "many")]
-    again = rows.join(several, keys).groupBy(rows["id"], "first", "copies", rows["many"]).agg(F.first(rows["text"]).alias("text"))
-    again = again.select("id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "many", "first")
-    return one.unionAll(again.select("id", "text", (F.col("first") + F.col("copy") * F.col("many")).alias("first"))), start
+def _many(batch: pa.RecordBatch, length: int) -> np.ndarray:
+    """Sequences of each text."""
+    size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    return -(-size // length)
+
+
+def starts(rows: DataFrame, length: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """For each partition of the rows with sequences the number of the first and of the one after the last; their sum."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(int(_many(batch, length).sum()) for batch in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], ["partition", "many"])
+
+    found, first = {}, 0
+    for row in sorted(rows.mapInArrow(count, "partition int, many long").collect()):  # a row for each partition
+        found[row["partition"]] = first, first + row["many"]
+        first += row["many"]
+    return found, first
 
 
 def materialise(docs: DataFrame, path: str, length: int, per_shard: int, key: int, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,31 +81,36 @@ def materialise(docs: DataFrame, path: str, length: int, per_shard: int, key: in
 
     `part` counts the sequences of a text, `ids` those before the padding; `digest` is the crc32 of the record.
     """
-    spark = docs.sparkSession
-    rows, n = sequences(docs, length, id, text)
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    places, n = starts(rows, length)
     kind = docs.schema[id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, after = places.get(TaskContext.get().partitionId(), (0, 0))
         for batch in B.blocks(batches, "text", 1 << 20):
             data, offsets = B.strings(batch.column("text"))
+            many = _many(batch, length)
             size = np.diff(offsets) + 1
-            many = -(-size // length)
             record = np.full((int(many.sum()), length), PAD, np.uint8)
             begin = (np.cumsum(many) - many) * length
             flat = record.ravel()
             flat[np.repeat(begin - offsets[:-1], size - 1) + np.arange(len(data))] = data
             flat[begin + size - 1] = END
             part = np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many)
-            slot = permute(np.repeat(batch.column("first").to_numpy(), many) + part, n, key)
+            slot = permute(number + np.arange(len(record)), n, key)
+            number += len(record)
             used = np.minimum(np.repeat(size, many) - part * length, length)
             at = pa.array(np.repeat(np.arange(batch.num_rows), many))
             for start in range(0, len(record), 2048):
                 piece = slice(start, start + 2048)
                 rows_ = record[piece]
-                values = pa.Array.from_buffers(pa.binary(), len(rows_), [None, pa.py_buffer((np.arange(len(rows_) + 1, dtype=np.int32) * length)), pa.py_buffer(np.ascontiguousarray(rows_))])
+                ends = np.arange(len(rows_) + 1, dtype=np.int32) * length
+                values = pa.Array.from_buffers(pa.binary(), len(rows_), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows_))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(at[piece]), pa.array(part[piece]), pa.array(slot[piece]), pa.array(used[piece]), values], ["id", "part", "slot", "ids", "record"]
                 )
+        if number != after:
+            raise ValueError("the partitions of the input changed between two reads; store the table first")
 
     made = rows.mapInArrow(cut, f"id {kind}, part long, slot long, ids long, record binary")
     made = made.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))

@@ -94,7 +94,7 @@ def test_op8(spark, small):
     index = Q.op8_training_order(spark, small).collect()
     assert sorted(r["slot"] for r in index) == list(range(len(index)))
     size = {i: len((t or "").encode()) + 1 for i, t in lines("select doc_id, text from documents", small)[1]}
-    assert sorted((r["doc_id"], r["part"]) for r in index) == sorted((i, k) for i, n in size.items() for k in range(-(-n // 1024)))
+    assert sorted((r["doc_id"], r["part"]) for r in index) == sorted((i, k) for i, n in size.items() for k in range(-(-n // 512)))
 
 
 def test_op10(spark, small):
