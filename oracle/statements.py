@@ -599,15 +599,15 @@ STATEMENTS: dict[str, str] = {
     "m5_choices": _with(*PROFILES, _TYPED, select="SELECT * FROM choices"),
     "s_day_volatility": _with(
         *CLEAN, _DAYS,
-        select=f"SELECT count(*) AS sessions, {rounded('stddev_samp(day_over_day_delta_current_year)', 4)} AS delta_stddev, "
+        select=f"SELECT year(test_date) AS session_year, count(*) AS sessions, {rounded('stddev_samp(day_over_day_delta_current_year)', 4)} AS delta_stddev, "
         "min(day_over_day_delta_current_year) AS delta_min, max(day_over_day_delta_current_year) AS delta_max, "
         f"{rounded('regr_slope(avg_score_current_year, seq_session_number)', 4)} AS score_trend, "
         f"{rounded('corr(total_participants, avg_score_current_year)', 4)} AS load_score_correlation "
-        "FROM days WHERE month(test_date) = 6",
+        "FROM days WHERE month(test_date) = 6 GROUP BY 1",
     ),
     "s_weekly_fail": _with(
         *CLEAN, _DAYS,
-        select=f"SELECT weekofyear(test_date) AS iso_week, count(*) AS sessions, {rounded('avg(fail_rate_mandatory)', 4)} "
+        select=f"SELECT isoyear(test_date) AS iso_year, weekofyear(test_date) AS iso_week, count(*) AS sessions, {rounded('avg(fail_rate_mandatory)', 4)} "
         "AS mean_fail_rate FROM days WHERE month(test_date) = 6 GROUP BY ALL",
     ),
     "s_day_clusters": _with(
@@ -631,7 +631,7 @@ STATEMENTS: dict[str, str] = {
         *PROFILES, _DAYS, _ELECTIVES, _TYPED,
         select=_union([
             "SELECT 'first_month_participants' AS statistic, CAST(sum(total_participants) AS DOUBLE) AS value "
-            "FROM days WHERE month(test_date) = 5",
+            "FROM days WHERE month(test_date) = 5 AND year(test_date) = (SELECT max(year(test_date)) FROM days)",
             f"SELECT 'humanities_per_stem', {rounded(f'''sum(total_students) FILTER (WHERE archetype = '{fv.ARCHETYPE_HUMANITIES}') / sum(total_students) FILTER (WHERE archetype = '{fv.ARCHETYPE_STEM}')''', 4)} FROM archetypes",
             f"SELECT 'weakest_quarter_in_refuge_electives', {rounded('sum(share_of_all_q1_students)', 2)} FROM electives "
             f"WHERE elective_subject IN {listed(fv.REFUGE_ELECTIVES)}",

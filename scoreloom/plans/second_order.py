@@ -8,6 +8,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom import fixed_values as fv
@@ -28,9 +29,9 @@ def _double(name: str) -> Column:
 
 
 def day_volatility(days: DataFrame) -> DataFrame:
-    """One row over the main session: day-to-day jumps, score trend, load against score."""
+    """One row per year over its main session: day-to-day jumps, score trend, load against score."""
     jump, score = _double("day_over_day_delta_current_year"), _double("avg_score_current_year")
-    return _main_session(days).agg(
+    return _main_session(days).groupBy(F.year("test_date").cast("long").alias("session_year")).agg(
         F.count("*").alias("sessions"),
         pg_round(F.stddev_samp(jump), 4).alias("delta_stddev"),
         F.min("day_over_day_delta_current_year").alias("delta_min"),
@@ -44,12 +45,15 @@ def weekly_failures(days: DataFrame) -> DataFrame:
     """Main session by ISO week: plain mean of the daily failure rates."""
     return (
         _main_session(days)
-        .groupBy(F.weekofyear("test_date").cast("long").alias("iso_week"))
+        .groupBy(
+            F.expr("extract(YEAROFWEEK FROM test_date)").cast("long").alias("iso_year"),
+            F.weekofyear("test_date").cast("long").alias("iso_week"),
+        )
         .agg(
             F.count("*").alias("sessions"),
             half_up(exact_avg(F.col("fail_rate_mandatory")), 4).alias("mean_fail_rate"),
         )
-        .orderBy("iso_week")
+        .orderBy("iso_year", "iso_week")
     )
 
 
@@ -92,7 +96,8 @@ def region_summary(regions: DataFrame) -> DataFrame:
 
 
 def headline_ratios(days: DataFrame, electives: DataFrame, archetypes: DataFrame, choices: DataFrame) -> DataFrame:
-    """Headline figures, one per row."""
+    """Headline figures, one per row; those of the calendar are of its last year."""
+    days = days.withColumn("_last_year", F.max(F.year("test_date")).over(W.partitionBy())).filter(F.year("test_date") == F.col("_last_year"))
 
     def figure(df: DataFrame, name: str, value: Column) -> DataFrame:
         return df.agg(value.cast("decimal(38,10)").alias("value")).select(F.lit(name).alias("statistic"), "value")
