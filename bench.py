@@ -17,11 +17,7 @@ from scoreloom.plans.warehouse import TABLES
 
 DIRECTORY = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-TIMED = [
-    "etl_subjects", "mart_clean_exam_results", "m1_daily_sessions", "m2_regions", "m3_macro", "m3_types", "m3_schools", "m3_clusters",
-    "m4_electives", "m5_archetypes", "m5_choices", "s_ratios", "dq_unique", "dq_foreign_key", "dq_domain", "dq_unresolved",
-    "first_per_key_latest_order", "percentile_by_group", "quartile_cohorts", "benchmark_compare",
-]
+TIMED = list(QUERIES)
 
 
 def main() -> None:
