@@ -38,7 +38,7 @@ from scoreloom.llm.shared import written
 
 U = np.uint64
 #: Bytes of text that are hashed at once; tokens among which repeats are counted at once.
-BLOCK, COUNTED = 1 << 19, 1 << 21
+BLOCK, COUNTED = 1 << 18, 1 << 21
 #: A token is frequent if blocks in which it stands SEEN times or more have it FREQUENT times together.
 SEEN, FREQUENT, FREQUENT_MOST = 2, 12, 1 << 19
 #: A signature of so many nodes gives all their pairs.
@@ -258,21 +258,31 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     small = shared.where(F.col("many") <= SMALL)
     side = lambda df, p, *more: df.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "pos", *more)])
     need = _sized(num, den)
-    size = [F.first(c).alias(c) for c in ("l_tokens", "r_tokens")]
+    counted = [F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"), F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("l_tokens", "r_tokens")]]
     pairs = side(small, "l", "tokens").join(side(small, "r", "tokens"), "sig").where(f"l_node < r_node and {need} <= least(l_tokens, r_tokens)")
-    pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"), *size)
-    singles = shared.where("pos >= 0").groupBy("node").agg(F.sum((F.col("many") > SMALL).cast("int")).alias("in_large"), F.sum((F.col("many") <= SMALL).cast("int")).alias("in_small"))
-    known = written(about.join(singles, "node", "left").na.fill(0, ["in_large", "in_small"]), "known")
-    of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("rare", "end", "in_large", "in_small")])
+    pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(*counted)
+    tally = {}
+    for name, where in (("large", F.col("many") > SMALL), ("small", F.col("many") <= SMALL)):
+        tally |= {f"all_{name}": where, f"in_{name}": where & (F.col("pos") >= 0)}
+    known = written(about.join(shared.groupBy("node").agg(*[F.count_if(where).alias(name) for name, where in tally.items()]), "node"), "known")
+    of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("rare", "end", *tally)])
 
     def possible(pairs: DataFrame, others: str) -> DataFrame:
-        """Of (l, r, met, l_tokens, r_tokens) those that can link: of the prefix that ends first, every rare token that is not shared with the other
-        prefix is missing there. `met` counts shared ones in some signatures, `others` has the number of each node's in all others."""
+        """Of (l, r, met, both, l_tokens, r_tokens) those that can link.
+
+        Of the prefix that ends first, every token that is not in the other prefix is missing there. `met` counts the shared rare
+        tokens among some signatures, `both` all shared signatures among them; `others` says where each node's other ones are counted.
+        Rare tokens: counted one by one. Frequent ones: of a class with n in the prefix and m shared, m - 1 are at most the
+        shared pairs, and all n - 1 add up to what is left of the tokens that a partner may miss, and one more.
+        """
         pairs = pairs.join(of("l"), "l").join(of("r"), "r")
-        test = "({p}_end > {q}_end or {p}_rare - met - least(l_" + others + ", r_" + others + ") <= {p}_tokens - " + need + ")"
-        return pairs.where(test.format(p="l", q="r") + " and " + test.format(p="r", q="l")).select("l", "r")
+        test = "({p}_end > {q}_end or {p}_rare - met - least(l_in_" + others + ", r_in_" + others + ") <= {p}_tokens - " + need + ")"
+        pairs = pairs.where(test.format(p="l", q="r") + " and " + test.format(p="r", q="l"))
+        # which of two prefixes with frequent tokens ends first is not known here: one of them has to pass
+        test = f"({{p}}_tokens - ceil({num}L * {{p}}_tokens / {den}.0D - 1e-9) + 1 - both - least(l_all_{others}, r_all_{others}) <= {{p}}_tokens - {need})"
+        return pairs.where(f"l_end <> r_end or l_end <> {(1 << 63) - 1}L or " + test.format(p="l") + " or " + test.format(p="r")).select("l", "r")
 
-    first = possible(pairs, "in_large")
+    first = possible(pairs, "large")
 
     hot = shared.where(F.col("many") > SMALL).join(about, "node")
     centres = hot.groupBy("sig").agg(F.min(F.struct("rare", (-F.col("tokens")).alias("fewer"), "node", "tokens")).alias("c"))
@@ -290,8 +300,8 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     placed = placed.join(open_, "sig")
     columns = ("tokens", "rare", "component")
     rest = side(placed, "l", *columns).join(side(placed, "r", *columns), "sig").where("l_node < r_node and l_component <> r_component").where(fits)
-    rest = rest.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"), *size)
-    rest = written(possible(rest, "in_small").join(first, ["l", "r"], "left_anti"), "pairs")
+    rest = rest.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(*counted)
+    rest = written(possible(rest, "small").join(first, ["l", "r"], "left_anti"), "pairs")
     if rest.limit(1).count():
         links = links.unionAll(compare(rest, docs, rows, *args))
 
