@@ -116,7 +116,7 @@ def materialise(docs: DataFrame, path: str, length: int, per_shard: int, key: in
     made = made.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
     shards = max(1, -(-n // per_shard))
     # range partitions of whole shards: a shard lies in one partition, in order, and so in one file
-    ordered = made.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+    ordered = made.select("shard", "slot", "record").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
     if n:
         ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     index = made.select("id", "part", "slot", "shard", "ids", F.crc32("record").alias("digest"))
