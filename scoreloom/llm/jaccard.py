@@ -267,11 +267,14 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     known = written(about.join(shared.groupBy("node").agg(*[F.count_if(where).alias(name) for name, where in tally.items()]), "node"), "known")
     of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("rare", "end", *tally)])
 
-    def possible(pairs: DataFrame, others: str) -> DataFrame:
+    few_rare = f"{need} <= least(l_tokens - l_rare, r_tokens - r_rare)"  # enough tokens besides the rare ones
+
+    def possible(pairs: DataFrame, others: str, all_counted: str = "true") -> DataFrame:
         """Of (l, r, met, both, l_tokens, r_tokens) those that can link.
 
         Of the prefix that ends first, every token that is not in the other prefix is missing there. `met` counts the shared rare
         tokens among some signatures, `both` all shared signatures among them; `others` says where each node's other ones are counted.
+        Where `all_counted` is false, `both` lacks shared signatures of two tokens and bounds nothing.
         Rare tokens: counted one by one. Frequent ones: of a class with n in the prefix and m shared, m - 1 are at most the
         shared pairs, and all n - 1 add up to what is left of the tokens that a partner may miss, and one more.
         """
@@ -280,7 +283,7 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
         pairs = pairs.where(test.format(p="l", q="r") + " and " + test.format(p="r", q="l"))
         # which of two prefixes with frequent tokens ends first is not known here: one of them has to pass
         test = f"({{p}}_tokens - ceil({num}L * {{p}}_tokens / {den}.0D - 1e-9) + 1 - both - least(l_all_{others}, r_all_{others}) <= {{p}}_tokens - {need})"
-        return pairs.where(f"l_end <> r_end or l_end <> {(1 << 63) - 1}L or " + test.format(p="l") + " or " + test.format(p="r")).select("l", "r")
+        return pairs.where(f"not ({all_counted}) or l_end <> r_end or l_end <> {(1 << 63) - 1}L or " + test.format(p="l") + " or " + test.format(p="r")).select("l", "r")
 
     first = possible(pairs, "large")
 
@@ -288,7 +291,7 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     centres = hot.groupBy("sig").agg(F.min(F.struct("rare", (-F.col("tokens")).alias("fewer"), "node", "tokens")).alias("c"))
     centres = centres.select("sig", F.col("c.rare").alias("r_rare"), F.col("c.node").alias("r_node"), F.col("c.tokens").alias("r_tokens"))
     # signatures of two tokens: rare tokens that both had would be signatures themselves
-    fits = f"{need} <= least(l_tokens, r_tokens) and (l_pos >= 0 or {need} <= least(l_tokens - l_rare, r_tokens - r_rare))"
+    fits = f"{need} <= least(l_tokens, r_tokens) and (l_pos >= 0 or {few_rare})"
     star = side(hot, "l", "tokens", "rare").join(centres, "sig").where("l_node <> r_node").where(fits)
     star = star.select(F.least("l_node", "r_node").alias("l"), F.greatest("l_node", "r_node").alias("r"))
     first = written(first.unionAll(star).distinct(), "pairs")
@@ -301,7 +304,7 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     columns = ("tokens", "rare", "component")
     rest = side(placed, "l", *columns).join(side(placed, "r", *columns), "sig").where("l_node < r_node and l_component <> r_component").where(fits)
     rest = rest.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(*counted)
-    rest = written(possible(rest, "small").join(first, ["l", "r"], "left_anti"), "pairs")
+    rest = written(possible(rest, "small", few_rare).join(first, ["l", "r"], "left_anti"), "pairs")
     if rest.limit(1).count():
         links = links.unionAll(compare(rest, docs, rows, *args))
 

@@ -64,6 +64,19 @@ def test_as_all_pairs(rows_of, monkeypatch, width, num):
     assert run(rows_of, rows, width, num, 100) == brute(rows, width, num, 100)
 
 
+def test_pair_with_rare_and_frequent_tokens(rows_of, monkeypatch):
+    """97 of 103 tokens shared, three of them rare but in many rows: what both share in pairs of frequent tokens isn't counted."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    frequent, others, rare = ([f"{c}{k}" for k in range(n)] for c, n in (("f", 94), ("g", 94), ("r", 3)))
+    own = lambda i, n: [f"o{i}_{k}" for k in range(n)]
+    rows = [(i, " ".join([*frequent, *rare, *own(i, 3)])) for i in (1, 2)]
+    rows += [(i, " ".join([*others, *rare, *own(i, 1)])) for i in range(10, 18)]  # fewer rare tokens: the centres of the stars
+    rows += [(i, " ".join([*words, *own(i, 6)])) for i, words in enumerate([*[frequent] * 20, *[others] * 20], 100)]
+    got = run(rows_of, rows, 1, 90, 100)
+    assert got == brute(rows, 1, 90, 100)
+    assert (2, 100, 1) in got
+
+
 def test_odd_rows(rows_of):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "One two"), (9, "ONE  two"), (10, "one"), (None, "one two"), (11, "a b c d"), (11, "x y z w"), (12, "x y z w"), (12, "x y z w"), (3, "a b c d"), (2, "é è " * 9000)]
     assert run(rows_of, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
