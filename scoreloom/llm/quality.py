@@ -5,12 +5,12 @@ CHUNK bytes, each compressed with either dictionary and without, so that a long
 The difference of the summed sizes over the size without dictionary, the compression ratio and the length go through
 a logistic calibration.
 
-The fit takes a bounded sample: for each label at most SAMPLE texts and SAMPLE_BYTES bytes, lowest hash of the id first.
-Half of it builds the dictionaries, the other half the calibration, weighted to the labels' shares among all labelled rows.
+The fit takes a bounded sample: for each label SAMPLE different texts, lowest hash of id and text first, and SAMPLE_BYTES bytes.
+Where these texts hold more, the longest give only some of their chunks, evenly spread; none is left out. Half of the texts build the dictionaries, the other half the calibration, weighted to the labels' shares among all labelled rows.
 Everything else covers all rows.
 
-Cases. Null and empty texts: the share of good labels, 0.5 without labels. Without texts of both labels every score
-is that share. Null labels and null ids teach nothing; repeated label rows count once; a text with both labels counts for
+Cases. Null and empty texts: the share of good labels, 0.5 without labels. Without two texts of both labels every score
+is that share. Null labels and null ids teach nothing; repeated label rows and repeated rows of one id and text count once; a text with both labels counts for
 both. Very long texts: all chunks. Repeated rows and ties: equal texts have equal scores. Empty tables: empty result.
 The result's columns replace input columns of the same name.
 """
@@ -27,7 +27,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from scoreloom.llm import blocks as B
 
@@ -72,7 +71,9 @@ class _Sizes:
         self.compress.append(make().compress)
 
     def of(self, text: bytes) -> list[int]:
-        chunks = [text[k : k + CHUNK] for k in range(0, len(text), CHUNK)]
+        return self.of_chunks([text[k : k + CHUNK] for k in range(0, len(text), CHUNK)])
+
+    def of_chunks(self, chunks: list[bytes]) -> list[int]:
         return [sum([len(compress(c)) for c in chunks]) for compress in self.compress]
 
 
@@ -99,29 +100,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def chunks_each(sizes: list[int]) -> int:
+    """The most chunks of a text with which texts of these sizes stay within SAMPLE_BYTES, at least one."""
+    chunks = np.sort(-(-np.array(sizes, np.int64) // CHUNK))
+    left, budget = len(chunks), SAMPLE_BYTES // CHUNK
+    for n in chunks.tolist():
+        if n * left > budget:
+            return max(1, budget // left)
+        budget -= n
+        left -= 1
+    return int(chunks[-1]) if len(chunks) else 1
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learn from the labelled texts; pass only the rows that may be learned from."""
     marked = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)").distinct()
     counts = {r["__label"]: r["count"] for r in marked.groupBy("__label").count().collect()}  # two rows
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    sizes = docs.select(F.col(id).alias("__id"), F.octet_length(text).alias("__bytes")).where("__bytes > 0").dropDuplicates(["__id"])
+    sign = F.xxhash64(F.col(id), F.col(text)).alias("__sign")
+    sizes = docs.select(F.col(id).alias("__id"), sign, F.octet_length(text).alias("__bytes")).where("__bytes > 0").dropDuplicates(["__id", "__sign"])
     picked = []
     for value in (0, 1):
-        lowest = sizes.join(marked.where(F.col("__label") == value), "__id").orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-        running = F.sum("__bytes").over(W.orderBy(F.xxhash64("__id"), "__id"))  # over SAMPLE rows
-        picked.append(lowest.withColumn("__sum", running).where(F.col("__sum") <= SAMPLE_BYTES).select("__id", "__label"))
-    sample = picked[0].unionAll(picked[1])
-    texts = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).where("__text <> ''").join(F.broadcast(sample), "__id")
-    rows = sorted((r["__label"], str(r["__id"]), r["__text"].encode()) for r in texts.collect())
-    by = {value: [t for l, _, t in rows if l == value] for value in (0, 1)}
+        found = sizes.join(marked.where(F.col("__label") == value), "__id").orderBy("__sign", "__id").limit(SAMPLE).collect()  # SAMPLE rows
+        most = chunks_each([r["__bytes"] for r in found])
+        picked += [(r["__id"], r["__sign"], value, most) for r in found]
+    kind = docs.schema[id].dataType.simpleString()
+    sample = docs.sparkSession.createDataFrame(picked, f"__id {kind}, __sign long, __label int, __most long")
+    texts = docs.select(F.col(id).alias("__id"), sign, F.col(text).cast("binary").alias("__text")).join(F.broadcast(sample), ["__id", "__sign"])
+    texts = texts.withColumn("__bytes", F.octet_length("__text").cast("long")).withColumn("__all", F.expr(f"(__bytes + {CHUNK - 1}) div {CHUNK}"))
+    taken = f"transform(sequence(0L, least(__all, __most) - 1), k -> substring(__text, cast((k * __all) div least(__all, __most) * {CHUNK} + 1 as int), {CHUNK}))"
+    texts = texts.select("__id", "__sign", "__label", "__bytes", F.expr(taken).alias("__chunks"))
+    texts = texts.groupBy("__id", "__sign", "__label").agg(F.first("__bytes").alias("__bytes"), F.first("__chunks").alias("__chunks"))
+    rows = sorted((r["__label"], str(r["__id"]), r["__sign"], r["__bytes"], [bytes(c) for c in r["__chunks"]]) for r in texts.collect())
+    by = {value: [(n, chunks) for label, _, _, n, chunks in rows if label == value] for value in (0, 1)}
     none = Model(b"", b"", (False, False), np.zeros(9), np.ones(9), None, share)
     if min(len(by[0]), len(by[1])) < 2:
         return none
-    made = [_dictionary([t[k : k + CHUNK] for t in by[v][::2] for k in range(0, len(t), CHUNK)]) for v in (1, 0)]
+    made = [_dictionary([c for _, chunks in by[v][::2] for c in chunks]) for v in (1, 0)]
     measure = _Sizes(made[0][0], made[1][0], (made[0][1], made[1][1]))
-    rest = [(v, t) for v in (0, 1) for t in by[v][1::2]]
-    y = np.array([v for v, _ in rest], float)
-    x = _features(np.array([measure.of(t) for _, t in rest]), np.array([len(t) for _, t in rest]))
+    rest = [(v, n, chunks) for v in (0, 1) for n, chunks in by[v][1::2]]
+    y = np.array([v for v, _, _ in rest], float)
+    lengths = np.array([n for _, n, _ in rest])
+    part = lengths / np.array([sum(map(len, chunks)) for _, _, chunks in rest])  # sizes of some chunks stand for the whole text
+    x = _features(np.array([measure.of_chunks(chunks) for _, _, chunks in rest]) * part[:, None], lengths)
     centre, scale = x.mean(0), x.std(0) + 1e-9
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     return Model(made[0][0], made[1][0], (made[0][1], made[1][1]), centre, scale, _logistic((x - centre) / scale, y, weight), share)

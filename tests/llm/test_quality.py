@@ -28,6 +28,24 @@ def test_held_out_accuracy(rows_of):
     assert all(0 <= s <= 1 for s in score.values())
 
 
+def test_long_texts_and_repeated_rows_leave_a_sample(rows_of, monkeypatch):
+    """Texts over the byte budget don't push out the others; of repeated rows one is collected."""
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 60 * quality.CHUNK)
+    rows, marks = corpus(3, 40)
+    rows = [(k, text * (1 if k % 2 else 400)) for k, text in rows] + [(1, rows[1][1])] * 200
+    docs = rows_of(rows, "doc_id long, text string")
+    model = quality.fit(docs, rows_of(marks, LABELS))
+    assert model.weights is not None
+    score = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert sum((score[k] >= 0.5) == bool(good) for k, good, _ in marks) / len(marks) > 0.9
+
+
+def test_chunks_within_the_budget(monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 10 * quality.CHUNK)
+    c = quality.CHUNK
+    assert [quality.chunks_each(x) for x in ([], [1, 2], [9 * c, 1], [c, 20 * c, 30 * c], [c] * 50)] == [1, 1, 9, 4, 1]
+
+
 def test_odd_rows(rows_of):
     rows, marks = corpus(2, 120)
     rows += [(900, None), (901, ""), (902, rows[0][1]), (902, rows[0][1]), (None, "text"), (903, "word " * 200000)]
