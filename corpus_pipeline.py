@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality, near duplicates, mix, encoding.
 
 Every stage takes (spark, docs, directory of the tables) and works on all rows its predecessor kept. The first three return
-the columns of `documents`; the last returns the ids as op1 does, with ids and text.
+the columns of `documents`; the last returns the ids and the text decoded from them, which op1 gives as digests.
 """
 
 from __future__ import annotations
@@ -37,15 +37,17 @@ def sample_mix(spark: SparkSession, docs: DataFrame, directory: str) -> DataFram
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
-    """Token ids of every whole text."""
-    return bpe.encode(docs, vocabulary(), keep=["doc_id"]).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every whole text, and the text that these give."""
+    content = vocabulary()
+    encoded = bpe.encode(docs, content, keep=["doc_id"])
+    return bpe.decode(encoded, content).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
     ("quality classifier", keep_good),
     ("n-gram Jaccard join", keep_one_of_near),
     ("mixing sources", sample_mix),
-    ("BPE encoding", to_ids),
+    ("BPE encoding and decoding", to_ids),
 ]
 
 

@@ -130,6 +130,12 @@ def test_pipeline(spark, small):
     assert sorted(r["doc_id"] for r in whole) == sorted(text)
 
 
+def test_last_stage_decodes(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40).cache()
+    expected = {r["doc_id"]: FILE.decode(FILE.encode(r["text"] or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in docs.collect()}
+    assert {r["doc_id"]: r["decoded"] for r in corpus_pipeline.to_ids(spark, docs, small).collect()} == expected
+
+
 def test_stages_with_empty_tables(spark, small, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{small}/{name}.parquet").where(F.lit(False)).write.parquet(str(tmp_path / f"{name}.parquet"))
