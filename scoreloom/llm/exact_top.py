@@ -3,12 +3,12 @@
 Pivots are the queries with the lowest hash of the id, one for each QUERIES queries. Every query goes to its nearest pivot p; a group's
 radius U is the largest distance of its queries from p. For a row s and any query q of the group
     p.s - U |s|  <=  q.s  <=  p.s + U |s|.
-The (k + 1)-th largest lower bound over all rows is a score that every query of the group reaches with k rows besides itself; each
-task gives its k + 1 largest per group, so the bounds come from summaries. A row is sent to a group only if its upper
+The (k + 1)-th largest lower bound of different ids is a score that every query of the group reaches with k rows besides those of its
+own id; each task gives its k + 1 largest per group, so the bounds come from summaries. A row is sent to a group only if its upper
 bound reaches that score. Groups of more than QUERIES queries are split, rows are dealt into parts of about ROWS,
 and every part is solved where it lies; the best k of a query's parts are its result.
 
-Equal vectors tie, so of each only the k + 1 smallest ids can matter; the rest of a group of copies is left out beforehand.
+Equal vectors tie, so of each only k rows of an id and 2 k rows with the smallest ids can matter; the rest of a group of copies is left out beforehand.
 Where vectors are spread evenly in many dimensions the bounds exclude little, and every row meets every group.
 
 Cases. Vectors that are null, empty or hold null or non-finite components, and rows with a null id, take no part. Shorter vectors
@@ -35,14 +35,29 @@ QUERIES, ROWS, PIVOTS = 256, 1 << 14, 1024
 
 
 def few_copies(rows: DataFrame, k: int) -> DataFrame:
-    """Of rows (id, vector) with equal vectors the k with the smallest ids; `spread` shares out large groups of copies first."""
+    """Of rows (id, vector) with equal vectors those that can be among the k smallest ids besides one id.
+
+    Of each id k rows, of these the 2 k with the smallest ids: any one id has at most k of them. `part` shares out large groups of copies first.
+    """
     spread = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)))
-    for by in (["vector", "part"], ["vector"]):
+    for by, most in ((["vector", "part", "id"], k), (["vector", "part"], 2 * k), (["vector"], 2 * k)):
         place = F.row_number().over(W.partitionBy(*by).orderBy("id"))
-        spread = spread.withColumn("place", place).where(F.col("place") <= k)
+        spread = spread.withColumn("place", place).where(F.col("place") <= most)
     return spread.select("id", "vector")
 
 
+def largest(bounds: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """In each column the `most` largest bounds of different ids, with the ids; -inf where there are fewer."""
+    order = np.argsort(-bounds, 0, kind="stable")
+    bounds, ids = np.take_along_axis(bounds, order, 0), np.take_along_axis(ids, order, 0)
+    if any(len(np.unique(c)) < len(c) for c in ids.T):
+        for c in range(bounds.shape[1]):
+            first = np.sort(np.unique(ids[:, c], return_index=True)[1])[:most]
+            bounds[: len(first), c], ids[: len(first), c] = bounds[first, c], ids[first, c]
+            bounds[len(first) :, c] = -np.inf
+    return bounds[:most], ids[:most]
+
+
 def solve(rows: DataFrame, queries: DataFrame, keys: list[str], k: int, kind: str) -> DataFrame:
     """(query, rank, id, score): the k best over all parts, where rows and queries of a part share `keys`."""
 
@@ -72,7 +87,7 @@ def _nearest(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nda
 def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank, id, score) for tables (id long, vector array<long>); a row never answers a query of its own id."""
     usable = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull())
-    rows = written(few_copies(rows.where(usable).select("id", "vector"), k + 1), "rows")
+    rows = written(few_copies(rows.where(usable).select("id", "vector"), k), "rows")
     queries = written(queries.where(usable).select("id", "vector").dropDuplicates(["id", "vector"]), "queries")
     spark = rows.sparkSession
     asked, there = queries.count(), rows.count()
@@ -101,15 +116,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return middle - slack, middle + slack
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = np.full((0, len(pivots)), -np.inf)
-        for batch in batches:
-            if batch.num_rows:
-                most = np.sort(np.concatenate([most, ends(batch)[0]]), 0)[-(k + 1) :]
+        most, of = np.full((0, len(pivots)), -np.inf), np.zeros((0, len(pivots)), np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                ids = np.repeat(batch.column("id").to_numpy()[:, None], len(pivots), 1)
+                most, of = largest(np.concatenate([most, ends(batch)[0]]), np.concatenate([of, ids]), k + 1)
         names = np.tile(np.arange(len(pivots), dtype=np.int32), len(most))
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(most.ravel())], ["group", "bound"])
+        there = np.isfinite(most.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(x[there]) for x in (names, of.ravel(), most.ravel())], ["group", "id", "bound"])
 
     place = F.row_number().over(W.partitionBy("group").orderBy(F.desc("bound")))
-    reached = rows.mapInArrow(lower, "group int, bound double").withColumn("place", place).where(F.col("place") == k + 1)
+    reached = rows.mapInArrow(lower, "group int, id long, bound double").groupBy("group", "id").agg(F.max("bound").alias("bound"))
+    reached = reached.withColumn("place", place).where(F.col("place") == k + 1)
     least = np.full(len(pivots), -np.inf)
     for r in reached.collect():  # a row for each pivot
         least[r["group"]] = r["bound"]

@@ -127,7 +127,7 @@ def fit(sample: np.ndarray, parts: int) -> tuple[np.ndarray, float]:
 def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank, id, score) for tables (id long, vector array<double>)."""
     usable = F.col("id").isNotNull() & V.valid("vector") & F.exists("vector", lambda x: x != 0)
-    rows = written(few_copies(rows.where(usable).select("id", "vector"), k + 1), "rows")
+    rows = written(few_copies(rows.where(usable).select("id", "vector"), k), "rows")
     queries = written(queries.where(usable).select("id", "vector").dropDuplicates(["id", "vector"]), "queries")
     spark = rows.sparkSession
     there = rows.count()

@@ -33,6 +33,19 @@ def test_exact_as_all_pairs(rows_of, monkeypatch, queries, rows):
     assert sorted(map(tuple, got)) == best(data, asked, 5)
 
 
+@pytest.mark.parametrize("search", [exact_top.search, learned_search.search])
+def test_copies_of_the_query_row(rows_of, search):
+    """Rows of the query's own id don't take the places of other ids with the same vector."""
+    kind = "long" if search is exact_top.search else "double"
+    data = [(50, [9, 9])] * 30 + [(i, [9, 9]) for i in range(51, 61)] + [(i, [i, -1]) for i in range(8)]
+    data += [(50, [9, 10 + i]) for i in range(12)]  # other vectors of that id
+    data = [(i, [float(x) if kind == "double" else x for x in v]) for i, v in data]
+    rows = rows_of(data, f"id long, vector array<{kind}>")
+    asked = [(50, data[0][1])]
+    got = search(rows, rows_of(asked, f"id long, vector array<{kind}>"), 5).collect()
+    assert sorted(map(tuple, got)) == best(data, asked, 5)
+
+
 def test_exact_odd_rows(rows_of):
     schema = "id long, vector array<long>, query string, score string"
     data = [(0, [1, 2]), (1, [1, 2]), (2, None), (3, [1, None]), (4, []), (None, [9, 9]), (5, [3]), (6, [0, 0])]
