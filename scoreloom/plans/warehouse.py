@@ -10,7 +10,6 @@ process falls back to a temporary folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from scoreloom import schemas
 from scoreloom.plans import etl, marts, quality, sessions
+from scoreloom.sources.scratch import folder as shared_folder
 
 TABLES = [
     "staging", "subjects", "institutions", "institution_lookup", "participants", "exam_results", "person_days",
@@ -32,17 +32,6 @@ class QualityError(ValueError):
     """A load broke an integrity rule."""
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where tables may be written so that all executors see them."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return tempfile.mkdtemp(prefix="scoreloom-")
-    raise ValueError("a load needs a folder that all executors share: set spark.checkpoint.dir")
-
-
 class Warehouse:
     """The tables of one load. Each is built on first use."""
 
