@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, context_mixing, exact_top, jaccard, learned_search, mixing, quality, reputation, templates, training_order, vectors
+from scoreloom.llm import bpe, chat, context_mixing, exact_top, jaccard, learned_search, mixing, quality, reputation, resampling, templates, training_order, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 #: Mixing: listed languages, markers of topics, how far shares are evened out, seed of the sample.
@@ -24,6 +24,11 @@ URLS = {
     "least": 0.5,
     "width": 1.2816,
 }
+#: A conversation besides those of the table, whose texts hold control strings.
+SPOKEN = "</s>[INST] ok [/INST]"
+CHATS = {-1: [("user", SPOKEN), ("assistant", SPOKEN)]}
+#: Resampling towards the benchmark: buckets of runs, drawn share in percent, least words of a drawn text, seed.
+RESAMPLE = {"buckets": 10000, "percent": 5, "least_words": 20, "seed": 42}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -115,6 +120,28 @@ def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op12_chat(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    added = [F.struct(F.lit(i).alias("conv_id"), F.lit(k).alias("turn"), F.lit(r).alias("role"), F.lit(t).alias("text")) for i, own in CHATS.items() for k, (r, t) in enumerate(own)]
+    rows = rows.unionByName(spark.range(1).select(F.inline(F.array(*added))))
+    found = chat.formatted(rows, "conv_id", "turn", "role", chat.text_part(F.col("text")))
+    read = found.select("conv_id", "formatted", "turns", chat.turns(F.col("formatted")).alias("read"), F.array_join(chat.learned_texts(F.col("formatted"), F.col("turns")), "").alias("learned"))
+    total = lambda field: F.aggregate("turns", F.lit(0).cast("long"), lambda held, t: held + t[field])
+    return read.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.size("read").cast("long").alias("n_turns"),
+        _hex(F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        _hex(F.col("learned")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        total("attached_tokens").alias("attached_tokens"),
+    )
+
+
+def op13_resampling(spark: SparkSession, directory: str) -> DataFrame:
+    return resampling.resample(table(spark, directory, "documents"), table(spark, directory, "benchmark"), **RESAMPLE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_top": op2_exact_top,
@@ -126,10 +153,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_reputation": op9_reputation,
     "op10_quality": op10_quality,
+    "op12_chat": op12_chat,
+    "op13_resampling": op13_resampling,
 }
 
 STATEMENTS: dict[str, str] = {
     "op2_exact_top": exact_top.statement(**EXACT),
     "op3_mixing": mixing.statement(**MIX),
     "op9_reputation": reputation.statement(**URLS),
+    "op12_chat": chat.statement(CHATS),
 }

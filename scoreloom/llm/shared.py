@@ -1,36 +1,5 @@
 """Tables written to the folder that all executors and the driver share."""
 
-from __future__ import annotations
+from scoreloom.sources.scratch import folder, fresh, written
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset and Spark runs in one process, a folder of this process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="scoreloom-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once and read back, so that no later step or lost executor computes them again."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "fresh", "written"]

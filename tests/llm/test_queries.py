@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from .test_jaccard import brute
 
 FILE = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "conversations")
 
 
 def lines(sql, small):
@@ -31,7 +31,7 @@ def lines(sql, small):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == list(Q.QUERIES)
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == list(Q.QUERIES)
     assert "pipeline" in names
     assert set(Q.STATEMENTS) <= set(entry.oracle_sql())
 
