@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, chat, context_mixing, exact_top, jaccard, learned_search, mixing, quality, reputation, resampling, templates, training_order, vectors
+from scoreloom.llm import alignment, bpe, chat, context_mixing, exact_top, jaccard, learned_search, mixing, quality, reputation, resampling, shared, templates, training_order, vectors
 
 VOCABULARY = "word_bpe_49k.json"
+#: Tokenizers that are aligned.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Mixing: listed languages, markers of topics, how far shares are evened out, seed of the sample.
 MIX = {"languages": ["en", "de", "fr", "es"], "topics": {"table": " | ", "contact": "@", "licence": "icense"}, "temper": 0.9, "seed": 11}
 
@@ -120,6 +122,19 @@ def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def alignment_files() -> alignment.Files:
+    a, b = map(public_tokenizers.path, ALIGNED)
+    with open(a, encoding="utf-8") as file, open(b, "rb") as model:
+        return alignment.Files(file.read(), model.read())
+
+
+def op11_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    found = alignment.aligned(table(spark, directory, "documents"), alignment_files(), keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(_hex(F.col("groups")))
+    stored = shared.written(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return alignment.with_counts(stored, alignment.b_ids(alignment_files()), ["doc_id", *alignment.MEASURES, "groups_sha256"])
+
+
 def op12_chat(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
     added = [F.struct(F.lit(i).alias("conv_id"), F.lit(k).alias("turn"), F.lit(r).alias("role"), F.lit(t).alias("text")) for i, own in CHATS.items() for k, (r, t) in enumerate(own)]
@@ -153,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_reputation": op9_reputation,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op12_chat": op12_chat,
     "op13_resampling": op13_resampling,
 }
