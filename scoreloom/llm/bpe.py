@@ -12,8 +12,10 @@ occur, since it holds every byte. Result columns replace input columns of the sa
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from scoreloom.llm import blocks as B
 
@@ -31,11 +34,22 @@ BLOCK = 4 << 20
 REMEMBERED = 200_000
 
 
+@functools.cache
+def _recent() -> re.Pattern:
+    """Characters younger than Unicode 3.2. Tables of different age, Python's and the library's among them, disagree about their
+    kind, lower case and place beside other marks."""
+    points = [c for c in range(0x110000) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+    starts = [c for k, c in enumerate(points) if k == 0 or points[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 class Vocabulary:
     """A tokenizer file of kind BPE with word ends, as arrays."""
 
     def __init__(self, content: str):
         file = json.loads(content)
+        self.content = content
         model = file["model"]
         ids = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -82,18 +96,30 @@ class Vocabulary:
 
     def _normal(self, text: str) -> list[str]:
         plain = text.isascii()
+        if not plain and _recent().search(text):
+            return self.library.normalizer.normalize_str(text).split(" ")
         if not plain:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # capital sigma: one lower form wherever it stands
         for space in self.spaces[:5] if plain else self.spaces:
             text = text.replace(space, " ")
         return text.lower().split(" ")
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """Its own tables decide on recent characters."""
+        return Tokenizer.from_str(self.content)
+
+    def _pieces(self, chunk: str) -> list[str]:
+        if chunk.isascii() or not _recent().search(chunk):
+            return self.piece.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
     def encode_chunks(self, chunks: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after another, and how many each has."""
         pieces, numbers = _Numbers(), []
         of_chunk = np.zeros(len(chunks), np.int64)
         for k, chunk in enumerate(chunks):
-            found = [chunk] if isinstance(chunk, int) else self.piece.findall(chunk)
+            found = [chunk] if isinstance(chunk, int) else self._pieces(chunk)
             of_chunk[k] = len(found)
             numbers.extend(map(pieces.__getitem__, found))
         if not numbers:

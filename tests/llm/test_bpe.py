@@ -27,6 +27,15 @@ def test_any_text_as_the_library(texts):
     assert local(texts) == [FILE.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_character_as_the_library():
+    """After a colon, a letter and a digit, and before a mark; every 16th of the planes that hold ideographs, private characters or none."""
+    points = [c for c in (*range(0x20000), *range(0x20000, 0x110000, 16)) if not 0xD800 <= c < 0xE000]
+    for low in range(0, len(points), 1 << 14):
+        texts = [f":{chr(c)} a{chr(c)} 1{chr(c)}\u0301" for c in points[low : low + (1 << 14)]]
+        expected = [e.ids for e in FILE.encode_batch(texts, add_special_tokens=False)]
+        assert local(texts) == expected
+
+
 def test_runs_of_doubled_pairs_and_odd_letters():
     rng = random.Random(3)
     texts = ["a" * n for n in range(1, 40)] + ["ab" * 30, "aab" * 20, "ΣΑΣ σς İ ﬁ é", "x\x85y\x1cz w", "漢字 한국어 👍🏽"]
