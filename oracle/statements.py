@@ -10,6 +10,7 @@ from __future__ import annotations
 from scoreloom import fixed_values as fv
 from scoreloom import schemas
 from scoreloom.schemas import ELECTIVE, MANDATORY, STAGING_FIELDS, SUBJECTS
+from scoreloom.sources import deliveries
 
 
 def text(value: str) -> str:
@@ -540,6 +541,137 @@ FROM (SELECT eo_edeboid, eo_edrpou, eo_name, eo_reg_name, eo_area_name, eo_ter_n
       FROM staging WHERE eo_name <> 'null' GROUP BY ALL) s
 LEFT JOIN matches m ON {_SAME_REFERENCE} GROUP BY 1"""
 
+# --- results as published ----------------------------------------------------
+
+_CLUSTERS = (
+    "SELECT school_rank AS school_cluster, count(*) AS institutions_count, "
+    "CAST(sum(total_students) AS BIGINT) AS total_graduates_covered, "
+    f"{percent('count(*)', 'sum(count(*)) OVER ()', 2)} AS cluster_share_pct, "
+    f"{rounded('avg(mid)', 2)} AS cluster_avg_median_score FROM schools GROUP BY school_rank"
+)
+_PUBLISHED = {
+    "daily_sessions": "SELECT * FROM days",
+    "regions": "SELECT * FROM regions",
+    "macro_locations": _MACRO,
+    "institution_types": _TYPES,
+    "rural_schools": "SELECT * EXCLUDE (own) FROM schools",
+    "school_clusters": _CLUSTERS,
+    "elective_strategy": "SELECT * FROM electives",
+    "archetype_profiles": "SELECT * FROM archetypes",
+    "elective_choices": "SELECT * FROM choices",
+}
+
+
+def _empty_fields(statement: str) -> str:
+    return f"SELECT count(*) AS n, CAST(coalesce(sum(len(regexp_extract_all(CAST(to_json(t) AS VARCHAR), ':null'))), 0) AS BIGINT) AS e FROM ({statement}) t"
+
+
+_REGION_TEXT = "SELECT reg_name, " + ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}" if scale is None else f"CAST(CAST({c} AS DECIMAL(18,{scale})) AS VARCHAR) AS {c}"
+    for c, scale in {
+        "total_participants": None, "center_participants": None, "periphery_participants": None, "center_participants_percentage": 1,
+        "median_center_score": 2, "median_periphery_score": 2, "delta_median": 2, "center_high_achievers_percentage": 2,
+        "periphery_high_achievers_percentage": 2, "monopoly_lq_index": 2, "center_failed_percentage": 2,
+        "periphery_failed_percentage": 2, "fail_rate_ratio": 2, "region_classification": None,
+    }.items()
+) + " FROM regions"
+
+# A delivery with faults: what is wrong with each row, parents first; a child may only refer to parents without a fault.
+
+
+def _delivered(table: str) -> str:
+    changed = [(c, deliveries.spoiled_column(table, c)) for c in dict.fromkeys(f[0] for f in deliveries.FAULTS.get(table, []))]
+    if table == "subjects":
+        literal = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else text(v)
+        values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in deliveries.FURTHER_SUBJECTS)
+        return f"SELECT * FROM subjects UNION ALL SELECT * FROM (VALUES {values})"
+    return f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in changed)}) FROM {table}"
+
+
+def _faults(table: str) -> dict[str, str]:
+    if table == "staging":
+        fields = [f"{s.prefix}_{part}" for s in SUBJECTS for part in ("ball100", "ball")]
+        return {f"{c} score": f"{c} <> 'null' AND TRY_CAST(trim(replace({c}, ',', '.')) AS DECIMAL(5,2)) IS NULL" for c in fields}
+    key = schemas.PRIMARY_KEYS[table]
+    found = {f"{key} unique": f"{key} IS NOT NULL AND count(*) OVER (PARTITION BY {key}) > 1"}
+    for child, column, parent, parent_key in schemas.FOREIGN_KEYS:
+        if child == table:
+            found[f"{column} in {parent}"] = f"{column} IS NOT NULL AND {column} NOT IN (SELECT {parent_key} FROM {parent}_sound)"
+    found |= {f"{c} required": f"{c} IS NULL" for c in schemas.REQUIRED[table]}
+    found |= {f"{c} width": f"length({c}) > {width}" for c, width in schemas.TEXT_WIDTHS[table].items()}
+    if table == "participants":
+        found["out_id form"] = "TRY_CAST(out_id AS UUID) IS NULL AND out_id IS NOT NULL"
+    return found
+
+
+_DELIVERED = ("staging", "subjects", "institutions", "participants", "exam_results")
+
+
+def _judged_parts() -> list[str]:
+    parts = []
+    for t in _DELIVERED:
+        listed_faults = ", ".join(f"CASE WHEN {condition} THEN {text(rule)} END" for rule, condition in _faults(t).items())
+        parts.append(f"{t}_given AS MATERIALIZED ({_delivered(t)})")
+        parts.append(f"{t}_judged AS MATERIALIZED (SELECT *, list_sort(list_filter([{listed_faults}], lambda f: f IS NOT NULL)) AS faults FROM {t}_given)")
+        parts.append(f"{t}_sound AS MATERIALIZED (SELECT * FROM {t}_judged WHERE len(faults) = 0)")
+    return parts
+
+
+def _judged_rules() -> str:
+    return _union([
+        f"SELECT '{t}' AS table_name, {text(rule)} AS rule, count(*) AS rows_checked, "
+        + hits("len(faults) > 0" if rule == "any rule" else f"list_contains(faults, {text(rule)})")
+        + f" AS violations FROM {t}_judged"
+        for t in _DELIVERED
+        for rule in [*_faults(t), "any rule"]
+    ])
+
+
+_SET_ASIDE = _union([
+    f"SELECT '{t}' AS table_name, array_to_string(faults, '; ') AS rules, count(*) AS row_count FROM {t}_judged WHERE len(faults) > 0 GROUP BY 2"
+    for t in _DELIVERED
+])
+
+# Requests whose answer may be ambiguous: every pair of a request and a branch that fits, then the best place.
+
+
+def _stated(kind: str) -> str:
+    """Place a request names: nothing, the first place, another branch's, or one that no branch has."""
+    k = "o_orderkey % 20"
+    first, third, nowhere = ([0, 1, 2, 3, 4, 12, 13, 14, 19], [11, 17], [5, 6, 7, 18]) if kind == "Town" else ([0, 1, 2, 5, 8, 12, 13, 15, 19], [11, 17], [3, 6, 9, 18])
+    within = lambda ks: "(" + ", ".join(map(str, ks)) + ")"
+    return f"CASE WHEN {k} IN {within(first)} THEN '{kind} A' WHEN {k} IN {within(third)} THEN '{kind} B' WHEN {k} IN {within(nowhere)} THEN '{kind} X' ELSE 'null' END"
+
+
+_ASKED = f"""branches AS (
+  SELECT c_custkey + 1 AS id, 'E' || c_custkey AS edebo, 'R' || (c_custkey // 4) AS code, 'School ' || (c_custkey // 4) AS school,
+         'Region ' || (c_custkey // 4 % 5) AS region, 'District ' || ['A', 'A', 'B', NULL][c_custkey % 4 + 1] AS district,
+         'Town ' || ['A', 'A', 'B', NULL][c_custkey % 4 + 1] AS town FROM customer
+),
+asked AS (
+  SELECT CASE o_orderkey % 20 WHEN 0 THEN 'E' || o_custkey WHEN 1 THEN 'E?' ELSE 'null' END AS eo_edeboid,
+         CASE WHEN o_orderkey % 20 BETWEEN 2 AND 11 THEN 'R' || (o_custkey // 4) WHEN o_orderkey % 20 = 12 THEN 'R?' ELSE 'null' END AS eo_edrpou,
+         'School ' || (o_custkey // 4) AS eo_name, 'Region ' || (CASE WHEN o_orderkey % 20 = 19 THEN '?' ELSE (o_custkey // 4 % 5)::VARCHAR END) AS eo_reg_name,
+         {_stated("District")} AS eo_area_name, {_stated("Town")} AS eo_ter_name
+  FROM orders
+),
+asked_once AS (SELECT *, count(*) AS n FROM asked GROUP BY ALL),
+fits AS (
+  SELECT a.*, b.id, CASE
+    WHEN a.eo_edeboid = b.edebo THEN 0
+    WHEN a.eo_edrpou = b.code THEN 1 + 3 * ({_closeness("a.eo_ter_name", "b.town")}) + ({_closeness("a.eo_area_name", "b.district")})
+    WHEN a.eo_area_name <> 'null' AND a.eo_ter_name <> 'null' THEN 10 WHEN a.eo_ter_name <> 'null' THEN 11
+    WHEN a.eo_area_name <> 'null' THEN 12 ELSE 13 END AS tier
+  FROM asked_once a JOIN branches b ON a.eo_edeboid = b.edebo
+    OR (a.eo_edeboid = 'null' AND a.eo_edrpou = b.code AND a.eo_name = b.school)
+    OR (a.eo_edeboid = 'null' AND a.eo_edrpou = 'null' AND a.eo_name = b.school AND a.eo_reg_name = b.region
+        AND list_contains(['null', b.district], a.eo_area_name) AND list_contains(['null', b.town], a.eo_ter_name))
+),
+answers AS (
+  SELECT {", ".join(_REFERENCE)}, tier, count(*) AS candidates, min(id) AS institution_id
+  FROM (FROM fits QUALIFY tier = min(tier) OVER (PARTITION BY {", ".join(_REFERENCE)})) GROUP BY ALL
+)"""
+
 _FINISHED = hits("o_orderstatus = 'F'")
 
 _STAR_COLUMNS = (
@@ -573,6 +705,22 @@ STATEMENTS: dict[str, str] = {
         )
         + f" FROM ({_MACRO})",
     ),
+    "csv_regions_export": _with(*CLEAN, _REGIONS, select=_REGION_TEXT),
+    "csv_raw_to_results": _with(
+        *PROFILES, _DAYS, _REGIONS, _SCHOOLS, _ELECTIVES, _TYPED,
+        select=_union([f"SELECT '{name}' AS result, n AS row_count, e AS empty_fields FROM ({_empty_fields(sql)})" for name, sql in _PUBLISHED.items()]),
+    ),
+    "sql_region_subjects": _with(
+        *PROFILES,
+        select="SELECT e.*, s.* EXCLUDE (region) FROM (SELECT reg_name, subject_code, count(*) AS results, "
+        f"{rounded('avg(CAST(scaled_score AS DOUBLE))', 2)} AS mean_score FROM clean GROUP BY ALL) e "
+        f"JOIN (SELECT reg_name AS region, count(*) AS students, {hits('failed')} AS failed_students, count(elective_subject) AS with_elective "
+        "FROM profiles GROUP BY reg_name) s ON e.reg_name IS NOT DISTINCT FROM s.region",
+    ),
+    "sql_result_sizes": _with(
+        *PROFILES, _DAYS, _REGIONS, _SCHOOLS, _ELECTIVES, _TYPED,
+        select=_union([f"SELECT '{name}' AS result, count(*) AS row_count FROM ({sql})" for name, sql in _PUBLISHED.items()]),
+    ),
     "mart_clean_exam_results": _with(
         *CLEAN,
         select=f"SELECT * REPLACE ({_DAY_TEXT} AS test_date, CAST(raw_score AS DOUBLE) AS raw_score, "
@@ -644,6 +792,15 @@ STATEMENTS: dict[str, str] = {
     "dq_not_null": _with(*STAR, select=_union(_not_null_parts())),
     "dq_domain": _with(*STAR, select=_union(_domain_parts())),
     "dq_unresolved": _with(*INSTITUTIONS, _LOOKUP, select=_RESOLUTION),
+    "dq_quarantine": _with(*STAR, *_judged_parts(), select=_judged_rules()),
+    "dq_quarantined_rows": _with(*STAR, *_judged_parts(), select=_SET_ASIDE),
+    "lookup_ambiguity": _with(
+        _ASKED,
+        select="SELECT coalesce(tier, -1)::BIGINT AS tier, sum(q.n)::BIGINT AS requests, count(*) AS distinct_references, "
+        "count(*) FILTER (WHERE candidates > 1) AS ambiguous_references, coalesce(sum(candidates), 0)::BIGINT AS candidates, "
+        f"coalesce(sum(institution_id), 0)::BIGINT AS sum_of_ids FROM asked_once q LEFT JOIN answers USING ({', '.join(_REFERENCE)}) GROUP BY 1",
+    ),
+    "lookup_resolved": _with(_ASKED, select=f"SELECT {', '.join(_REFERENCE)}, institution_id, tier::BIGINT AS tier FROM answers"),
     "first_per_key_latest_order": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderstatus, "
     "strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders "
     "ORDER BY o_custkey, orders.o_orderdate DESC NULLS LAST, o_orderkey",
@@ -675,6 +832,17 @@ STATEMENTS: dict[str, str] = {
     f"{rounded('avg(mean_value) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 2)} AS smoothed_value, "
     f"{percent('sum(event_count) OVER w', 'sum(event_count) OVER ()', 1)} AS cumulative_share "
     "FROM d WINDOW w AS (ORDER BY day)",
+    "sequence_event_instants": "WITH d AS (SELECT ts, count(*) AS event_count, "
+    f"{rounded('avg(value)', 2)} AS mean_value FROM events GROUP BY ts) "
+    "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS instant, row_number() OVER w AS instant_number, event_count, mean_value, "
+    f"{rounded('mean_value - lag(mean_value) OVER w', 2)} AS delta_value, "
+    f"{rounded('avg(mean_value) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 2)} AS smoothed_value, "
+    f"{percent('sum(event_count) OVER w', 'sum(event_count) OVER ()', 4)} AS cumulative_share "
+    "FROM d WINDOW w AS (ORDER BY ts)",
+    "share_rank_prices": "SELECT o_orderstatus, o_totalprice, count(*) AS order_count, "
+    "dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS rank_within, "
+    f"{percent('count(*)', 'sum(count(*)) OVER (PARTITION BY o_orderstatus)', 4)} AS share_within "
+    "FROM orders GROUP BY o_orderstatus, o_totalprice",
     "location_quotient": "WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS total_orders, "
     "count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS segment_orders, "
     "count(*) FILTER (WHERE o_totalprice >= 400000) AS total_large, "

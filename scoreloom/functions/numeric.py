@@ -16,6 +16,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoreloom.functions import moments
+
 # A mean held per person: wide enough to be exact for every comparison made on it.
 MEAN = "decimal(18,12)"
 COUNT = "decimal(18,0)"
@@ -41,10 +43,29 @@ def safe_div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
+def exact_ratio(part: Column, whole: Column) -> Column:
+    """part / whole of whole numbers from zero up, fit to be rounded half up to as many as eight places.
+
+    Nine places of the quotient are taken by whole division, and a tenth is 1 where anything is left, so a quotient
+    just below a half never becomes one. NULL when whole is zero.
+    """
+
+    def divided(pair: Column) -> Column:
+        left, d = pair["n"], pair["d"]
+        quotient = ((left - left % d) / d).cast("decimal(20,0)")
+        for step in range(1, 4):
+            left = left % d * 1000
+            quotient = quotient + ((left - left % d) / d).cast("decimal(3,0)") * F.lit(Decimal(1).scaleb(-3 * step))
+        rest = F.when(left % d == 0, F.lit(Decimal("0E-10"))).otherwise(F.lit(Decimal("1E-10")))
+        return (quotient + rest).cast("decimal(30,10)")
+
+    pair = F.struct(part.cast("decimal(33,0)").alias("n"), F.nullif(whole.cast("decimal(33,0)"), F.lit(0)).alias("d"))
+    return F.transform(F.array(pair), divided)[0]
+
+
 def pct(part: Column, whole: Column, places: int) -> Column:
     """100 * part / whole of two counts, exactly rounded; NULL when whole is zero."""
-    scaled = F.lit(Decimal("100.0")) * part.cast("decimal(20,0)")
-    return half_up(safe_div(scaled, whole.cast("decimal(20,0)")), places)
+    return half_up(exact_ratio(F.lit(100) * part.cast("decimal(20,0)"), whole), places)
 
 
 def score_mean(col: Column, as_type: str = "decimal(8,2)") -> Column:
@@ -91,20 +112,9 @@ def iqr(quartiles: Column, places: int) -> Column:
 def sample_stddev(value: Column, n: Column, places: int = 2) -> Column:
     """Aggregate over value counts of a decimal with so many places: exact sample standard deviation.
 
-    Integer power sums of the last place, so no order-dependent double accumulation. They are centred on the
-    whole number next to the mean before anything is squared away, which leaves room for 10^15 rows in a group.
-    NULL for fewer than two values.
+    NULL for fewer than two values; an error where a value has more places.
     """
-    units = (value * 10**places).cast("decimal(10,0)")
-    weight = F.when(value.isNotNull(), n).cast("decimal(15,0)")
-    count = F.sum(weight).cast("decimal(16,0)")
-    total = F.sum((units * weight).cast("decimal(25,0)")).cast("decimal(26,0)")
-    squares = F.sum((units * units * weight).cast("decimal(36,0)")).cast("decimal(38,0)")
-    middle = F.round(total / F.nullif(count, F.lit(0))).cast("decimal(10,0)")
-    off = total - middle * count  # at most half the count
-    centred = squares.cast("decimal(38,0)") - (middle * (total + off)).cast("decimal(38,0)")
-    spread = centred.cast("double") - safe_div(off.cast("double") * off.cast("double"), count.cast("double"))
-    return F.sqrt(safe_div(spread, (count - 1).cast("double"))) / 10**places
+    return moments.sample_stddev(value, places, n)
 
 
 def cv(value: Column, n: Column, places: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreloom import fixed_values as fv
-from scoreloom.functions.numeric import safe_div, settled
+from scoreloom.functions.numeric import exact_ratio, settled
 from scoreloom.functions.text import strip_town_prefix
 
 
@@ -68,13 +68,12 @@ def high(score: Column) -> Column:
 
 
 def ratio_of_shares(hits: Column, size: Column, base_hits: Column, base_size: Column) -> Column:
-    """(hits / size) / (base_hits / base_size) as one fraction, so that it is rounded only once.
+    """(hits / size) / (base_hits / base_size) as one fraction, to be rounded once, to as many as eight places.
 
-    Counts of up to sixteen digits leave six decimal places in the quotient.
     NULL where either size or the base hits are zero.
     """
     hits, size, base_hits, base_size = [c.cast("decimal(16,0)") for c in (hits, size, base_hits, base_size)]
-    return safe_div(hits * base_size, base_hits * size)
+    return exact_ratio(hits * base_size, base_hits * size)
 
 
 def location_quotient(part_hits: Column, part_size: Column, all_hits: Column, all_size: Column) -> Column:

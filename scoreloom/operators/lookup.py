@@ -43,10 +43,10 @@ def _exploded(df: DataFrame, keep: list[Column], tiers: list[Tier], side: int) -
     return exploded.filter(F.col("_entry").isNotNull()).select(*kept, "_entry.tier", "_entry.key")
 
 
-def tiered_lookup(
+def candidates(
     references: DataFrame, dimension: DataFrame, by: list[str], tiers: list[Tier], id_col: str
 ) -> DataFrame:
-    """Map each reference tuple that resolves to its id and the tier that found it.
+    """Map each reference tuple that resolves to its id, the tier that found it, and how many rows it could have meant there.
 
     The references must be distinct in the by columns; they may carry further
     columns derived from those for the tiers to use.
@@ -55,15 +55,22 @@ def tiered_lookup(
     index = (
         _exploded(dimension, [F.col(id_col)], tiers, 1)
         .groupBy("tier", "key")
-        .agg(F.min(id_col).alias("_found"))
+        .agg(F.min(id_col).alias("_found"), F.count("*").alias("_rows"))
     )
     return (
         wanted.join(index, ["tier", "key"])
         .groupBy(*by)
-        .agg(F.min_by("_found", "tier").alias(id_col), F.min("tier").alias("tier"))
+        .agg(F.min_by("_found", "tier").alias(id_col), F.min("tier").alias("tier"), F.min_by("_rows", "tier").alias("candidates"))
     )
 
 
+def tiered_lookup(
+    references: DataFrame, dimension: DataFrame, by: list[str], tiers: list[Tier], id_col: str
+) -> DataFrame:
+    """The same without the number of candidates."""
+    return candidates(references, dimension, by, tiers, id_col).drop("candidates")
+
+
 def attach_lookup(df: DataFrame, mapping: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Left join of a tuple mapping back onto rows; NULL parts of the tuple match NULL."""
     renamed = mapping.select(*[F.col(c).alias(f"_ref_{c}") for c in by], *values)

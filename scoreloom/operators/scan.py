@@ -7,7 +7,7 @@ beside it.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,30 +36,32 @@ def in_blocks(df: DataFrame, order: list[Column], split_ties: bool = False) -> D
     return stored.withColumns({"_block": F.shiftright("_id", _ROW_BITS), "_row": row}).drop("_id")
 
 
-def _before(blocks: DataFrame, amount: Column) -> DataFrame:
-    """What all earlier blocks hold of an amount: a row a block, of which there are as many as shuffle partitions."""
-    kind = blocks.agg(amount.alias("a")).schema["a"].dataType
-    held = sorted((r["_block"], r["a"]) for r in blocks.groupBy("_block").agg(amount.alias("a")).collect())
-    sums = list(accumulate((a if a is not None else 0 for _, a in held), initial=0))
-    schema = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_before", kind)])
-    zero = held[0][1] * 0 if held and held[0][1] is not None else 0
-    rows = [(block, zero + sums[k]) for k, (block, _) in enumerate(held)]
+def _before(blocks: DataFrame, amounts: dict[str, Column]) -> DataFrame:
+    """What all earlier blocks hold of each amount: a row a block, of which there are as many as shuffle partitions."""
+    by_block = blocks.groupBy("_block").agg(*[a.alias(name) for name, a in amounts.items()])
+    held = sorted(tuple(r) for r in by_block.collect())
+    rows, so_far = [], [None] * len(amounts)
+    for block, *sums in held:
+        rows.append((block, *so_far))
+        so_far = [b if a is None else a if b is None else a + b for a, b in zip(so_far, sums, strict=True)]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in by_block.schema.fields])
     return F.broadcast(blocks.sparkSession.createDataFrame(rows, schema))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds each row's number, 1 to n; rows that the order does not tell apart are numbered in any sequence."""
+def _placed(df: DataFrame, order: list[Column], name: str, sums: dict[str, str]) -> DataFrame:
     blocks = in_blocks(df, order, split_ties=True)
-    placed = blocks.join(_before(blocks, F.count("*")), "_block")
-    return placed.withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_block", "_row", "_before")
+    amounts = {"_rows": F.count("*")} | {f"_sum_{new}": F.sum(col) for new, col in sums.items()}
+    placed = blocks.join(_before(blocks, amounts), "_block")
+    placed = placed.withColumn(name, F.coalesce("_rows", F.lit(0)) + F.col("_row") + 1)
+    up_to = W.partitionBy("_block").orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
+    running = {new: F.coalesce(F.col(f"_sum_{new}"), F.lit(0)) + F.coalesce(F.sum(col).over(up_to), F.lit(0)) for new, col in sums.items()}
+    return placed.withColumns(running).drop("_row", *amounts) if running else placed.drop("_row", *amounts)
 
 
-def running_sum(df: DataFrame, order: list[Column], col: str, name: str) -> DataFrame:
-    """Adds the sum of `col`, a whole number or decimal, over all rows up to this one; rows of equal order share one sum."""
-    blocks = in_blocks(df, order)
-    inside = F.coalesce(F.sum(col).over(W.partitionBy("_block").orderBy(*order)), F.lit(0))
-    placed = blocks.join(_before(blocks, F.sum(col)), "_block")
-    return placed.withColumn(name, F.col("_before") + inside).drop("_block", "_row", "_before")
+def numbered(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """Adds each row's number, 1 to n, and for each of `sums`, new name to column of whole numbers or decimals, the sum of all
+    rows up to it. Rows that the order does not tell apart follow each other in any sequence."""
+    return _placed(df, order, name, sums or {}).drop("_block")
 
 
 def with_neighbours(df: DataFrame, place: str, before: int, after: int, size: int = CHUNK) -> DataFrame:
@@ -77,16 +79,20 @@ def with_neighbours(df: DataFrame, place: str, before: int, after: int, size: in
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The distinct (keys, value) with their rows `n` and the dense rank of the value in its group, the largest first (NULL before it).
+    """The distinct (keys, value) with their rows `n`, the rows of the group `group_rows` and the dense rank of the value in its group,
+    the largest first and NULL before it.
 
-    Equal values are counted before they are moved, and the distinct ones of one group are spread over blocks by value.
+    Equal values are counted before they are moved, and the distinct ones of a group are spread over blocks by value. What
+    a block has to know of its groups is joined by group and block, so a large group is many keys.
     """
     distinct = written(df.groupBy(*keys, value).agg(F.count("*").alias("n")), "distinct")
-    group = [F.col(k).asc_nulls_first() for k in keys]
-    placed = written(numbered(distinct, [*group, F.col(value).desc_nulls_first()], "_place"), "ranked")
-    first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
-    if not keys:
-        return placed.crossJoin(F.broadcast(first)).select(value, "n", F.col("_place").alias(name))
-    renamed = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return placed.join(renamed, same).select(*keys, value, "n", (F.col("_place") - F.col("_first") + 1).alias(name))
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col(value).desc_nulls_first()]
+    placed = written(_placed(distinct, order, "_place", {}), "ranked")
+    pieces = placed.groupBy(*keys, "_block").agg(F.min("_place").alias("_first"), F.sum("n").alias("group_rows"))
+    groups = pieces.groupBy(*keys).agg(F.min("_first").alias("_first"), F.sum("group_rows").alias("group_rows"))
+    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first", "group_rows")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
+    pieces = pieces.select(*keys, "_block").join(groups, reduce(Column.__and__, same))
+    pieces = pieces.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_piece"), "_first", "group_rows")
+    joined = placed.join(pieces, reduce(Column.__and__, [*same, F.col("_block") == F.col("_piece")]))
+    return joined.select(*keys, value, "n", "group_rows", (F.col("_place") - F.col("_first") + 1).alias(name))

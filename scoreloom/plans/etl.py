@@ -17,8 +17,10 @@ from scoreloom.functions.text import (
 )
 from scoreloom.operators.dedup import first_per_key, surrogate_key
 from scoreloom.operators.lookup import Tier, attach_lookup, tiered_lookup
+from scoreloom.operators.scan import numbered
 from scoreloom.operators.unpivot import unpivot_blocks
 from scoreloom.schemas import SUBJECTS
+from scoreloom.sources.scratch import written
 
 REFERENCE = ["eo_edeboid", "eo_edrpou", "eo_name", "eo_reg_name", "eo_area_name", "eo_ter_name"]
 
@@ -74,7 +76,7 @@ def institutions(staging: DataFrame) -> DataFrame:
     )
 
 
-def _resolution_tiers() -> list[Tier]:
+def resolution_tiers() -> list[Tier]:
     """How a record's institution reference is resolved, best tier first.
 
     With an id only the id counts. With a registry code, code and name must
@@ -135,7 +137,7 @@ def resolve_institutions(staging: DataFrame, dimension: DataFrame) -> DataFrame:
     """Map the distinct institution references of staging to institution ids."""
     references = staging.filter(has_value("eo_name")).select(*REFERENCE).distinct()
     valued = references.withColumns({name: null_sentinel(raw) for name, raw in REFERENCE_VALUES.items()})
-    return tiered_lookup(valued, dimension, REFERENCE, _resolution_tiers(), "institution_id")
+    return tiered_lookup(valued, dimension, REFERENCE, resolution_tiers(), "institution_id")
 
 
 def participants(staging: DataFrame, dimension: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
@@ -172,7 +174,8 @@ def exam_results(staging: DataFrame) -> DataFrame:
     """One row per person and subject with a status or a scaled score.
 
     Results are numbered by the hash order of all their fields, so the ids are the
-    same however the input is partitioned; equal results get neighbouring ids.
+    same however the input is partitioned; equal results get neighbouring ids, and
+    however many there are, they are spread over the blocks of the order.
     """
     keep = [
         canonical_uuid("outid").alias("out_id"),
@@ -194,8 +197,8 @@ def exam_results(staging: DataFrame) -> DataFrame:
         "pt_ter_name",
     )
     fields = [F.coalesce(F.col(c).cast("string"), F.lit(ABSENT_FIELD)) for c in typed.columns]
-    numbered = surrogate_key(typed.withColumn("_key", F.concat_ws("|", *fields)), "_key", "result_id")
-    return numbered.select("result_id", *typed.columns)
+    hashed = written(typed.withColumn("_hash", F.unhex(F.md5(F.concat_ws("|", *fields)))), "results")
+    return numbered(hashed, [F.col("_hash")], "result_id").select("result_id", *typed.columns)
 
 
 def subject_usage(subjects: DataFrame, results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import rules
 from scoreloom.functions.conditional import any_where, max_code_where, max_where, mean_where
 from scoreloom.functions.numeric import MEAN, half_up, score_mean
+from scoreloom.operators.skew import spread_join
 from scoreloom.schemas import ELECTIVE, MANDATORY
 
 CLEAN_COLUMNS = [
@@ -50,7 +51,7 @@ def located_people(participants: DataFrame, institutions: DataFrame) -> DataFram
     )
     region, district, town = F.col("reg_name"), F.col("area_name"), F.col("ter_name")
     return (
-        people.join(schools, F.col("_institution") == F.col("institution_id"), "left")
+        spread_join(people, schools, "_institution", "institution_id", "left")
         .drop("_institution")
         .withColumn("full_institution_location", rules.full_location(region, district, town))
         .withColumn(
@@ -62,8 +63,8 @@ def located_people(participants: DataFrame, institutions: DataFrame) -> DataFram
 
 def clean_exam_results(exam_results: DataFrame, participants: DataFrame, institutions: DataFrame) -> DataFrame:
     """One row per attended exam with its person and institution."""
-    people = located_people(participants, institutions)
-    return attended(exam_results).join(people, "out_id").select(*CLEAN_COLUMNS)
+    people = located_people(participants, institutions).withColumnRenamed("out_id", "_person")
+    return spread_join(attended(exam_results), people, "out_id", "_person").select(*CLEAN_COLUMNS)
 
 
 def student_profiles(exam_results: DataFrame, participants: DataFrame, institutions: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ from scoreloom.functions.numeric import (
     weighted_mean,
 )
 from scoreloom.functions.rules import location_quotient
-from scoreloom.operators import benchmarks, sequence, share
+from scoreloom.operators import benchmarks, scan, sequence, share
 from scoreloom.operators.dedup import first_per_key
 from scoreloom.operators.quantiles import group_quantiles, large_quantiles
 from scoreloom.operators.value_counts import value_counts
+from scoreloom.sources.scratch import written
 
 LARGE_ORDER = 400000
 FOCUS_SEGMENT = "BUILDING"
@@ -50,11 +51,9 @@ def price_quartiles(lineitem: DataFrame) -> DataFrame:
 
 def discounted_price_median(lineitem: DataFrame) -> DataFrame:
     price, key = F.col("l_extendedprice"), ["l_linestatus"]
-    every = large_quantiles(lineitem, key, price, [0.5], "every")
-    discounted = large_quantiles(lineitem.filter(F.col("l_discount") >= 0.05), key, price, [0.5], "discounted")
-    same = every["l_linestatus"].eqNullSafe(discounted["l_linestatus"])
-    return every.join(discounted, same, "left").select(
-        every["l_linestatus"],
+    medians = large_quantiles(lineitem, key, price, [0.5], where={"every": F.lit(True), "discounted": F.col("l_discount") >= 0.05})
+    return medians.select(
+        "l_linestatus",
         pg_round(F.col("every")[0], 2).alias("median_price"),
         pg_round(F.col("discounted")[0], 2).alias("median_discounted_price"),
     )
@@ -114,6 +113,35 @@ def daily_events(events: DataFrame) -> DataFrame:
     )
 
 
+def event_instants(events: DataFrame) -> DataFrame:
+    """The measures of daily_events along every single instant: as many rows as there are, in range blocks."""
+    instants = events.groupBy("ts").agg(F.count("*").alias("event_count"), half_up(score_mean(F.col("value")), 2).alias("mean_value"))
+    placed = scan.numbered(written(instants, "instants"), [F.col("ts").asc_nulls_first()], "instant_number", {"_running": "event_count"})
+    total = events.agg(F.count("*").alias("_total"))
+    near = scan.with_neighbours(placed, "instant_number", before=1, after=1)
+    order = W.partitionBy("_chunk").orderBy("instant_number")
+    measured = near.withColumns({
+        "delta_value": sequence.delta("mean_value", order, 2),
+        "smoothed_value": sequence.smooth("mean_value", order, 2),
+    }).filter("_own")
+    return benchmarks.attach(measured, total).select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("instant"),
+        "instant_number",
+        "event_count",
+        "mean_value",
+        "delta_value",
+        "smoothed_value",
+        pct(F.col("_running"), F.col("_total"), 4).alias("cumulative_share"),
+    )
+
+
+def price_rank_within_status(orders: DataFrame) -> DataFrame:
+    """Every price of a status with its orders, its rank among the status's prices and its share of the status's orders."""
+    ranked = scan.ranked_values(orders, ["o_orderstatus"], "o_totalprice", "rank_within")
+    share_within = pct(F.col("n"), F.col("group_rows"), 4).alias("share_within")
+    return ranked.select("o_orderstatus", "o_totalprice", F.col("n").alias("order_count"), "rank_within", share_within)
+
+
 def large_order_quotient(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Concentration of large orders in one customer segment, per nation.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom import fixed_values as fv
+from scoreloom.functions import moments
 from scoreloom.functions.conditional import count_where, sum_where
 from scoreloom.functions.numeric import exact_avg, half_up, pg_round, safe_div
 
@@ -24,20 +25,16 @@ def _main_session(days: DataFrame) -> DataFrame:
     return days.filter(F.month("test_date") == MAIN_MONTH)
 
 
-def _double(name: str) -> Column:
-    return F.col(name).cast("double")
-
-
 def day_volatility(days: DataFrame) -> DataFrame:
     """One row per year over its main session: day-to-day jumps, score trend, load against score."""
-    jump, score = _double("day_over_day_delta_current_year"), _double("avg_score_current_year")
+    jump, score = F.col("day_over_day_delta_current_year"), F.col("avg_score_current_year")
     return _main_session(days).groupBy(F.year("test_date").cast("long").alias("session_year")).agg(
         F.count("*").alias("sessions"),
-        pg_round(F.stddev_samp(jump), 4).alias("delta_stddev"),
+        pg_round(moments.sample_stddev(jump, 2), 4).alias("delta_stddev"),
         F.min("day_over_day_delta_current_year").alias("delta_min"),
         F.max("day_over_day_delta_current_year").alias("delta_max"),
-        pg_round(F.regr_slope(score, _double("seq_session_number")), 4).alias("score_trend"),
-        pg_round(F.corr(_double("total_participants"), score), 4).alias("load_score_correlation"),
+        pg_round(moments.slope(score, 2, F.col("seq_session_number"), 0), 4).alias("score_trend"),
+        pg_round(moments.corr(F.col("total_participants"), 0, score, 2), 4).alias("load_score_correlation"),
     )
 
 
@@ -91,7 +88,7 @@ def region_summary(regions: DataFrame) -> DataFrame:
         count_where(quotient >= F.lit(CENTRALISED_FROM)).alias("regions_centralised"),
         half_up(exact_avg(F.col("delta_median")), 4).alias("mean_delta_median"),
         half_up(exact_avg(F.col("fail_rate_ratio")), 4).alias("mean_fail_rate_ratio"),
-        pg_round(F.corr(_double("delta_median"), _double("fail_rate_ratio")), 4).alias("gap_ratio_correlation"),
+        pg_round(moments.corr(F.col("delta_median"), 2, F.col("fail_rate_ratio"), 2), 4).alias("gap_ratio_correlation"),
     )
 
 

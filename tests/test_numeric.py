@@ -1,7 +1,10 @@
 """Rounding, means, quantiles and shares."""
 
+import math
+import random
 import statistics
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scoreloom.functions import numeric as nm
+from scoreloom.functions.numeric import exact_ratio, pct
 from scoreloom.operators.value_counts import value_counts
 
 
@@ -90,3 +94,26 @@ def test_mean_of_scores_does_not_overflow_its_sum(spark):
     """A group total beyond thirteen digits, which a sum of decimal(5,2) could not hold."""
     df = spark.range(1).select(F.lit(Decimal("999.99")).cast("decimal(5,2)").alias("x"), F.lit(10**11).alias("n"))
     assert one(df, nm.weighted_mean(F.col("x"), F.col("n")))[0] == Decimal("999.99")
+
+
+def test_ratios_are_rounded_as_fractions(spark):
+    """Half up on the exact quotient, also a hair below or at a half, for counts of up to sixteen digits."""
+    rng = random.Random(6)
+    pairs = [(2512499999 * 4, 10**10), (1, 3), (0, 7), (10**16, 3), (1, 10**16), (5, 0)]
+    for _ in range(400):
+        whole = rng.randrange(1, 10 ** rng.randrange(1, 17))
+        pairs.append((rng.randrange(0, whole + 1), whole))
+    for places in (0, 2, 4, 6):
+        for _ in range(40):
+            whole = 2 * 10**places * rng.randrange(1, 10**8)
+            half = rng.randrange(1, 10**places + 1) * whole // 10**places - whole // (2 * 10**places)
+            pairs += [(half - 1, whole), (half, whole), (half + 1, whole)]
+    df = spark.createDataFrame([(max(a, 0), b) for a, b in pairs], "a long, b long")
+    places = (0, 2, 4, 6)
+    got = df.select("a", "b", *[F.round(exact_ratio(F.col("a"), F.col("b")), p).alias(f"r{p}") for p in places], pct(F.col("a"), F.col("b"), 2).alias("p")).collect()
+    for r in got:
+        for p in places:
+            expected = None if r["b"] == 0 else Fraction(math.floor(Fraction(r["a"], r["b"]) * 10**p + Fraction(1, 2)), 10**p)
+            assert (None if r[f"r{p}"] is None else Fraction(r[f"r{p}"])) == expected
+        if r["b"]:
+            assert Fraction(r["p"]) == Fraction(math.floor(Fraction(100 * r["a"], r["b"]) * 100 + Fraction(1, 2)), 100)

@@ -1,0 +1,85 @@
+"""Loads with faults, lookups with several candidates, results from raw files."""
+
+import pytest
+from scoreloom import __main__ as command
+from scoreloom import catalogue, schemas
+from scoreloom.plans import ambiguity, publish, quarantine
+from scoreloom.plans.warehouse import QualityError, Warehouse
+from scoreloom.sources import adapter, staging_csv
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def load(spark):
+    return catalogue.warehouse(spark, SMALL)
+
+
+@pytest.fixture(scope="module")
+def judged(load):
+    return catalogue._judged(load)
+
+
+def test_every_rule_finds_something(judged):
+    assert [rule for j in judged.values() for rule, n in j.violations.items() if not n] == []
+    assert sum(len(j.violations) for j in judged.values()) == 4 + 3 + 9 + 45
+
+
+def test_no_row_is_lost_and_none_passes_with_a_fault(judged):
+    for name, j in judged.items():
+        assert j.accepted.count() + j.set_aside.count() == j.rows
+        assert j.set_aside.count() == j.quarantined > 0
+        if name in schemas.PRIMARY_KEYS:
+            key = schemas.PRIMARY_KEYS[name]
+            assert j.accepted.where(f"{key} is null").isEmpty()
+            assert j.accepted.groupBy(key).count().where("count > 1").isEmpty()
+    for child, column, parent, key in schemas.FOREIGN_KEYS:
+        parents = judged[parent].accepted.select(key).withColumnRenamed(key, "_key")
+        assert judged[child].accepted.where(f"{column} is not null").join(parents, judged[child].accepted[column] == parents["_key"], "left_anti").isEmpty()
+
+
+def test_a_sound_load_has_no_quarantine(spark, load, tmp_path):
+    sound = quarantine.judge_all({"staging": load["staging"], **load.star}, str(tmp_path))
+    assert sum(j.quarantined for j in sound.values()) == 0
+    assert sound["exam_results"].accepted.count() == load["exam_results"].count()
+
+
+def test_a_row_keeps_all_its_faults(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a"), (1, None), (1, "b"), (2, "x" * 300)], "institution_id long, institution_name string")
+    for column in ("edebo_id", "edrpou", "institution_type", "reg_name", "area_name", "ter_name", "parent_governance"):
+        df = df.withColumn(column, df["institution_name"] if column == "reg_name" else df["institution_name"].substr(0, 0))
+    j = quarantine.judge(df, "institutions", {}, str(tmp_path / "t"))
+    got = sorted((r["institution_id"] or 0, r[quarantine.BROKEN]) for r in j.set_aside.collect())
+    assert got == [(0, ["institution_id required"]), (1, ["institution_id unique"]), (1, ["institution_id unique", "institution_name required"]), (2, ["reg_name width"])]
+    assert j.accepted.isEmpty() and (j.rows, j.quarantined) == (4, 4)
+
+
+def test_all_ways_of_finding_an_institution_are_used(spark):
+    tables = [spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("orders", "customer")]
+    report = {r["tier"]: r for r in ambiguity.resolution_report(*tables).collect()}
+    assert sorted(report) == [ambiguity.UNRESOLVED, *range(14)]
+    assert report[0]["ambiguous_references"] == 0 < report[1]["ambiguous_references"]
+    assert report[13]["candidates"] > 3 * report[13]["distinct_references"]
+    assert report[ambiguity.UNRESOLVED]["candidates"] == 0 < report[ambiguity.UNRESOLVED]["requests"]
+    assert sum(r["requests"] for r in report.values()) == tables[0].count()
+    assert "Join" not in ambiguity.branches(tables[1])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_results_from_raw_files_by_one_command(spark, tmp_path, capsys):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    staging_csv.write_staging(adapter.staging(spark, "/root/testdata/sf0.001"), raw)
+    command.main(raw, out)
+    assert len(capsys.readouterr().out.splitlines()) == len(publish.RESULTS)
+    direct = catalogue.warehouse(spark, "/root/testdata/sf0.001")
+    for name, build in publish.RESULTS.items():
+        expected = build(direct)
+        text = spark.read.schema(", ".join(f"`{c}` string" for c in expected.columns)).option("header", True).csv(f"{out}/{name}")
+        got = sorted(map(tuple, text.collect()), key=str)
+        assert got == sorted((tuple(None if v is None else str(v) for v in r) for r in expected.collect()), key=str)
+
+
+def test_an_unsound_load_is_not_published(spark, staging_of, tmp_path):
+    broken = Warehouse(spark, lambda: staging_of({"outid": "not an id", "eo_name": "A"}), str(tmp_path))
+    with pytest.raises(QualityError):
+        publish.write_results(broken, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
