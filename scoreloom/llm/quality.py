@@ -149,23 +149,26 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: all) and the score of the whole text."""
+    """Columns `keep` (default: all) and the score of the whole text. Only the text goes to the workers, and only the score comes back."""
     keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() != into.lower()]
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(into, T.DoubleType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model(**shared.value)
         measure = _Sizes(m.good, m.bad, m.trained) if m.weights is not None else None
-        for batch in B.blocks(batches, "__text"):
-            data, offsets = B.strings(batch.column("__text"))
-            scores = np.full(batch.num_rows, m.share)
-            lengths = np.diff(offsets)
-            some = np.flatnonzero(lengths > 0)
-            if measure and len(some):
-                sizes = np.array([measure.of(data[offsets[k] : offsets[k + 1]].tobytes()) for k in some])
-                x = (_features(sizes, lengths[some]) - m.centre) / m.scale
-                scores[some] = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores)], [*keep, into])
-
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)
+        for column in columns:
+            scores = np.full(len(column), m.share)
+            done = 0
+            for block in B.blocks(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+                data, offsets = B.strings(block.column("text"))
+                lengths = np.diff(offsets)
+                some = np.flatnonzero(lengths > 0)
+                if measure and len(some):
+                    sizes = np.array([measure.of(data[offsets[k] : offsets[k + 1]].tobytes()) for k in some])
+                    x = (_features(sizes, lengths[some]) - m.centre) / m.scale
+                    scores[done + some] = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30)))
+                done += block.num_rows
+            yield pa.array(scores)
+
+    return docs.select(*[docs[c] for c in keep], scored(docs[text]).alias(into))
