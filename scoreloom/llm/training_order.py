@@ -5,6 +5,7 @@ sequences of `length`, the last one padded. Sequences are numbered 0 .. n - 1 in
 pass counts those of each partition, a second one numbers them from there, so the texts are not shuffled for it. A keyed
 Feistel permutation of the least even number of bits that holds n, walked along its cycle until the value is below n,
 gives every sequence its slot in the training order. Nothing is sorted but each shard: a sequence finds its slot by itself.
+What a task has for a shard travels in compressed pieces to the partition of that shard's number, without a sampling of ranges.
 
 The input has to be a stored table, whose partitions are the same whenever they are read, also after an executor is lost. A
 task whose partition has another number of sequences than it was counted with fails rather than reuse slots.
@@ -21,10 +22,12 @@ Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from scoreloom.llm import blocks as B
 from scoreloom.llm.shared import fresh
 
 PAD, END = 0xFE, 0xFF
+#: Bytes of text cut at once.
+BLOCK = 8 << 20
 ROUNDS = 6
 
 
@@ -85,9 +90,10 @@ def materialise(docs: DataFrame, path: str, length: int, per_shard: int, key: in
     places, n = starts(rows, length)
     kind = docs.schema[id].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By blocks of texts: the block, and of every sequence its text, part, slot, ids before the padding, and record."""
         number, after = places.get(TaskContext.get().partitionId(), (0, 0))
-        for batch in B.blocks(batches, "text", 1 << 20):
+        for batch in B.blocks(batches, "text", BLOCK):
             data, offsets = B.strings(batch.column("text"))
             many = _many(batch, length)
             size = np.diff(offsets) + 1
@@ -99,28 +105,46 @@ def materialise(docs: DataFrame, path: str, length: int, per_shard: int, key: in
             part = np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many)
             slot = permute(number + np.arange(len(record)), n, key)
             number += len(record)
-            used = np.minimum(np.repeat(size, many) - part * length, length)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), many))
-            for start in range(0, len(record), 2048):
-                piece = slice(start, start + 2048)
-                rows_ = record[piece]
-                ends = np.arange(len(rows_) + 1, dtype=np.int32) * length
-                values = pa.Array.from_buffers(pa.binary(), len(rows_), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows_))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(at[piece]), pa.array(part[piece]), pa.array(slot[piece]), pa.array(used[piece]), values], ["id", "part", "slot", "ids", "record"]
-                )
+            yield batch, np.repeat(np.arange(batch.num_rows), many), part, slot, np.minimum(np.repeat(size, many) - part * length, length), record
         if number != after:
             raise ValueError("the partitions of the input changed between two reads; store the table first")
 
-    made = rows.mapInArrow(cut, f"id {kind}, part long, slot long, ids long, record binary")
-    made = made.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, part, slot, used, record in sequences(batches):
+            digest = np.fromiter((crc32(r) for r in record), np.int64, len(record))
+            columns = [batch.column("id").take(pa.array(at)), *map(pa.array, (part, slot, used, digest))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "part", "slot", "ids", "digest"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a block has for a shard, in one piece: the slots' places in the shard, then the records."""
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for _, _, _, slot, _, record in sequences(batches):
+            order = np.argsort(slot, kind="stable")
+            shard, inside = slot[order] // per_shard, (slot[order] % per_shard).astype("<i4")
+            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+            pieces = [compress(inside[a:b].tobytes() + record[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            columns = [pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "many", "piece"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompress = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for shard, many, piece in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = decompress(piece)
+                slot = shard * per_shard + np.frombuffer(raw, "<i4", many).astype(np.int64)
+                ends = 4 * many + np.arange(many + 1, dtype=np.int32) * length
+                records = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, shard, np.int64)), pa.array(slot), records], ["shard", "slot", "record"])
+
     shards = max(1, -(-n // per_shard))
-    # range partitions of whole shards: a shard lies in one partition, in order, and so in one file
-    ordered = made.select("shard", "slot", "record").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
     if n:
+        # a shard is a partition, in order, and so one file
+        pieces = rows.mapInArrow(packed, "shard int, many int, piece binary").repartitionById(shards, "shard")
+        ordered = pieces.mapInArrow(unpacked, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
         ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    index = made.select("id", "part", "slot", "shard", "ids", F.crc32("record").alias("digest"))
-    return index.withColumn("offset", F.col("slot") % per_shard * (length + 1))
+    index = rows.mapInArrow(listed, f"id {kind}, part long, slot long, ids long, digest long")
+    index = index.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
+    return index.select("id", "part", "slot", "shard", "ids", "digest", (F.col("slot") % per_shard * (length + 1)).alias("offset"))
 
 
 def read(spark: SparkSession, path: str, length: int, per_shard: int, start: int = 0, end: int | None = None) -> DataFrame:
