@@ -27,7 +27,7 @@ from scoreloom.plans import (
 from scoreloom.plans.warehouse import Warehouse
 from scoreloom.sources import adapter, deliveries, staging_csv
 from scoreloom.sources.results import write_result
-from scoreloom.sources.tables import load
+from scoreloom.sources.tables import load, version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,10 +37,9 @@ _judgements: dict[str, dict[str, quarantine.Judged]] = {}
 
 def warehouse(spark: SparkSession, directory: str) -> Warehouse:
     """The load of one input directory, shared by all queries of a session; other input files make another load."""
-    files = tuple(tuple(load(spark, directory, name).inputFiles()) for name in adapter.INPUTS)
-    key = (spark.sparkContext.applicationId, directory, files)
+    key = (spark.sparkContext.applicationId, directory, *[version(spark, directory, name) for name in adapter.INPUTS])
     if key not in _warehouses:
-        _warehouses[key] = Warehouse(spark, lambda: adapter.staging(spark, directory))
+        _warehouses[key] = publish.with_results(Warehouse(spark, lambda: adapter.staging(spark, directory)))
     return _warehouses[key]
 
 
@@ -143,17 +142,12 @@ QUERIES: dict[str, Query] = {
     "m5_archetypes": _from_load(lambda w: archetypes.archetype_profiles(_profiles(w))),
     "m5_choices": _from_load(lambda w: archetypes.elective_choices(_profiles(w))),
     # statistics over the module results
-    "s_day_volatility": _from_load(lambda w: second_order.day_volatility(_days(w))),
-    "s_weekly_fail": _from_load(lambda w: second_order.weekly_failures(_days(w))),
-    "s_day_clusters": _from_load(lambda w: second_order.day_clusters(_days(w))),
-    "s_region_summary": _from_load(lambda w: second_order.region_summary(regions.regions(_profiles(w)))),
+    "s_day_volatility": _from_load(lambda w: second_order.day_volatility(w["daily_sessions"])),
+    "s_weekly_fail": _from_load(lambda w: second_order.weekly_failures(w["daily_sessions"])),
+    "s_day_clusters": _from_load(lambda w: second_order.day_clusters(w["daily_sessions"])),
+    "s_region_summary": _from_load(lambda w: second_order.region_summary(w["regions"])),
     "s_ratios": _from_load(
-        lambda w: second_order.headline_ratios(
-            _days(w),
-            electives.elective_strategy(_profiles(w)),
-            archetypes.archetype_profiles(_profiles(w)),
-            archetypes.elective_choices(_profiles(w)),
-        )
+        lambda w: second_order.headline_ratios(w["daily_sessions"], w["elective_strategy"], w["archetype_profiles"], w["elective_choices"])
     ),
     # quality
     "dq_unique": _from_load(lambda w: quality.unique_report(w.star)),

@@ -47,6 +47,13 @@ REGION_SUBJECTS = """
 """
 
 
+def with_results(w: Warehouse) -> Warehouse:
+    """Make every result a table of the load as well: computed and written on first use, read from then on."""
+    for name, build in RESULTS.items():
+        w.add(name, lambda build=build: build(w))
+    return w
+
+
 def with_views(w: Warehouse) -> Warehouse:
     """Check the load, then make its tables, both marts and all results available to SQL."""
     w.publish()

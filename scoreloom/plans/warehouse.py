@@ -70,6 +70,10 @@ class Warehouse:
         self.spark.createDataFrame(rows, "table_name string, path string").coalesce(1).write.parquet(f"{self.path}/{FINISHED}")
         return self.path
 
+    def add(self, name: str, build: Callable[[], DataFrame]) -> None:
+        """A further table, built on first use like those of the load."""
+        self._builders[name] = build
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self._written(name, self._builders[name]())

@@ -14,7 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom import fixed_values as fv
+from scoreloom.operators.scan import numbered
+from scoreloom.operators.skew import heavy_values
 from scoreloom.schemas import ELECTIVE, STAGING_FIELDS, SUBJECTS
+from scoreloom.sources.scratch import written
 from scoreloom.sources.tables import load
 
 INPUTS = ("orders", "customer", "nation", "lineitem")
@@ -33,13 +36,15 @@ def _text(col: Column) -> Column:
     return col.cast("string")
 
 
+_EXAM_ORDER = ("l_linenumber", "cents", "quantity", "l_partkey")
+
+
 def _exams(lineitem: DataFrame) -> DataFrame:
-    """Every line as an exam: its order, subject, record number and texts."""
-    line, cents, quantity = F.col("l_linenumber"), F.col("cents"), F.col("quantity")
+    """Every line as an exam: its order, subject and figures."""
     subject = F.element_at(F.array(*[F.lit(code) for code in ELECTIVE]), (F.col("l_partkey") % len(ELECTIVE) + 1).cast("int"))
     for number, code in LINES.items():
-        subject = F.when(line == number, code).otherwise(subject)
-    exams = lineitem.select(
+        subject = F.when(F.col("l_linenumber") == number, code).otherwise(subject)
+    return lineitem.select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -47,28 +52,55 @@ def _exams(lineitem: DataFrame) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
         F.col("l_quantity").cast("long").alias("quantity"),
     )
-    again = W.partitionBy("l_orderkey", "subject").orderBy("l_linenumber", "cents", "quantity", "l_partkey")
+
+
+def _texts() -> Column:
+    cents, quantity = F.col("cents"), F.col("quantity")
     points = F.lit(10000) + cents % 10001
     comma = F.concat(_text(F.floor(points / 100)), F.lit(","), F.lpad(_text(points % 100), 2, "0"))
     absent = quantity >= 48
-    return exams.select(
-        "l_orderkey",
-        "subject",
-        F.row_number().over(again).alias("record"),
-        F.struct(
-            F.when(absent, ABSENT).when(quantity.isNotNull(), RESULT).otherwise(fv.MISSING).alias("status"),
-            F.when(absent | cents.isNull(), fv.MISSING).when(quantity <= 5, "0,0").otherwise(comma).alias("ball100"),
-            F.when(absent | quantity.isNull(), fv.MISSING).otherwise(_text(quantity)).alias("ball"),
-        ).alias("texts"),
+    return F.struct(
+        F.when(absent, ABSENT).when(quantity.isNotNull(), RESULT).otherwise(fv.MISSING).alias("status"),
+        F.when(absent | cents.isNull(), fv.MISSING).when(quantity <= 5, "0,0").otherwise(comma).alias("ball100"),
+        F.when(absent | quantity.isNull(), fv.MISSING).otherwise(_text(quantity)).alias("ball"),
     )
 
 
-def _records(exams: DataFrame) -> DataFrame:
+def _records(numbered_exams: DataFrame) -> DataFrame:
     """One row per order and record with the texts of each subject; NULL for a subject that it does not have."""
+    exams = numbered_exams.select("l_orderkey", "record", "subject", _texts().alias("texts"))
     texts = [F.max(F.when(F.col("subject") == s.code, F.col("texts"))).alias(s.code) for s in SUBJECTS]
     return exams.groupBy("l_orderkey", "record").agg(*texts)
 
 
+def _records_with_orders(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """The records of every order beside it, and orders without lines.
+
+    Lines are dealt by order once: they are numbered, folded to records and joined where they then lie. An order with more
+    lines than a task's share goes another way: its lines are numbered along a long order in range blocks, its records meet
+    the few such orders by broadcast.
+    """
+    exams = _exams(lineitem)
+    heavy = heavy_values(exams, "l_orderkey")
+    light, few = exams, orders.limit(0)
+    if heavy:
+        light = exams.filter(F.col("l_orderkey").isNull() | ~F.col("l_orderkey").isin(heavy))
+        few, orders = orders.filter(F.col("o_orderkey").isin(heavy)), orders.filter(F.col("o_orderkey").isNull() | ~F.col("o_orderkey").isin(heavy))
+    again = W.partitionBy("l_orderkey", "subject").orderBy(*_EXAM_ORDER)
+    dealt = light.repartition("l_orderkey").withColumn("record", F.row_number().over(again).cast("long"))
+    joined = orders.join(_records(dealt), F.col("o_orderkey") == F.col("l_orderkey"), "full")
+    if not heavy:
+        return joined
+    hot = written(exams.filter(F.col("l_orderkey").isin(heavy)), "hot-lines")
+    group = ["l_orderkey", "subject"]
+    placed = written(numbered(hot, [F.col(c) for c in (*group, *_EXAM_ORDER)], "_place"), "hot-numbered")
+    # a row for each subject of the few orders
+    first = placed.groupBy(F.col("l_orderkey").alias("_order"), F.col("subject").alias("_subject")).agg(F.min("_place").alias("_first"))
+    same = (F.col("l_orderkey") == F.col("_order")) & F.col("subject").eqNullSafe(F.col("_subject"))
+    placed = placed.join(F.broadcast(first), same).withColumn("record", F.col("_place") - F.col("_first") + 1)
+    return joined.unionByName(_records(placed).join(F.broadcast(few), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(*joined.columns))
+
+
 def _block(subject) -> list[Column]:
     """The columns of one subject block."""
     used = F.col(subject.code).isNotNull()
@@ -85,10 +117,9 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
     orders = load(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     customer = load(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = load(spark, directory, "nation").select("n_nationkey", "n_name")
-    records = _records(_exams(load(spark, directory, "lineitem")))
     known = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
     rows = (
-        orders.join(records, orders.o_orderkey == records.l_orderkey, "full")
+        _records_with_orders(load(spark, directory, "lineitem"), orders)
         .join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
         .withColumn("k", F.coalesce("o_orderkey", "l_orderkey"))
         .withColumn("later", (F.coalesce("record", F.lit(1)) - 1) * DAYS_TO_NEXT_RECORD)

@@ -16,6 +16,7 @@ from oracle import statements
 from scoreloom import schemas
 from scoreloom.plans import etl, quality
 from scoreloom.plans.warehouse import TABLES, QualityError, Warehouse, shared_folder
+from scoreloom.sources import adapter
 from scoreloom.sources.results import write_result
 from scoreloom.sources.staging_csv import read_staging, write_staging
 
@@ -334,3 +335,30 @@ def test_result_ids_do_not_depend_on_partitions(staging_of):
     first, second = [sorted(rows, key=lambda r: r.result_id) for rows in found]
     assert first == second
     assert [r.result_id for r in first] == list(range(1, 23))
+
+
+def test_an_order_with_most_lines_is_read_alike(spark, monkeypatch):
+    """The way of heavy orders gives the records of the plain way; ties and unknown orders included."""
+    lines = [(7, k % 9 + 1, k % 50, 100.0 + k % 13, float(k % 50), ) for k in range(3000)] + [(k, 1 + k % 7, k, 50.0, 10.0) for k in range(20, 200)] + [(None, 1, 1, 1.0, 1.0)]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double").repartition(4)
+    orders = spark.createDataFrame([(k, k, "F") for k in range(10, 300)] + [(7, 7, "O")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    found = []
+    assert adapter.heavy_values(lineitem, "l_orderkey") == [7]
+    for heavy in ([7], []):
+        monkeypatch.setattr(adapter, "heavy_values", lambda *_: heavy)
+        found.append(adapter._records_with_orders(lineitem, orders))
+    assert found[0].columns == found[1].columns
+    one, two = [sorted(map(str, df.collect())) for df in found]
+    assert one == two and len(one) > 300
+
+
+def test_lines_are_dealt_once(spark):
+    """Numbering, folding and joining need one shuffle of the lines and one of the orders."""
+    lineitem = spark.createDataFrame([(k, 1, k, 50.0, 10.0) for k in range(50)], "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double")
+    orders = spark.createDataFrame([(k, k, "F") for k in range(50)], "o_orderkey long, o_custkey long, o_orderstatus string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = adapter._records_with_orders(lineitem, orders)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
