@@ -34,6 +34,7 @@ RESAMPLE = {"buckets": 10000, "percent": 5, "least_words": 20, "seed": 42}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    shared.bounded_batches(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
