@@ -320,3 +320,19 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     return named.join(of_node, "node", "left").select(
         "id", "tokens", F.when(F.col("id").isNotNull(), F.coalesce("least_id", "id")).alias("component")
     )
+
+
+def statement(width: int, num: int, den: int) -> str:
+    """Ids, set sizes and components over a table `documents` in SQL: every pair that shares a run, then everything reachable."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    run = f"CASE WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k : k + {width - 1}], ' ') for k in range(1, len(w) - {width} + 2)] END"
+    return f"""WITH RECURSIVE worded AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct({run}) END AS s FROM worded),
+        runs AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS r FROM sets),
+        links AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM runs a JOIN runs b ON a.r = b.r AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+        reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.least AS component_id
+        FROM sets s JOIN (SELECT a, min(b) AS least FROM reached GROUP BY a) c ON c.a = s.doc_id"""

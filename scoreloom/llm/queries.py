@@ -18,6 +18,8 @@ MIX = {"languages": ["en", "de", "fr", "es"], "topics": {"table": " | ", "contac
 
 #: Exact search: results of a query, which rows are queries, factor of the components.
 EXACT = {"k": 5, "every": 50, "scale": 256}
+#: Links: words in a run, least similarity.
+NEAR = {"width": 3, "num": 90, "den": 100}
 #: Training order: ids of a sequence, sequences of a shard, key of the permutation.
 ORDER = {"length": 1024, "per_shard": 1 << 14, "key": 20240817}
 #: Url rules; least lower bound of a host's share of good pages, standard deviations below the mean.
@@ -119,7 +121,7 @@ def op6_context_mixing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, directory: str) -> DataFrame:
-    found = jaccard.linked(table(spark, directory, "documents"), width=3, num=90, den=100)
+    found = jaccard.linked(table(spark, directory, "documents"), **NEAR)
     return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
@@ -177,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 STATEMENTS: dict[str, str] = {
     "op2_exact_top": exact_top.statement(**EXACT),
     "op3_mixing": mixing.statement(**MIX),
+    "op7_jaccard": jaccard.statement(**NEAR),
     "op9_reputation": reputation.statement(**URLS),
     "op12_chat": chat.statement(CHATS),
 }
