@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, directory of the tables) and works on all rows its predecessor kept. The first three return
 the columns of `documents`; the last returns the ids and the text decoded from them, which op1 gives as digests.
+
+Cases. Null and empty texts: scored by the share of good labels, never near duplicates, sampled with the probability of their cell,
+no ids. Very long texts: whole in every stage. Repeated rows and rows that share an id: one document; of those the first by
+text, null first, and then by the other columns stays. Null ids: no group can name them, so all stay, up to the mix, where they draw like the
+empty id. Ties: the least id of a group stays. Columns besides those of `documents`, whatever their names: kept as they
+are, up to the last stage, which gives its own. Empty tables: empty result.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import bpe, jaccard, mixing, quality, shared
 from scoreloom.llm.queries import MIX, quality_model, table, vocabulary
+from scoreloom.operators.dedup import first_per_key
 
 #: Near duplicates: words in a run, least similarity in hundredths.
 WIDTH, SIMILAR = 5, 80
@@ -18,26 +25,43 @@ WIDTH, SIMILAR = 5, 80
 LEAST_SCORE = 0.3
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject."""
     model = quality_model(docs, table(spark, directory, "labels"))
-    return quality.score(docs, model, into="__score").where(F.col("__score") >= LEAST_SCORE).drop("__score")
+    mark = _unused(docs, "score")
+    return quality.score(docs, model, into=mark).where(F.col(mark) >= LEAST_SCORE).drop(mark)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """The document with the least id of each group of near duplicates; documents without words stay."""
+    shared.bounded_batches(spark)
     found = jaccard.linked(docs, WIDTH, SIMILAR, 100)
     gone = found.where("id is not null and component <> id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs_left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    order = [F.col(c).asc_nulls_first() for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]]
+    one = first_per_key(docs_left.join(several, "doc_id", "left_semi"), ["doc_id"], order)
+    return docs_left.join(several, "doc_id", "left_anti").unionByName(one)
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """A sample in which sources, languages and topics have their target shares of tokens."""
-    return mixing.rake(docs, **MIX).where("sampled").select(*docs.columns)
+    names = {c: _unused(docs, c) for c in docs.columns if c.lower() in mixing.ADDED}
+    drawn = mixing.rake(docs.withColumnsRenamed(names), **MIX).where("sampled")
+    return drawn.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Token ids of every whole text, and the text that these give."""
+    shared.bounded_batches(spark)
     content = vocabulary()
     encoded = bpe.encode(docs, content, keep=["doc_id"])
     return bpe.decode(encoded, content).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
