@@ -219,7 +219,8 @@ def compare(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, num:
                 yield pa.RecordBatch.from_arrays([batch.column("filter"), pa.array([_key(t) if len(t) else None for t in found], pa.int64()), tokens], ["filter", "node", "set"])
 
     made = _input(docs, id, text).select("filter", "__text").mapInArrow(sets, "filter long, node long, set array<long>")
-    made = written(made.join(chosen, ["node", "filter"], "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    # dealt by node once, and read from there by both joins
+    made = made.join(chosen, ["node", "filter"], "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
