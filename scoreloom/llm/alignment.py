@@ -43,8 +43,9 @@ PART = 1 << 18
 #: A place no token of either side crosses: before a space between two letters or digits.
 _CUT = re.compile(r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
 #: Texts of characters below this code point, without long runs, have the same ids in both libraries that read A.
-_PLAIN_BELOW = 0x370
-_LONG_RUN = re.compile(r"\S{512}|\s{512}")
+_PLAIN_BELOW, _LONG = 0x370, 512
+_BEYOND = re.compile(f"[^\\x00-{chr(_PLAIN_BELOW - 1)}]")
+_LONG_SPACE = re.compile(rf"\s{{{_LONG}}}")
 #: The pieces into which byte-level BPE files of this kind split a text first (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -79,6 +80,14 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _plain(text: str) -> bool:
+    """Whether the quick library may read a text: no character beyond the agreed ones, no long run."""
+    if not text.isascii() and _BEYOND.search(text):
+        return False
+    words = list(map(len, text.split()))
+    return max(words, default=0) < _LONG and (len(text) - sum(words) < len(words) + _LONG - 2 or not _LONG_SPACE.search(text))
+
+
 class Coder:
     """Both tokenizers, made once for a worker."""
 
@@ -113,7 +122,7 @@ class Coder:
         """Ids of A and of B for a text, which gets a space in front."""
         a, b = [], []
         for part in self.parts(" " + text):
-            plain = self.quick and (part.isascii() or ord(max(part)) < _PLAIN_BELOW) and not _LONG_RUN.search(part)
+            plain = self.quick and _plain(part)
             a.append(np.array(self.quick.encode_ordinary(part) if plain else self.whole.encode(part, add_special_tokens=False).ids, np.int32))
             b.append(np.array(self.pieces.encode(part[1:]), np.int32))
         return np.concatenate(a), np.concatenate(b)

@@ -97,6 +97,12 @@ def test_libraries_agree_where_the_quick_one_serves():
     assert wrong == []
 
 
+def test_texts_that_the_quick_library_reads():
+    plain = ["", " a b", " é\u036f", " " + "x" * 511, " " * 511 + "a", (" " * 300 + "b") * 5]
+    other = [" \u0370", " a漢", " " + "x" * 512, "a" + " " * 512, " a" + "\n\t" * 256 + "b", " é" + "y" * 600]
+    assert [A._plain(t) for t in plain + other] == [True] * len(plain) + [False] * len(other)
+
+
 @pytest.mark.parametrize("part", [1, 7, 100])
 def test_parts_change_no_ids(monkeypatch, part):
     rng = random.Random(part)
