@@ -223,34 +223,75 @@ def _replaced(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: all but the text) and `ids`, an array of token ids. `vocabulary`: content of the tokenizer file."""
-    keep = _replaced(df.select(*(keep if keep is not None else [c for c in df.columns if c != text])), "ids")
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(batches: Batches, v: Vocabulary, keep: list[str]) -> Batches:
+    """Columns `keep` and the ids of column `__text`."""
+    numbers, flat, lengths = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for table in B.gathered(batches, "__text", BLOCK):
+        if len(numbers) > REMEMBERED:
+            numbers, flat, lengths = _Numbers(), flat[:0], lengths[:0]
+        texts, known = [], len(numbers)
+        for value in table.column("__text"):
+            found = [np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)) for part in v.chunks(value.as_py() or "")]
+            texts.append(found[0] if len(found) == 1 else np.concatenate(found))
+        made, counts = v.encode_chunks(list(numbers)[known:])
+        flat, lengths = np.concatenate([flat, made]), np.concatenate([lengths, counts])
+        starts = np.cumsum(lengths) - lengths
+        done = 0
+        for batch in table.drop_columns(["__text"]).to_batches(max_chunksize=1024):
+            mine = texts[done : done + batch.num_rows]
+            done += batch.num_rows
+            every = np.concatenate(mine)
+            ids = B.ragged(flat, starts[every], lengths[every])
+            size = [int(lengths[m].sum()) for m in mine]
+            column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*keep, "ids"])
+
+
+def _decoded(batches: Batches, v: Vocabulary, keep: list[str], ids: str, into: str) -> Batches:
+    """Columns `keep` and the text of the ids."""
+    most = max(v.tokens) + 1
+    text = [(" " + v.tokens[i]).encode() if i in v.tokens else b"" for i in range(most)]
+    length = np.array([len(t) for t in text], np.int64)
+    data, starts = np.frombuffer(b"".join(text), np.uint8), np.cumsum(length) - length
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 512):
+            batch = whole.slice(begin, 512)
+            column = batch.column(ids)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            count = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
+            valid = (flat >= 0) & (flat < most)
+            size = length[np.where(valid, flat, 0)] * valid
+            made = B.ragged(data, starts[np.where(valid, flat, 0)], size)
+            ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(count))]
+            keep_byte = np.ones(len(made), bool)
+            keep_byte[ends[:-1][np.diff(ends) > 0]] = False  # the space before the first token
+            some = np.diff(ends) > 0
+            offsets = np.append(0, np.cumsum(np.diff(ends) - some)).astype(np.int64)
+            decoded = pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(offsets), pa.py_buffer(made[keep_byte].tobytes())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], decoded], [*keep, into])
+
+
+def encode(
+    df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None
+) -> DataFrame:
+    """Columns `keep` (default: all but the text) and `ids`, an array of token ids. `vocabulary`: content of the tokenizer file.
+
+    `decoded`: adds a column of this name with the text of the ids, made by the same worker.
+    """
+    added = ["ids", *([decoded] if decoded else [])]
+    keep = _replaced(df.select(*(keep if keep is not None else [c for c in df.columns if c != text])), *added)
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    if decoded:
+        schema = schema.add(decoded, T.StringType(), False)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, numbers = Vocabulary(shared.value), _Numbers()
-        flat, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for table in B.gathered(batches, "__text", BLOCK):
-            if len(numbers) > REMEMBERED:
-                numbers, flat, lengths = _Numbers(), flat[:0], lengths[:0]
-            texts, known = [], len(numbers)
-            for value in table.column("__text"):
-                found = [np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)) for part in v.chunks(value.as_py() or "")]
-                texts.append(found[0] if len(found) == 1 else np.concatenate(found))
-            made, counts = v.encode_chunks(list(numbers)[known:])
-            flat, lengths = np.concatenate([flat, made]), np.concatenate([lengths, counts])
-            starts = np.cumsum(lengths) - lengths
-            done = 0
-            for batch in table.drop_columns(["__text"]).to_batches(max_chunksize=1024):
-                mine = texts[done : done + batch.num_rows]
-                done += batch.num_rows
-                every = np.concatenate(mine)
-                ids = B.ragged(flat, starts[every], lengths[every])
-                size = [int(lengths[m].sum()) for m in mine]
-                column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*keep, "ids"])
+    def run(batches: Batches) -> Batches:
+        v = Vocabulary(shared.value)
+        made = _encoded(batches, v, keep)
+        return _decoded(made, v, [*keep, "ids"], "ids", decoded) if decoded else made
 
     return df.select(*[df[c] for c in keep], df[text].alias("__text")).mapInArrow(run, schema)
 
@@ -261,27 +302,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decode
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(into, T.StringType(), False)])
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(shared.value)
-        most = max(v.tokens) + 1
-        text = [(" " + v.tokens[i]).encode() if i in v.tokens else b"" for i in range(most)]
-        length = np.array([len(t) for t in text], np.int64)
-        data, starts = np.frombuffer(b"".join(text), np.uint8), np.cumsum(length) - length
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
-                column = batch.column(ids)
-                flat = column.flatten().to_numpy(zero_copy_only=False)
-                count = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-                valid = (flat >= 0) & (flat < most)
-                size = length[np.where(valid, flat, 0)] * valid
-                made = B.ragged(data, starts[np.where(valid, flat, 0)], size)
-                ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(count))]
-                keep_byte = np.ones(len(made), bool)
-                keep_byte[ends[:-1][np.diff(ends) > 0]] = False  # the space before the first token
-                some = np.diff(ends) > 0
-                offsets = np.append(0, np.cumsum(np.diff(ends) - some)).astype(np.int64)
-                decoded = pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(offsets), pa.py_buffer(made[keep_byte].tobytes())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], decoded], [*keep, into])
+    def run(batches: Batches) -> Batches:
+        return _decoded(batches, Vocabulary(shared.value), keep, ids, into)
 
     return df.select(*keep).mapInArrow(run, schema)

@@ -50,9 +50,7 @@ def _hex(col: Column) -> Column:
 
 
 def op1_bpe(spark: SparkSession, directory: str) -> DataFrame:
-    content = vocabulary()
-    encoded = bpe.encode(table(spark, directory, "documents"), content, keep=["doc_id"])
-    return bpe.decode(encoded, content).select(
+    return bpe.encode(table(spark, directory, "documents"), vocabulary(), keep=["doc_id"], decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         _hex(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
