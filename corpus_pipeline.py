@@ -62,9 +62,7 @@ def sample_mix(spark: SparkSession, docs: DataFrame, directory: str) -> DataFram
 def to_ids(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """Token ids of every whole text, and the text that these give."""
     shared.bounded_batches(spark)
-    content = vocabulary()
-    encoded = bpe.encode(docs, content, keep=["doc_id"])
-    return bpe.decode(encoded, content).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return bpe.encode(docs, vocabulary(), keep=["doc_id"], decoded="decoded").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
