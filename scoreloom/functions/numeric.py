@@ -50,17 +50,13 @@ def exact_ratio(part: Column, whole: Column) -> Column:
     just below a half never becomes one. NULL when whole is zero.
     """
 
-    def divided(pair: Column) -> Column:
-        left, d = pair["n"], pair["d"]
-        quotient = ((left - left % d) / d).cast("decimal(20,0)")
-        for step in range(1, 4):
-            left = left % d * 1000
-            quotient = quotient + ((left - left % d) / d).cast("decimal(3,0)") * F.lit(Decimal(1).scaleb(-3 * step))
-        rest = F.when(left % d == 0, F.lit(Decimal("0E-10"))).otherwise(F.lit(Decimal("1E-10")))
-        return (quotient + rest).cast("decimal(30,10)")
-
-    pair = F.struct(part.cast("decimal(33,0)").alias("n"), F.nullif(whole.cast("decimal(33,0)"), F.lit(0)).alias("d"))
-    return F.transform(F.array(pair), divided)[0]
+    left, d = part.cast("decimal(33,0)"), F.nullif(whole.cast("decimal(33,0)"), F.lit(0))
+    quotient = ((left - left % d) / d).cast("decimal(20,0)")
+    for step in range(1, 4):
+        left = left % d * 1000
+        quotient = quotient + ((left - left % d) / d).cast("decimal(3,0)") * F.lit(Decimal(1).scaleb(-3 * step))
+    rest = F.when(left % d == 0, F.lit(Decimal("0E-10"))).otherwise(F.lit(Decimal("1E-10")))
+    return (quotient + rest).cast("decimal(30,10)")
 
 
 def pct(part: Column, whole: Column, places: int) -> Column:
