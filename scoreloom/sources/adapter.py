@@ -118,9 +118,10 @@ def staging(spark: SparkSession, directory: str) -> DataFrame:
     customer = load(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = load(spark, directory, "nation").select("n_nationkey", "n_name")
     known = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+    # customers meet the narrow orders, so that the wide records are not dealt and sorted again
+    placed = orders.join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
     rows = (
-        _records_with_orders(load(spark, directory, "lineitem"), orders)
-        .join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
+        _records_with_orders(load(spark, directory, "lineitem"), placed)
         .withColumn("k", F.coalesce("o_orderkey", "l_orderkey"))
         .withColumn("later", (F.coalesce("record", F.lit(1)) - 1) * DAYS_TO_NEXT_RECORD)
     )
