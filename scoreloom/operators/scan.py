@@ -19,6 +19,8 @@ from scoreloom.sources.scratch import written
 _ROW_BITS = 33  # monotonically_increasing_id: the partition's number, then the row's in it
 #: Rows of a chunk in which frames are computed.
 CHUNK = 1 << 16
+#: First digits of a digest by which rows are dealt; fewer rows than this are never too many for a task.
+DIGITS, LEAST_HEAVY = 3, 1 << 10
 
 
 def in_blocks(df: DataFrame, order: list[Column], split_ties: bool = False) -> DataFrame:
@@ -64,6 +66,31 @@ def numbered(df: DataFrame, order: list[Column], name: str, sums: dict[str, str]
     return _placed(df, order, name, sums or {}).drop("_block")
 
 
+def numbered_by_digest(df: DataFrame, digest: Column, name: str) -> DataFrame:
+    """Adds each row's number, 1 to n, in the order of `digest`, an evenly spread text of hexadecimal digits that is made of the row.
+
+    One pass counts the rows by the digest's first digits; another deals them by these, and a row's number is its place among
+    them after all earlier ones. Rows travel once, without the digest, and are not stored in between. Digits that hold more than a
+    task's share, as equal rows do, go through range blocks. The table is read more than once: it must give the same rows each time.
+    """
+    df, first = df.withColumn("_first", F.substring(digest, 1, DIGITS)), F.col("_first")
+    counts = sorted(tuple(r) for r in df.groupBy("_first").count().collect())  # at most 16 ** DIGITS
+    rows, tasks = sum(n for _, n in counts), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = [d for d, n in counts if n > LEAST_HEAVY and n * tasks > rows]
+    starts, earlier, earlier_heavy = [], 0, 0
+    for d, n in counts:
+        starts.append((d, earlier - earlier_heavy if d in heavy else earlier))
+        earlier, earlier_heavy = earlier + n, earlier_heavy + n * (d in heavy)
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "_first string, _before long"))
+    light = df.filter(~first.isin(heavy)) if heavy else df
+    inside = F.row_number().over(W.partitionBy("_first").orderBy("_digest"))
+    made = light.repartition("_first").withColumn("_digest", digest).withColumn("_place", inside.cast("long"))
+    if heavy:
+        hot = written(df.filter(first.isin(heavy)).withColumn("_digest", digest), "hot-digests")
+        made = made.unionByName(numbered(hot, [F.col("_digest")], "_place"))
+    return made.join(before, "_first").withColumn(name, F.col("_before") + F.col("_place")).drop("_first", "_digest", "_place", "_before")
+
+
 def with_neighbours(df: DataFrame, place: str, before: int, after: int, size: int = CHUNK) -> DataFrame:
     """Cuts numbered rows into chunks that also hold their neighbours; windows over W.partitionBy("_chunk").orderBy(place)
     with a frame of at most so many rows before and after are then right where `_own` holds. Keep only those afterwards."""

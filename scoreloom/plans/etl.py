@@ -17,10 +17,9 @@ from scoreloom.functions.text import (
 )
 from scoreloom.operators.dedup import first_per_key, surrogate_key
 from scoreloom.operators.lookup import Tier, attach_lookup, tiered_lookup
-from scoreloom.operators.scan import numbered
+from scoreloom.operators.scan import numbered_by_digest
 from scoreloom.operators.unpivot import unpivot_blocks
 from scoreloom.schemas import SUBJECTS
-from scoreloom.sources.scratch import written
 
 REFERENCE = ["eo_edeboid", "eo_edrpou", "eo_name", "eo_reg_name", "eo_area_name", "eo_ter_name"]
 
@@ -175,7 +174,7 @@ def exam_results(staging: DataFrame) -> DataFrame:
 
     Results are numbered by the hash order of all their fields, so the ids are the
     same however the input is partitioned; equal results get neighbouring ids, and
-    however many there are, they are spread over the blocks of the order.
+    however many there are, they are spread over tasks. Staging is read twice.
     """
     keep = [
         canonical_uuid("outid").alias("out_id"),
@@ -197,8 +196,7 @@ def exam_results(staging: DataFrame) -> DataFrame:
         "pt_ter_name",
     )
     fields = [F.coalesce(F.col(c).cast("string"), F.lit(ABSENT_FIELD)) for c in typed.columns]
-    hashed = written(typed.withColumn("_hash", F.unhex(F.md5(F.concat_ws("|", *fields)))), "results")
-    return numbered(hashed, [F.col("_hash")], "result_id").select("result_id", *typed.columns)
+    return numbered_by_digest(typed, F.md5(F.concat_ws("|", *fields)), "result_id").select("result_id", *typed.columns)
 
 
 def subject_usage(subjects: DataFrame, results: DataFrame) -> DataFrame:

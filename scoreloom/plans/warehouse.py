@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from scoreloom import schemas
 from scoreloom.plans import etl, marts, quality, sessions
+from scoreloom.sources.scratch import COMPRESSION
 from scoreloom.sources.scratch import folder as shared_folder
 
 TABLES = [
@@ -81,7 +82,7 @@ class Warehouse:
 
     def _written(self, name: str, df: DataFrame) -> DataFrame:
         part = f"{name}-{uuid.uuid4().hex}"  # a retry after a failed write must not meet its leftovers
-        df.write.parquet(f"{self.path}/{part}")
+        df.write.parquet(f"{self.path}/{part}", compression=COMPRESSION)
         self._paths[name] = part
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{part}")
 

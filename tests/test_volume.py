@@ -1,7 +1,12 @@
 """How often rows are moved and written between the steps of a load."""
 
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
+from scoreloom.operators import scan
+from scoreloom.plans import etl
 from scoreloom.sources import adapter
 
 SMALL = "/root/testdata/sf0.01"
@@ -22,3 +27,28 @@ def test_records_are_not_dealt_by_customer(spark, no_broadcast):
     depth = lambda line: len(line) - len(line.lstrip(" :+-"))
     fold = min(depth(line) for line in plan.splitlines() if "SortAggregate" in line)
     assert exchanges and not [line for line in exchanges if "custkey" in line and depth(line) < fold]
+
+
+def test_results_are_dealt_once_and_not_stored_to_be_numbered(spark, staging_of, monkeypatch):
+    stored = []
+    monkeypatch.setattr(scan, "written", lambda df, name: stored.append(name) or df)
+    record = {"ukr_status": "ok", "ukr_ball100": "150"}
+    made = etl.exam_results(staging_of(*[{**record, "outid": f"p{k}"} for k in range(3000)]))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert stored == [] and plan.count("Repartition") == 1
+    assert sorted(r["result_id"] for r in made.collect()) == list(range(1, 3001))
+
+
+def test_numbers_follow_the_digest_where_equal_rows_are_many(spark):
+    """Digits with more than a task's share of rows go another way; numbers are those of one window."""
+    df = spark.range(12_000).select(F.when(F.col("id") < 5000, "same").when(F.col("id") < 8000, "again").otherwise(F.col("id").cast("string")).alias("v"))
+    names = []
+    keep = scan.written
+    try:
+        scan.written = lambda frame, name: names.append(name) or keep(frame, name)
+        got = scan.numbered_by_digest(df, F.md5("v"), "n").orderBy("n").collect()
+    finally:
+        scan.written = keep
+    expected = sorted((hashlib.md5(r["v"].encode()).hexdigest(), r["v"]) for r in df.collect())
+    assert [(r["n"], r["v"]) for r in got] == [(k, v) for k, (_, v) in enumerate(expected, 1)]
+    assert "hot-digests" in names
