@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scoreloom import schemas
 from scoreloom.functions.text import has_value, is_uuid, try_parse_score
+from scoreloom.sources.scratch import COMPRESSION, written
 
 ORDER = ["staging", "subjects", "institutions", "participants", "exam_results"]
 SCORE_FIELDS = [f"{s.prefix}_{part}" for s in schemas.SUBJECTS for part in ("ball100", "ball")]
@@ -39,8 +40,11 @@ class Judged(NamedTuple):
 
 
 def _marked(df: DataFrame, marks: DataFrame, column: str, mark: str) -> DataFrame:
-    """The rows with a flag that says whether their value is among the marked ones; marks are few, values may be hot."""
-    marks = marks.select(F.col(column).alias(f"_{mark}_value"), F.lit(True).alias(mark))
+    """The rows with a flag that says whether their value is among the marked ones; marks are few, values may be hot.
+
+    Marks are stored first. Then their size is known, and where they are few indeed the rows are neither dealt nor sorted to meet them.
+    """
+    marks = written(marks, "marks").select(F.col(column).alias(f"_{mark}_value"), F.lit(True).alias(mark))
     return df.join(marks, F.col(column) == F.col(f"_{mark}_value"), "left").drop(f"_{mark}_value")
 
 
@@ -84,7 +88,7 @@ def judge(df: DataFrame, table: str, accepted: dict[str, DataFrame], path: str)
     seen = Observation(f"{table}-{uuid.uuid4().hex}")
     counts = [F.count_if(F.array_contains(BROKEN, rule.name)).alias(f"r{k}") for k, rule in enumerate(rules)]
     observed = tagged.observe(seen, F.count("*").alias("rows"), F.count_if(~F.col("accepted")).alias("quarantined"), *counts)
-    observed.write.partitionBy("accepted").parquet(path)
+    observed.write.partitionBy("accepted").parquet(path, compression=COMPRESSION)
     got = seen.get
     stored = df.sparkSession.read.schema(tagged.schema).parquet(path)
     return Judged(

@@ -5,8 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom import schemas
 from scoreloom.operators import scan
-from scoreloom.plans import etl
+from scoreloom.plans import etl, quarantine
 from scoreloom.sources import adapter
 
 SMALL = "/root/testdata/sf0.01"
@@ -52,3 +53,24 @@ def test_numbers_follow_the_digest_where_equal_rows_are_many(spark):
     expected = sorted((hashlib.md5(r["v"].encode()).hexdigest(), r["v"]) for r in df.collect())
     assert [(r["n"], r["v"]) for r in got] == [(k, v) for k, (_, v) in enumerate(expected, 1)]
     assert "hot-digests" in names
+
+
+def test_rows_are_not_dealt_to_meet_few_marks(spark, tmp_path, monkeypatch):
+    """A key that repeats and a parent that is missing are known before the rows are read for good."""
+    rows = spark.range(50_000)
+    child = rows.select((F.col("id") - (F.col("id") == 7).cast("long")).alias("result_id"), F.concat(F.lit("p"), (F.col("id") % 900).cast("string")).alias("out_id"))
+    child = child.withColumns({c: F.lit("Ukr" if c == "subject_code" else None).cast("string") for c in schemas.TEXT_WIDTHS["exam_results"]})
+    parents = {
+        "participants": rows.limit(899).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("out_id")),
+        "subjects": schemas.subjects_df(spark),
+    }
+    path = str(tmp_path / "in")
+    child.write.parquet(path)
+    parents["participants"].write.parquet(f"{path}-parents")
+    parents["participants"] = spark.read.parquet(f"{path}-parents")
+    plans = []
+    marked = quarantine._marked
+    monkeypatch.setattr(quarantine, "_marked", lambda *args: plans.append(marked(*args)) or plans[-1])
+    judged = quarantine.judge(spark.read.parquet(path), "exam_results", parents, str(tmp_path / "out"))
+    assert judged.violations["result_id unique"] == 2 and judged.violations["out_id in participants"] == 50_000 // 900
+    assert "Exchange hashpartitioning" not in plans[-1]._jdf.queryExecution().executedPlan().toString()
