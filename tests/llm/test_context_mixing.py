@@ -105,3 +105,47 @@ def test_probabilities_of_all_next_symbols_add_up_to_one():
             total += float(np.prod(np.where(code[3][steps] == 1, one, 1 - one)))
         assert total == pytest.approx(1, abs=1e-5)
         words.symbols[place] = b"th"[place] if place < 2 else context_mixing.CLOSE
+
+
+def test_every_word_and_every_group_counts(rows_of, monkeypatch):
+    """More groups than six, more words than FREQUENT: each group has its sums, each word is in all tables."""
+    groups, merged = [], []
+    word_counts, gathered = context_mixing.word_counts, context_mixing.context_counts
+    monkeypatch.setattr(context_mixing, "word_counts", lambda learn, n: (groups.append(n), word_counts(learn, n))[1])
+    monkeypatch.setattr(context_mixing, "context_counts", lambda *args: merged.append(gathered(*args)) or merged[-1])
+    rows = [(k, text, f"l{k % 9}") for k, text, _ in corpus(180)]
+    scored(rows_of, rows, F.lit(True))
+    assert groups == [9]
+    tables = merged[0][0]
+    counts = [sum(float(half.astype(np.float64).sum()) for half in table) for table in tables]
+    assert counts[0] > 0 and counts[1:] == pytest.approx([counts[0]] * 2, rel=0.001)
+
+
+def test_too_many_groups_are_refused(rows_of, monkeypatch):
+    monkeypatch.setattr(context_mixing, "GROUPS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        scored(rows_of, [(k, "a b", f"l{k}") for k in range(4)], F.lit(True))
+
+
+def test_remembered_words_score_as_if_computed_again(rows_of, monkeypatch):
+    monkeypatch.setattr(context_mixing, "BLOCK", 300)
+    found = []
+    for most in (1 << 20, 50, 0):
+        monkeypatch.setattr(context_mixing, "REMEMBERED", most)
+        code = context_mixing.huffman(np.arange(context_mixing.END + 1))
+        rng = np.random.default_rng(3)
+        tables = [context_mixing._stretched(context_mixing.halves(rng.integers(0, 9, (1 << b, 2)).astype(float)), s) for b, s in zip(context_mixing.BITS, (context_mixing._SEEN, context_mixing._SEEN_FOUR, context_mixing._SEEN), strict=True)]
+        weights, refined = rng.normal(size=(context_mixing.GATES, 3)) * 0.3, rng.uniform(0.1, 0.9, context_mixing.GATES * context_mixing.LEVELS)
+        remembered, logs, computed = context_mixing.Remembered(), [], 0
+        texts = [t for _, t, _ in corpus(60)]
+        common = np.sort(context_mixing.Words(pa.table({"text": texts})).hashes.astype(np.int64))[:70]
+        voices = rng.normal(size=(len(common), 2)).astype(np.float32)
+        for start in range(0, len(texts), 6):
+            words = context_mixing.Words(pa.table({"text": texts[start : start + 6]}))
+            words.spell(common, voices, remembered.keys)
+            got = remembered.score(words, code, tables, weights, refined)
+            computed += len(words.begin)
+            logs += [*got[words.entry], *got[words.last]]
+        found.append((logs, computed))
+    assert found[0][0] == found[1][0] == found[2][0]
+    assert found[0][1] < found[2][1] / 2
