@@ -66,12 +66,13 @@ def numbered(df: DataFrame, order: list[Column], name: str, sums: dict[str, str]
     return _placed(df, order, name, sums or {}).drop("_block")
 
 
-def numbered_by_digest(df: DataFrame, digest: Column, name: str) -> DataFrame:
+def numbered_by_digest(df: DataFrame, digest: Column, name: str, packed: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Adds each row's number, 1 to n, in the order of `digest`, an evenly spread text of hexadecimal digits that is made of the row.
 
     One pass counts the rows by the digest's first digits; another deals them by these, and a row's number is its place among
     them after all earlier ones. Rows travel once, without the digest, and are not stored in between. Digits that hold more than a
     task's share, as equal rows do, go through range blocks. The table is read more than once: it must give the same rows each time.
+    `packed`: for columns that travel in another form, how that is made and undone.
     """
     df, first = df.withColumn("_first", F.substring(digest, 1, DIGITS)), F.col("_first")
     counts = sorted(tuple(r) for r in df.groupBy("_first").count().collect())  # at most 16 ** DIGITS
@@ -84,7 +85,9 @@ def numbered_by_digest(df: DataFrame, digest: Column, name: str) -> DataFrame:
     before = F.broadcast(df.sparkSession.createDataFrame(starts, "_first string, _before long"))
     light = df.filter(~first.isin(heavy)) if heavy else df
     inside = F.row_number().over(W.partitionBy("_first").orderBy("_digest"))
-    made = light.repartition("_first").withColumn("_digest", digest).withColumn("_place", inside.cast("long"))
+    forms = packed or {}
+    dealt = light.withColumns({c: there for c, (there, _) in forms.items()}).repartition("_first").withColumns({c: back for c, (_, back) in forms.items()})
+    made = dealt.withColumn("_digest", digest).withColumn("_place", inside.cast("long"))
     if heavy:
         hot = written(df.filter(first.isin(heavy)).withColumn("_digest", digest), "hot-digests")
         made = made.unionByName(numbered(hot, [F.col("_digest")], "_place"))

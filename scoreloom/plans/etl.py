@@ -12,8 +12,10 @@ from scoreloom.functions.text import (
     has_value,
     is_present,
     null_sentinel,
+    packed_id,
     parse_date,
     parse_score,
+    unpacked_id,
 )
 from scoreloom.operators.dedup import first_per_key, surrogate_key
 from scoreloom.operators.lookup import Tier, attach_lookup, tiered_lookup
@@ -196,7 +198,8 @@ def exam_results(staging: DataFrame) -> DataFrame:
         "pt_ter_name",
     )
     fields = [F.coalesce(F.col(c).cast("string"), F.lit(ABSENT_FIELD)) for c in typed.columns]
-    return numbered_by_digest(typed, F.md5(F.concat_ws("|", *fields)), "result_id").select("result_id", *typed.columns)
+    out_id = F.col("out_id")
+    return numbered_by_digest(typed, F.md5(F.concat_ws("|", *fields)), "result_id", {"out_id": (packed_id(out_id), unpacked_id(out_id))}).select("result_id", *typed.columns)
 
 
 def subject_usage(subjects: DataFrame, results: DataFrame) -> DataFrame:

@@ -9,14 +9,16 @@ their children, so a reference to a quarantined parent is broken too.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom import schemas
-from scoreloom.functions.text import has_value, is_uuid, try_parse_score
+from scoreloom.functions.text import has_value, is_uuid, packed_id, try_parse_score, unpacked_id
 from scoreloom.sources.scratch import COMPRESSION, written
 
 ORDER = ["staging", "subjects", "institutions", "participants", "exam_results"]
@@ -48,14 +50,24 @@ def _marked(df: DataFrame, marks: DataFrame, column: str, mark: str) -> DataFram
     return df.join(marks, F.col(column) == F.col(f"_{mark}_value"), "left").drop(f"_{mark}_value")
 
 
+def _forms(df: DataFrame, column: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """How the values of a key are made shorter to be dealt, and how that is undone."""
+    as_it_is = lambda c: c
+    return (packed_id, unpacked_id) if df.schema[column].dataType == T.StringType() else (as_it_is, as_it_is)
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(key)
+    there, back = _forms(df, key)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(there(F.col(key)).alias("_key")).agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") > 1).select(back(F.col("_key")).alias(key))
 
 
 def missing_parents(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Distinct references that no parent row answers."""
-    wanted = child.filter(F.col(column).isNotNull()).select(column).distinct()
-    return wanted.join(parent.select(F.col(parent_column).alias("_parent")).distinct(), F.col(column) == F.col("_parent"), "left_anti")
+    there, back = _forms(child, column)
+    wanted = child.filter(F.col(column).isNotNull()).select(there(F.col(column)).alias("_wanted")).distinct()
+    parents = parent.select(there(F.col(parent_column)).alias("_parent")).distinct()
+    return wanted.join(parents, F.col("_wanted") == F.col("_parent"), "left_anti").select(back(F.col("_wanted")).alias(column))
 
 
 def rules_of(table: str) -> list[Rule]:

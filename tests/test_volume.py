@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom import schemas
+from scoreloom.functions.text import packed_id, unpacked_id
 from scoreloom.operators import scan
 from scoreloom.plans import etl, quarantine
 from scoreloom.sources import adapter
@@ -74,3 +75,25 @@ def test_rows_are_not_dealt_to_meet_few_marks(spark, tmp_path, monkeypatch):
     judged = quarantine.judge(spark.read.parquet(path), "exam_results", parents, str(tmp_path / "out"))
     assert judged.violations["result_id unique"] == 2 and judged.violations["out_id in participants"] == 50_000 // 900
     assert "Exchange hashpartitioning" not in plans[-1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_identifiers_travel_in_sixteen_bytes_and_come_back(spark):
+    ids = [None, "", "x", "null", "0" * 16, "\x00" * 16, "Ї" * 8, "0123abcd-0000-ffff-8000-00000000000f", "0123ABCD-0000-ffff-8000-00000000000f", "0123abcd0000ffff800000000000000f"]
+    df = spark.createDataFrame([(i,) for i in ids], "v string")
+    got = df.select("v", packed_id(F.col("v")).alias("p")).select("v", "p", unpacked_id(F.col("p")).alias("back")).collect()
+    assert [r["back"] for r in got] == ids
+    assert [len(r["p"]) == 16 for r in got if r["v"] is not None] == [len(i) == 36 and i.islower() for i in ids if i is not None]
+    assert len({bytes(r["p"]) for r in got if r["p"] is not None}) == len(ids) - 1
+
+
+def test_result_ids_with_identifiers_of_any_form(staging_of):
+    record = {"ukr_status": "ok", "ukr_ball100": "150"}
+    ids = [f"{k:08x}-0000-4000-8000-{k:012x}" for k in range(300)] + [f"person {k}" for k in range(300)]
+    staging = staging_of(*[{**record, "outid": i} for i in ids])
+    made = etl.exam_results(staging)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in plan[plan.index("Repartition") :]
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in made.columns[1:]]
+    got = made.withColumn("h", F.md5(F.concat_ws("|", *fields))).orderBy("result_id").collect()
+    assert [r["h"] for r in got] == sorted(r["h"] for r in got) and [r["result_id"] for r in got] == list(range(1, 601))
+    assert sorted(r["out_id"] for r in got) == sorted(ids)
