@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import rules
 from scoreloom.functions.conditional import any_where, max_code_where, max_where, mean_where
 from scoreloom.functions.numeric import MEAN, half_up, score_mean
+from scoreloom.functions.text import packed_id, unpacked_id
 from scoreloom.operators.skew import spread_join
 from scoreloom.schemas import ELECTIVE, MANDATORY
 
@@ -79,7 +80,7 @@ def student_profiles(exam_results: DataFrame, participants: DataFrame, instituti
     is_mandatory = code.isin(*MANDATORY)
     folded = (
         attended(exam_results)
-        .groupBy("out_id")
+        .groupBy(packed_id(F.col("out_id")).alias("_person"))
         .agg(
             max_where(score, code == "Ukr").alias("score_ukr"),
             max_where(score, code == "Math").alias("score_math"),
@@ -97,5 +98,6 @@ def student_profiles(exam_results: DataFrame, participants: DataFrame, instituti
         .withColumn("overall_avg_score", half_up(F.col("_overall_mean"), 2).cast("decimal(5,2)"))
         .withColumn("overall_mean", F.col("_overall_mean").cast(MEAN))
     )
-    people = located_people(participants, institutions)
-    return folded.join(people, "out_id").select(*PROFILE_COLUMNS, "overall_mean", "is_regional_center")
+    people = located_people(participants.withColumn("out_id", packed_id(F.col("out_id"))), institutions)
+    profiles = folded.join(people, F.col("_person") == F.col("out_id")).withColumn("out_id", unpacked_id(F.col("out_id")))
+    return profiles.select(*PROFILE_COLUMNS, "overall_mean", "is_regional_center")

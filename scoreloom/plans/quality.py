@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom import schemas
-from scoreloom.functions.text import has_value, is_uuid, try_parse_score
+from scoreloom.functions.text import has_value, is_uuid, packed_id, try_parse_score
 from scoreloom.operators.lookup import attach_lookup
 from scoreloom.plans.etl import REFERENCE, TIERS_BY_CODE, TIERS_BY_ID, resolve_institutions
 
@@ -84,11 +85,16 @@ def _stacked(reports: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+def _short(df: DataFrame, key: str) -> Column:
+    """A key in the form in which it is dealt: texts as packed identifiers, which are equal only for equal texts."""
+    return packed_id(F.col(key)) if df.schema[key].dataType == T.StringType() else F.col(key)
+
+
 def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Per primary key: distinct keys and how many of them repeat."""
     return _stacked([
         tables[name]
-        .groupBy(key)
+        .groupBy(_short(tables[name], key).alias("_key"))
         .agg(F.count("*").alias("occurrences"))
         .agg(F.count("*").alias("keys_checked"), F.count_if(F.col("occurrences") > 1).alias("violations"))
         .select(F.lit(name).alias("table_name"), F.lit(key).alias("rule"), "keys_checked", "violations")
@@ -100,8 +106,8 @@ def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Child rows without a parent, per foreign key. Rows are counted per key before the join."""
     reports = []
     for child, column, parent, parent_column in schemas.FOREIGN_KEYS:
-        per_key = tables[child].groupBy(column).agg(F.count("*").alias("_rows"))
-        orphans = foreign_key(per_key, column, tables[parent], parent_column)
+        per_key = tables[child].groupBy(_short(tables[child], column).alias("_key")).agg(F.count("*").alias("_rows"))
+        orphans = foreign_key(per_key, "_key", tables[parent].select(_short(tables[parent], parent_column).alias("_id")), "_id")
         reports.append(
             orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations")).select(
                 F.lit(child).alias("table_name"), F.lit(f"{column} in {parent}").alias("rule"), "violations"

@@ -10,6 +10,7 @@ from scoreloom import fixed_values as fv
 from scoreloom.functions import rules
 from scoreloom.functions.conditional import any_where, count_where, mean_where
 from scoreloom.functions.numeric import MEAN, half_up, pct, percentile_cont, pg_round, weighted_mean
+from scoreloom.functions.text import packed_id, unpacked_id
 from scoreloom.operators import sequence
 from scoreloom.operators.value_counts import value_counts
 from scoreloom.plans.marts import attended
@@ -21,13 +22,14 @@ def person_days(exam_results: DataFrame, participants: DataFrame) -> DataFrame:
     is_mandatory = F.col("subject_code").isin(*MANDATORY)
     days = (
         attended(exam_results)
-        .groupBy("out_id", "test_date")
+        .groupBy(packed_id(F.col("out_id")).alias("_person"), "test_date")
         .agg(
             mean_where(F.col("scaled_score"), is_mandatory).cast(MEAN).alias("rating"),
             any_where(rules.failed(F.col("scaled_score")) & is_mandatory).alias("failed_mandatory"),
         )
     )
-    return days.join(participants.select("out_id", "participant_status"), "out_id")
+    people = participants.select(packed_id(F.col("out_id")).alias("_person"), "participant_status")
+    return days.join(people, "_person").select(unpacked_id(F.col("_person")).alias("out_id"), "test_date", "rating", "failed_mandatory", "participant_status")
 
 
 def daily_sessions(exam_results: DataFrame, participants: DataFrame) -> DataFrame:

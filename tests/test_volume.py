@@ -5,10 +5,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom import schemas
+from scoreloom import catalogue, schemas
 from scoreloom.functions.text import packed_id, unpacked_id
 from scoreloom.operators import scan
-from scoreloom.plans import etl, quarantine
+from scoreloom.plans import etl, marts, quality, quarantine, sessions
 from scoreloom.sources import adapter
 
 SMALL = "/root/testdata/sf0.01"
@@ -97,3 +97,12 @@ def test_result_ids_with_identifiers_of_any_form(staging_of):
     got = made.withColumn("h", F.md5(F.concat_ws("|", *fields))).orderBy("result_id").collect()
     assert [r["h"] for r in got] == sorted(r["h"] for r in got) and [r["result_id"] for r in got] == list(range(1, 601))
     assert sorted(r["out_id"] for r in got) == sorted(ids)
+
+
+def test_people_are_grouped_by_sixteen_bytes(spark, no_broadcast):
+    """Profiles, days of people and checks deal exams by the short form of an identifier, not by its text."""
+    load = catalogue.warehouse(spark, SMALL)
+    exams, people = load["exam_results"], load["participants"]
+    for made in (marts.student_profiles(exams, people, load["institutions"]), sessions.person_days(exams, people), quality.unique_report(load.star), quality.foreign_key_report(load.star)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_" in plan and "unhex(" in plan
