@@ -43,13 +43,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:
     """The document with the least id of each group of near duplicates; documents without words stay."""
     shared.bounded_batches(spark)
-    found = jaccard.linked(docs, WIDTH, SIMILAR, 100)
-    gone = found.where("id is not null and component <> id").select(F.col("id").alias("doc_id"))
-    docs_left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = jaccard.linked(docs, WIDTH, SIMILAR, 100).where("id is not null").groupBy(F.col("id").alias("doc_id"))
+    # ids that can't stay as they are: few, so that most texts need not be moved, and none twice
+    judged = found.agg(F.max(F.col("component") != F.col("id")).alias("gone"), F.count("*").alias("rows")).where("gone or rows > 1")
+    judged = shared.written(judged, "judged")
+    named = docs.where("doc_id is not null")
+    once = named.join(judged.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     order = [F.col(c).asc_nulls_first() for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]]
-    one = first_per_key(docs_left.join(several, "doc_id", "left_semi"), ["doc_id"], order)
-    return docs_left.join(several, "doc_id", "left_anti").unionByName(one)
+    one = first_per_key(named.join(judged.where("not gone").select("doc_id"), "doc_id", "left_semi"), ["doc_id"], order)
+    return docs.where("doc_id is null").unionByName(once).unionByName(one)
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, directory: str) -> DataFrame:

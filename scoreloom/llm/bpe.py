@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from scoreloom.llm import blocks as B
 
 #: Bytes of text whose runs are encoded together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Runs that a task remembers; it starts anew beyond.
 REMEMBERED = 200_000
 

@@ -1,6 +1,7 @@
 """Every stage with nulls, empty and long texts, repeated rows, clashing columns."""
 
 import random
+import re
 
 import corpus_pipeline as P
 import pytest
@@ -59,3 +60,19 @@ def test_run_on_odd_rows(spark, tables):
     folder = tables[0]
     got = [r["doc_id"] for r in P.run(spark, folder).collect() if r["doc_id"] is not None]
     assert len(got) == len(set(got)) > 50
+
+
+def test_near_duplicates_move_texts_once(spark, tables):
+    """Both what stays as it is and ids of several rows are read from one exchange."""
+    folder = tables[0]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        one = P.keep_one_of_near(spark, docs, folder)
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        plan = one.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert re.search(r"ReusedExchange \[[^\]]*text#", plan)
