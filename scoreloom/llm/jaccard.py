@@ -43,13 +43,13 @@ BLOCK, COUNTED = 1 << 18, 1 << 21
 SEEN, FREQUENT, FREQUENT_MOST = 2, 12, 1 << 19
 #: A signature of so many nodes gives all their pairs.
 SMALL = 24
-#: Bits of the filter that leaves out sets which no pair needs.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that leaves out texts which no pair needs: so many for each text that one needs, and at most.
+BITS_EACH, FILTER_BITS = 64, 1 << 27
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+def _sets(batch: pa.RecordBatch, width: int, text: str = "__text") -> list[np.ndarray]:
     """The distinct tokens of every text, ascending."""
-    data, offsets = B.strings(batch.column("__text"))
+    data, offsets = B.strings(batch.column(text))
     starts, ends, of_text = B.word_spans(data, offsets)
     tokens, at = B.shingle_hashes(B.word_hashes(data, starts, ends), of_text, width)
     return [np.unique(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -202,40 +202,43 @@ def compare(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, num:
     """Those of the (l, r) pairs that link."""
     needed = pairs.select(F.explode(F.array("l", "r")).alias("node")).distinct()
     chosen = written(rows.join(needed, "node").groupBy("node").agg(F.min("filter").alias("filter")), "needed")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    slot = f"pmod(filter, {FILTER_BITS})"
+    size = min(FILTER_BITS, max(1 << 16, 1 << (BITS_EACH * chosen.count()).bit_length()))
+    bits = np.zeros(size // 8, np.uint8)
+    slot = f"pmod(filter, {size})"
     words = chosen.selectExpr(f"cast({slot} div 8 as int) as byte", f"shiftleft(1, cast({slot} % 8 as int)) as bit")
-    for found in words.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 8 rows
+    for found in words.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most size / 8 rows
         bits[found["byte"]] = found["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.blocks(batches, "__text", BLOCK):
-            place = batch.column("filter").to_numpy() % FILTER_BITS
+            place = batch.column("filter").to_numpy() % size
             batch = batch.filter(pa.array((shared.value[place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1))
             if batch.num_rows:
-                found = _sets(batch, width)
-                tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), _long(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([batch.column("filter"), pa.array([_key(t) if len(t) else None for t in found], pa.int64()), tokens], ["filter", "node", "set"])
+                keys = pa.array([_key(t) if len(t) else None for t in _sets(batch, width)], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, batch.column("__text")], ["node", "text"])
 
-    made = _input(docs, id, text).select("filter", "__text").mapInArrow(sets, "filter long, node long, set array<long>")
-    # dealt by node once, and read from there by both joins
-    made = made.join(chosen, ["node", "filter"], "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    made = _input(docs, id, text).select("filter", "__text").mapInArrow(texts, "node long, text string")
+    # a text is about half as long as its hashes; dealt by node once, and read from there by both joins
+    made = made.groupBy("node").agg(F.first("text").alias("text"))  # the few that pass the filter by chance meet no pair
+
+    def sets(part: pa.RecordBatch, side: str) -> list[np.ndarray]:
+        _, first, again = np.unique(part.column(side).to_numpy(), return_index=True, return_inverse=True)
+        found = _sets(part.take(pa.array(first)), width, f"{side}_text")
+        return [found[k] for k in again]
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left, right = batch.column("l_set"), batch.column("r_set")
-            for k in range(batch.num_rows):
-                a, b = left[k].values.to_numpy(), right[k].values.to_numpy()
+        for part in B.blocks(B.blocks(batches, "l_text", BLOCK), "r_text", BLOCK):
+            keep = np.zeros(part.num_rows, bool)
+            for k, (a, b) in enumerate(zip(sets(part, "l"), sets(part, "r"), strict=True)):
                 both = np.sort(np.concatenate([a, b]))
                 shared = int((both[1:] == both[:-1]).sum())
                 keep[k] = den * shared >= num * (len(a) + len(b) - shared)
-            yield batch.select(["l", "r"]).filter(pa.array(keep))
+            yield part.select(["l", "r"]).filter(pa.array(keep))
 
-    with_left = pairs.select("l", "r").join(made.select(F.col("node").alias("l"), F.col("set").alias("l_set")), "l")
-    with_both = with_left.join(made.select(F.col("node").alias("r"), F.col("set").alias("r_set")), "r")
-    return with_both.select("l", "r", "l_set", "r_set").mapInArrow(overlap, "l long, r long")
+    with_left = pairs.select("l", "r").join(made.select(F.col("node").alias("l"), F.col("text").alias("l_text")), "l")
+    with_both = with_left.join(made.select(F.col("node").alias("r"), F.col("text").alias("r_text")), "r")
+    return with_both.select("l", "r", "l_text", "r_text").mapInArrow(overlap, "l long, r long")
 
 
 def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,9 +252,11 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     common = counted.orderBy(F.desc("times"), "repeated").limit(FREQUENT_MOST).select("repeated").toPandas()["repeated"]
     made = written(signatures(docs, np.sort(common.to_numpy(np.int64).astype(U)), *args), "signatures")
 
-    groups = made.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("low <> high")
+    # most signatures are of one node: dealt once, they need no tally of their own to be told apart
+    of_sig = W.partitionBy("sig")
+    around = {"low": F.min("node").over(of_sig), "high": F.max("node").over(of_sig), "many": F.count("*").over(of_sig)}
     # rows that several tasks gave count more than once in `many`; that only sends a signature the other way
-    shared = made.select("sig", "pos", "node", "tokens").join(groups.select("sig", "many"), "sig")
+    shared = made.selectExpr("sig", "node", "tokens", "least(pos, 0) as pos").withColumns(around).where("low <> high")
     shared = written(shared.groupBy("sig", "node").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"), F.first("many").alias("many")), "shared")
     about = made.where("end is not null").select("node", "rare", "end")
     about = written(about.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "about")
@@ -259,7 +264,8 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     small = shared.where(F.col("many") <= SMALL)
     side = lambda df, p, *more: df.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "pos", *more)])
     need = _sized(num, den)
-    counted = [F.sum((F.col("l_pos") >= 0).cast("int")).alias("met"), F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("l_tokens", "r_tokens")]]
+    # of either side, so that both are dealt alike and only once
+    counted = [F.sum((F.least("l_pos", "r_pos") >= 0).cast("int")).alias("met"), F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("l_tokens", "r_tokens")]]
     pairs = side(small, "l", "tokens").join(side(small, "r", "tokens"), "sig").where(f"l_node < r_node and {need} <= least(l_tokens, r_tokens)")
     pairs = pairs.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(*counted)
     tally = {}

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +115,16 @@ def test_components_of_long_paths(rows_of):
     got = dict(components(rows_of(links, "a long, b long")).collect())
     expected = {k: 1 for k in range(2, 61)} | {95: 90, 100: 90} | {k: 200 for k in range(201, 260)}
     assert {k: v for k, v in got.items() if k != v} == expected
+
+
+def test_shuffle_files_go_with_the_table_that_they_were_for(spark, rows_of):
+    """Otherwise those of all steps add up until the driver collects its garbage."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+", disk.getAllFiles().mkString(" ")))
+    before = held()
+    jaccard.written(rows_of([(k, k % 7) for k in range(500)], "a long, b long").groupBy("b").count(), "counted").collect()
+    for _ in range(40):
+        if not held() - before:
+            break
+        time.sleep(0.25)
+    assert not held() - before
