@@ -14,8 +14,9 @@ that blocks of texts repeat, counted over all blocks; the most common FREQUENT_M
 
 Signatures that up to SMALL nodes share give all their pairs. Those of more nodes give first a star around the node with
 the fewest rare tokens (the most tokens of these), later the pairs that lie in different components by then. Pairs go through exact bounds: sizes;
-rare tokens of the prefix that ends first and are not in the other; rare tokens that cannot be shared. What remains
-is compared set by set.
+rare tokens of the prefix that ends first and are not in the other; rare tokens that cannot be shared; for the later pairs also
+the bits in which the sets' sketches differ, which are at most the tokens that only one of the sets has. What remains is
+compared set by set.
 
 Cases. Null and empty texts, texts without words: no tokens, component of their own, linked with nothing. Null ids: null
 component. Repeated rows: each gets its row; rows of one id and different texts link what each of them links.
@@ -43,6 +44,8 @@ BLOCK, COUNTED = 1 << 18, 1 << 21
 SEEN, FREQUENT, FREQUENT_MOST = 2, 12, 1 << 19
 #: A signature of so many nodes gives all their pairs.
 SMALL = 24
+#: Longs of a sketch; its bits say whether an even or an odd number of the set's tokens falls on each.
+SKETCH = 8
 #: Bits of the filter that leaves out texts which no pair needs: so many for each text that one needs, and at most.
 BITS_EACH, FILTER_BITS = 64, 1 << 27
 
@@ -60,6 +63,11 @@ def _key(tokens: np.ndarray) -> int:
     return int(B.mix(np.array([B.mix(tokens).sum(dtype=U) + U(len(tokens))], U))[0].astype(np.int64))
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _long(values) -> pa.Array:
     return pa.array(np.asarray(values, U).astype(np.int64))
 
@@ -152,7 +160,7 @@ def _signatures(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int, id: str, text: str) -> DataFrame:
-    """(sig, pos, node, tokens) rows; a task gives those of a node once, the first of them with rare and end.
+    """(sig, pos, node, tokens) rows; a task gives those of a node once, the first of them with rare, end and sketch.
 
     `end` is the last rare token that the prefix reaches, in the order of tokens; the greatest long if it reaches all.
     """
@@ -161,7 +169,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, done = shared.value, set()
         for batch in B.blocks(batches, "__text", BLOCK):
-            sig, pos, node, size, rares, ends, count = [], [], [], [], [], [], []
+            sig, pos, node, size, rares, ends, sketches, count = [], [], [], [], [], [], [], []
             for tokens in _sets(batch, width):
                 if not len(tokens) or (key := _key(tokens)) in done:
                     continue
@@ -177,6 +185,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                 size.append(len(tokens))
                 rares.append(rare)
                 ends.append(end)
+                sketches.append(_sketch(tokens))
             if count:
                 first = np.cumsum(count) - count
 
@@ -188,9 +197,13 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
 
                 columns = [_long(np.concatenate(sig)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.repeat(np.array(node, np.int64), count))]
                 columns += [pa.array(np.repeat(np.array(size, np.int32), count)), once(rares, np.int32), once(ends, np.int64)]
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "pos", "node", "tokens", "rare", "end"])
+                of_first = np.zeros(sum(count) + 1, np.int32)
+                of_first[first + 1] = SKETCH
+                mask = pa.array(of_first[1:] == 0)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(of_first, dtype=np.int32)), pa.array(np.concatenate(sketches)), mask=mask))
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "pos", "node", "tokens", "rare", "end", "sketch"])
 
-    return _input(docs, id, text).mapInArrow(run, "sig long, pos int, node long, tokens int, rare int, end long")
+    return _input(docs, id, text).mapInArrow(run, "sig long, pos int, node long, tokens int, rare int, end long, sketch array<long>")
 
 
 def _sized(num: int, den: int) -> str:
@@ -258,7 +271,7 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     # rows that several tasks gave count more than once in `many`; that only sends a signature the other way
     shared = made.selectExpr("sig", "node", "tokens", "least(pos, 0) as pos").withColumns(around).where("low <> high")
     shared = written(shared.groupBy("sig", "node").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"), F.first("many").alias("many")), "shared")
-    about = made.where("end is not null").select("node", "rare", "end")
+    about = made.where("end is not null").select("node", "rare", "end", "sketch")
     about = written(about.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "about")
 
     small = shared.where(F.col("many") <= SMALL)
@@ -271,7 +284,7 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     tally = {}
     for name, where in (("large", F.col("many") > SMALL), ("small", F.col("many") <= SMALL)):
         tally |= {f"all_{name}": where, f"in_{name}": where & (F.col("pos") >= 0)}
-    known = written(about.join(shared.groupBy("node").agg(*[F.count_if(where).alias(name) for name, where in tally.items()]), "node"), "known")
+    known = written(about.drop("sketch").join(shared.groupBy("node").agg(*[F.count_if(where).alias(name) for name, where in tally.items()]), "node"), "known")
     of = lambda p: known.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("rare", "end", *tally)])
 
     few_rare = f"{need} <= least(l_tokens - l_rare, r_tokens - r_rare)"  # enough tokens besides the rare ones
@@ -308,8 +321,10 @@ def linked(docs: DataFrame, width: int, num: int, den: int, id: str = "doc_id",
     placed = hot.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     placed = placed.join(open_, "sig")
-    columns = ("tokens", "rare", "component")
+    columns = ("tokens", "rare", "component", "sketch")
+    differ = " + ".join(f"bit_count(l_sketch[{k}] ^ r_sketch[{k}])" for k in range(SKETCH))
     rest = side(placed, "l", *columns).join(side(placed, "r", *columns), "sig").where("l_node < r_node and l_component <> r_component").where(fits)
+    rest = rest.where(f"l_tokens + r_tokens - ({differ}) >= 2 * {need}")
     rest = rest.groupBy(F.col("l_node").alias("l"), F.col("r_node").alias("r")).agg(*counted)
     rest = written(possible(rest, "small", few_rare).join(first, ["l", "r"], "left_anti"), "pairs")
     if rest.limit(1).count():

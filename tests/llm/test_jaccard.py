@@ -109,6 +109,32 @@ def test_similar_sets_share_a_signature():
             assert made[0] & made[1]
 
 
+def test_sketches_differ_by_no_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    for most in (40, 400, 4000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, most).astype(np.uint64)) for _ in range(2))
+        for kept in (0, len(b) // 2, len(b) - 3):
+            other = np.union1d(a[:kept], b[kept:])
+            bits = np.unpackbits((jaccard._sketch(a) ^ jaccard._sketch(other)).view(np.uint8)).sum()
+            assert bits <= len(np.setxor1d(a, other))
+    assert not (jaccard._sketch(a) ^ jaccard._sketch(a.copy())).any()
+
+
+def test_large_group_of_texts_that_are_nearly_similar(rows_of, monkeypatch):
+    """They share most signatures and lie in components of their own; few of their pairs may go on to be compared."""
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    compared, compare = [], jaccard.compare
+    monkeypatch.setattr(jaccard, "compare", lambda pairs, *rest: compared.append(pairs.count()) or compare(pairs, *rest))
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.sample([f"w{j}" for j in range(165)], 140))) for k in range(80)]
+    rows += [(100 + k, rows[k][1].rsplit(" ", 3)[0]) for k in range(0, 80, 8)]
+    got = run(rows_of, rows, 1, 80, 100)
+    assert got == brute(rows, 1, 80, 100)
+    assert len({component for _, _, component in got}) > 40
+    assert sum(compared[1:]) < 600
+
+
 def test_components_of_long_paths(rows_of):
     links = [(k, k + 1) for k in range(1, 60)] + [(100, 90), (90, 95), (7, 7)] + [(200, k) for k in range(201, 260)]
     random.Random(1).shuffle(links)
