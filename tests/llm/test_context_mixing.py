@@ -149,3 +149,34 @@ def test_remembered_words_score_as_if_computed_again(rows_of, monkeypatch):
         found.append((logs, computed))
     assert found[0][0] == found[1][0] == found[2][0]
     assert found[0][1] < found[2][1] / 2
+
+
+def test_what_words_begin_with_alike_is_computed_once(monkeypatch):
+    """Few decisions are left, with the same counts in all tables; entries get what their symbols get one by one."""
+    rng = random.Random(4)
+    stems = ["".join(rng.choice("abc") for _ in range(n)) for n in (2, 9, 30, 300)]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", "a", "b", "ing", "ç"]) for _ in range(40)) for _ in range(30)] + ["", "z" * 700 + "y"]
+    words = context_mixing.Words(pa.table({"text": texts}))
+    common = np.sort(words.hashes.astype(np.int64))
+    words.spell(common, np.random.default_rng(2).normal(size=(len(common), 2)).astype(np.float32))
+    code = context_mixing.huffman(np.append(words.byte_counts(), [len(words.word), len(texts)]))
+    only, which = words.shared()
+    lengths = np.diff(np.append(words.begin, len(words.symbols)))
+    spelled = [(g, *words.symbols[b : b + n]) for g, b, n in zip(words.group, words.begin, lengths, strict=True)]
+    beginnings = [entry[: k + 2] for entry in spelled for k in range(len(entry) - 1)]
+    assert all(beginnings[only[e]] == beginnings[k] for k, e in enumerate(which))
+    assert len({b for b in beginnings if len(b) < 16}) == sum(len(beginnings[k]) < 16 for k in only)
+
+    counted = []
+    monkeypatch.setattr(context_mixing, "learned", lambda portion, *more: counted.append(len(portion[0])))
+    tables = [np.zeros(2 << b, np.uint32) for b in context_mixing.BITS]
+    every = np.ones(len(words.uses), bool)
+    context_mixing.gather(words, code, words.uses.astype(np.uint32), every, tables, None, None, None)
+    whole = [np.zeros(2 << b, np.uint32) for b in context_mixing.BITS]
+    decided = 0
+    for word, bit, slots in context_mixing.decisions(words, code):
+        decided += len(word)
+        for table, slot in zip(whole, slots, strict=True):
+            np.add.at(table, slot * 2 + bit, words.uses[word].astype(np.uint32))
+    assert all((a == b).all() for a, b in zip(tables, whole, strict=True))
+    assert sum(counted) < 0.6 * decided
