@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +181,50 @@ def test_what_words_begin_with_alike_is_computed_once(monkeypatch):
             np.add.at(table, slot * 2 + bit, words.uses[word].astype(np.uint32))
     assert all((a == b).all() for a, b in zip(tables, whole, strict=True))
     assert sum(counted) < 0.6 * decided
+
+
+def test_scoring_a_portion_costs_what_the_portion_holds(monkeypatch):
+    """Sums made while a block is scored have about as many places as the block has symbols, however many portions it makes."""
+    monkeypatch.setattr(context_mixing, "DECISIONS", 50)
+    words = context_mixing.Words(pa.table({"text": [t for _, t, _ in corpus(100)]}))
+    code = context_mixing.huffman(np.append(words.byte_counts(), [len(words.word), 100]))
+    words.spell(np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
+    rng = np.random.default_rng(1)
+    tables = [context_mixing._stretched(context_mixing.halves(rng.integers(0, 9, (1 << b, 2)).astype(float)), s) for b, s in zip(context_mixing.BITS, (context_mixing._SEEN, context_mixing._SEEN_FOUR, context_mixing._SEEN), strict=True)]
+    made, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *args: made.append(len(out := bincount(*args))) or out)
+    context_mixing.spelled(words, code, tables, context_mixing._start(), np.full(context_mixing.GATES * context_mixing.LEVELS, 0.5))
+    assert len(made) > 20 and sum(made) <= 2 * len(words.symbols)
+
+
+def test_the_group_ahead_is_found_a_group_at_a_time():
+    """As by hand for each text; with many groups no array of all words by all groups is held."""
+    rng = np.random.default_rng(7)
+    texts = [t for _, t, _ in corpus(200)] + [""]
+    for groups in (0, 1, 3, 200):
+        words = context_mixing.Words(pa.table({"text": texts}))
+        known = np.sort(words.hashes.astype(np.int64))[::2]
+        voices = np.round(rng.normal(size=(len(known), groups)) * 4).astype(np.float32)  # whole numbers: sums are exact, ties occur
+        tracemalloc.start()
+        words.spell(known, voices)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 500 * len(words.word)
+        voice = {h: v for h, v in zip(known.tolist(), voices, strict=True)}
+        hashes, at = words.hashes.astype(np.int64).tolist(), 0
+        for text, n in enumerate(words.of_text):
+            sums = np.zeros(groups)
+            for k in range(at, at + n + 1):
+                ahead = int(sums.argmax()) if sums.any() else groups
+                if k < at + n:
+                    pair = words.keys[words.entry[k]]
+                    which = words.word[k : k + 1]
+                    assert pair == context_mixing.B.mix(words.hashes[which] + np.array([ahead], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+                    sums = sums + voice.get(hashes[words.word[k]], np.zeros(groups))
+            assert words.last[text] == len(words.keys) + ahead
+            at += n
+
+
+def test_a_group_of_blank_texts_speaks_for_nothing():
+    voices = context_mixing.voices_of(np.array([3, 4]), np.array([[0.0, 3.0], [0.0, 4.0]]))
+    assert np.isfinite(voices).all() and (voices[:, 0] < voices[:, 1]).all()
