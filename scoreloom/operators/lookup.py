@@ -5,7 +5,8 @@ place first, smallest id last") is written as an ordered list of tiers. Each tie
 is a plain equality lookup; the first tier with a hit wins. The dimension is
 reduced to one id per (tier, key) before the join, so no reference ever meets
 more than one row per tier: work is linear in references and dimension rows, and
-two large groups with the same key are never paired row by row.
+two large groups with the same key are never paired row by row. Neither side is
+broadcast: a dimension row has an entry for each tier, far more than its file shows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.operators.skew import dealt
+
 
 class Tier(NamedTuple):
     """Equality of the paired expressions, on references and dimension rows that qualify."""
@@ -58,7 +61,7 @@ def candidates(
         .agg(F.min(id_col).alias("_found"), F.count("*").alias("_rows"))
     )
     return (
-        wanted.join(index, ["tier", "key"])
+        wanted.join(dealt(index), ["tier", "key"])
         .groupBy(*by)
         .agg(F.min_by("_found", "tier").alias(id_col), F.min("tier").alias("tier"), F.min_by("_rows", "tier").alias("candidates"))
     )

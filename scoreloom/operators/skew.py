@@ -1,4 +1,4 @@
-"""Joins on a key that may hold a large share of the rows, or none."""
+"""Joins on a key that may hold a large share of the rows, or none, and with tables that look smaller than they are."""
 
 from __future__ import annotations
 
@@ -11,6 +11,15 @@ REPORTED, COUNTERS = 64, 4096
 SHARES, PIECES = 1.0, 4
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """One side of a join that grows with the input: both sides are dealt by key, this one is never sent whole to the driver and every task.
+
+    Spark takes a stored table's compressed files for its size, and what is exploded from a row for no more than the row. A side
+    that seems to be below the broadcast threshold can be a hundred times as large when it is gathered.
+    """
+    return df.hint("merge")
+
+
 def heavy_values(df: DataFrame, key: str) -> list:
     """Values of `key` that hold more rows than a task's fair share, at most REPORTED of them; by one pass of a mergeable sketch."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,0 +1,67 @@
+"""Tables that are small in their files and large in memory are not sent whole to the driver and every task."""
+
+import os
+from contextlib import contextmanager
+
+import pytest
+from pyspark.sql import functions as F
+from scoreloom.plans import etl
+
+#: Bytes up to which the session broadcasts in these tests.
+THRESHOLD = 400_000
+INSTITUTIONS = 12_000
+
+
+@contextmanager
+def threshold(spark, size=THRESHOLD):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def stored(df, path):
+    df.coalesce(1).write.parquet(str(path), compression="zstd")
+    assert sum(f.stat().st_size for f in os.scandir(path)) < THRESHOLD, "by its files it would be broadcast"
+    return df.sparkSession.read.parquet(str(path))
+
+
+def joins(df):
+    """How the joins were done in the plan that ran, and the rows."""
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final.count("SortMergeJoin"), final.count("BroadcastExchange"), rows
+
+
+@pytest.fixture(scope="module")
+def institutions(spark, tmp_path_factory):
+    i = F.col("id")
+    text = lambda prefix, col: F.concat(F.lit(prefix), col.cast("string"))
+    made = spark.range(1, INSTITUTIONS + 1).select(
+        i.alias("institution_id"),
+        F.when(i % 3 > 0, text("", i)).alias("edebo_id"),
+        F.when(i % 6 > 0, text("R", i)).alias("edrpou"),
+        text("School #", i).alias("institution_name"),
+        F.lit("School").alias("institution_type"),
+        text("Region ", i % 25).alias("reg_name"),
+        text("District ", i % 4).alias("area_name"),
+        text("Town ", i % 9).alias("ter_name"),
+        F.lit(None).cast("string").alias("parent_governance"),
+    )
+    return stored(made, tmp_path_factory.mktemp("tables") / "institutions")
+
+
+def test_the_entries_of_a_lookup_are_dealt(spark, staging_of, institutions):
+    staging = staging_of(
+        {"eo_name": "School #7", "eo_edeboid": "7"},
+        {"eo_name": "School #9", "eo_edrpou": "R9", "eo_ter_name": "Town 0"},
+        {"eo_name": "School #12", "eo_reg_name": "Region 12", "eo_area_name": "District 0", "eo_ter_name": "Town 3"},
+        {"eo_name": "Nobody", "eo_reg_name": "Region 12"},
+    )
+    with threshold(spark):
+        merged, broadcast, rows = joins(etl.resolve_institutions(staging, institutions).select("eo_name", "institution_id"))
+    assert sorted(map(tuple, rows)) == [("School #12", 12), ("School #7", 7), ("School #9", 9)]
+    assert (merged, broadcast) == (1, 0)
