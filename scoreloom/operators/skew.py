@@ -31,7 +31,7 @@ def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """Join rows to a table with few rows for each key, "inner" or "left"; all columns of both.
 
     Rows of a heavy key are dealt over all tasks, and that key's rows of the right side are repeated for each; all other keys
-    are joined as they are. Rows without a key match nothing: they go past the join, or are dropped by an inner one.
+    are joined as they are, neither side being broadcast. Rows without a key match nothing: they go past the join, or are dropped by an inner one.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
@@ -46,9 +46,9 @@ def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
         known = known.withColumn("_piece", F.when(is_heavy(left_key), F.monotonically_increasing_id() % pieces).otherwise(0).cast("int"))
         copies = F.when(is_heavy(right_key), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
         spread = right.withColumn("_right_piece", F.explode(copies))
-        joined = known.join(spread, (F.col(left_key) == F.col(right_key)) & (F.col("_piece") == F.col("_right_piece")), how).drop("_piece", "_right_piece")
+        joined = known.join(dealt(spread), (F.col(left_key) == F.col(right_key)) & (F.col("_piece") == F.col("_right_piece")), how).drop("_piece", "_right_piece")
     else:
-        joined = known.join(right, F.col(left_key) == F.col(right_key), how)
+        joined = known.join(dealt(right), F.col(left_key) == F.col(right_key), how)
     if how == "inner":
         return joined
     absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]

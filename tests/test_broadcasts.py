@@ -5,7 +5,8 @@ from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
-from scoreloom.plans import etl
+from scoreloom.operators.skew import spread_join
+from scoreloom.plans import etl, marts
 
 #: Bytes up to which the session broadcasts in these tests.
 THRESHOLD = 400_000
@@ -65,3 +66,24 @@ def test_the_entries_of_a_lookup_are_dealt(spark, staging_of, institutions):
         merged, broadcast, rows = joins(etl.resolve_institutions(staging, institutions).select("eo_name", "institution_id"))
     assert sorted(map(tuple, rows)) == [("School #12", 12), ("School #7", 7), ("School #9", 9)]
     assert (merged, broadcast) == (1, 0)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_spread_join_deals_its_right_side(spark, institutions, how):
+    people = spark.range(3_000).select(F.col("id").alias("person"), F.when(F.col("id") % 3 > 0, F.col("id") + 1).alias("place"))
+    with threshold(spark):
+        for heavy in ([], [2]):
+            merged, broadcast, rows = joins(spread_join(people, institutions, "place", "institution_id", how, heavy))
+            assert (merged, broadcast) == (1, 0)
+            assert len(rows) == {"inner": 2_000, "left": 3_000}[how]
+            assert all(r["institution_id"] == r["place"] for r in rows)
+
+
+def test_people_meet_their_institutions_by_key(spark, institutions):
+    people = spark.range(2_000).select(
+        F.col("id").cast("string").alias("out_id"), F.lit("x").alias("participant_status"), F.lit("y").alias("ter_type"), F.lit("z").alias("gender"), (F.col("id") + 1).alias("institution_id")
+    )
+    with threshold(spark):
+        merged, broadcast, rows = joins(marts.located_people(people, institutions))
+    assert (merged, broadcast, len(rows)) == (1, 0, 2_000)
+    assert all(r["institution_name"] == f"School #{r['institution_id']}" for r in rows)
