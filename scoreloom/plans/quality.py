@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from scoreloom import schemas
 from scoreloom.functions.text import has_value, is_uuid, packed_id, try_parse_score
 from scoreloom.operators.lookup import attach_lookup
+from scoreloom.operators.skew import dealt
 from scoreloom.plans.etl import REFERENCE, TIERS_BY_CODE, TIERS_BY_ID, resolve_institutions
 
 RESOLVED_BY_ID = "id"
@@ -103,11 +104,12 @@ def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def foreign_key_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Child rows without a parent, per foreign key. Rows are counted per key before the join."""
+    """Child rows without a parent, per foreign key. Rows are counted per key before the join, and so lie by key when the parents come."""
     reports = []
     for child, column, parent, parent_column in schemas.FOREIGN_KEYS:
         per_key = tables[child].groupBy(_short(tables[child], column).alias("_key")).agg(F.count("*").alias("_rows"))
-        orphans = foreign_key(per_key, "_key", tables[parent].select(_short(tables[parent], parent_column).alias("_id")), "_id")
+        parents = tables[parent].select(_short(tables[parent], parent_column).alias("_id"))
+        orphans = foreign_key(per_key, "_key", dealt(parents), "_id")
         reports.append(
             orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations")).select(
                 F.lit(child).alias("table_name"), F.lit(f"{column} in {parent}").alias("rule"), "violations"

@@ -5,8 +5,11 @@ from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
+from scoreloom import fixed_values as fv
+from scoreloom import schemas
+from scoreloom.operators.lookup import attach_lookup
 from scoreloom.operators.skew import spread_join
-from scoreloom.plans import etl, marts
+from scoreloom.plans import etl, marts, quality, quarantine, resilience
 
 #: Bytes up to which the session broadcasts in these tests.
 THRESHOLD = 400_000
@@ -87,3 +90,51 @@ def test_people_meet_their_institutions_by_key(spark, institutions):
         merged, broadcast, rows = joins(marts.located_people(people, institutions))
     assert (merged, broadcast, len(rows)) == (1, 0, 2_000)
     assert all(r["institution_name"] == f"School #{r['institution_id']}" for r in rows)
+
+
+def test_parents_meet_the_counts_of_a_foreign_key_by_key(spark, institutions):
+    exams = spark.range(1_000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("out_id"), F.lit("Ukr").alias("subject_code"))
+    people = exams.select("out_id", F.expr(f"hash(out_id) % 50 + {INSTITUTIONS}").cast("long").alias("institution_id"))
+    subjects = schemas.subjects_df(spark)
+    with threshold(spark):
+        merged, broadcast, rows = joins(quality.foreign_key_report({"institutions": institutions, "participants": people, "exam_results": exams, "subjects": subjects}))
+    known = people.where(f"institution_id between 1 and {INSTITUTIONS}").count()
+    assert {r["rule"]: r["violations"] for r in rows} == {"institution_id in institutions": 1_000 - known, "out_id in participants": 0, "subject_code in subjects": 0}
+    assert 0 < known < 1_000 and merged > 0 and broadcast == 0
+
+
+def test_resolved_references_meet_people_by_key(spark, institutions):
+    by = ["eo_name", "eo_ter_name"]
+    mapping = institutions.select(F.col("institution_name").alias(by[0]), F.nullif("ter_name", F.lit("Town 3")).alias(by[1]), "institution_id")
+    people = spark.createDataFrame([("School #12", None), ("School #13", "Town 4"), ("School #13", None), (None, None)], "eo_name string, eo_ter_name string")
+    with threshold(spark):
+        merged, broadcast, rows = joins(attach_lookup(people, mapping, by, ["institution_id"]))
+    assert sorted(r["institution_id"] or 0 for r in rows) == [0, 0, 12, 13]
+    assert (merged, broadcast) == (1, 0)
+
+
+def test_names_meet_the_list_of_schools_by_key(spark, profiles_of, institutions):
+    student = {"macro_location": fv.LOCATION_VILLAGE, "institution_id": 7, "mandatory_avg_score": 150.25}
+    profiles = profiles_of(*[student] * 12, {**student, "macro_location": fv.LOCATION_CITY})
+    with threshold(spark):
+        merged, broadcast, rows = joins(resilience.rural_schools(profiles, institutions))
+    assert [(r["institution_id"], r["institution_name"], r["total_students"]) for r in rows] == [(7, "School #7", 12)]
+    assert (merged, broadcast) == (1, 0)
+
+
+def test_references_meet_their_parents_by_key(spark, institutions):
+    people = spark.range(500).select((F.col("id") * 100).alias("institution_id"))
+    with threshold(spark):
+        merged, broadcast, rows = joins(quarantine.missing_parents(people, "institution_id", institutions, "institution_id"))
+    assert sorted(r[0] for r in rows) == [0, *range(INSTITUTIONS + 100, 50_000, 100)]
+    assert (merged, broadcast) == (1, 0)
+
+
+def test_many_marks_meet_the_rows_by_key(spark, institutions, monkeypatch):
+    rows, marks = spark.range(5_000).withColumnRenamed("id", "k"), institutions.select(F.col("institution_id").alias("k")).where("k % 2 = 0")
+    for few, expected in ((INSTITUTIONS // 2, 0), (INSTITUTIONS // 2 - 1, 1)):
+        monkeypatch.setattr(quarantine, "FEW_MARKS", few)
+        with threshold(spark):
+            merged, broadcast, got = joins(quarantine._marked(rows, marks, "k", "_seen"))
+        assert {r["k"] for r in got if r["_seen"]} == set(range(2, 5_000, 2)) and len(got) == 5_000
+        assert (merged, broadcast) == (expected, 1 - expected)
