@@ -10,6 +10,7 @@ from scoreloom.functions import rules
 from scoreloom.functions.conditional import any_where, count_where, sum_where
 from scoreloom.functions.numeric import cv, exact_avg, half_up, iqr, pct, percentile_cont, pg_round
 from scoreloom.operators import benchmarks, share
+from scoreloom.operators.skew import dealt
 from scoreloom.operators.value_counts import value_counts
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -112,11 +113,11 @@ def _ranked_schools(profiles: DataFrame, min_students: int) -> DataFrame:
 def rural_schools(
     profiles: DataFrame, institutions: DataFrame, min_students: int = fv.MIN_STUDENTS_PER_SCHOOL
 ) -> DataFrame:
-    """The ranked list of schools. Names join on after the aggregation."""
+    """The ranked list of schools. Names join on after the aggregation, by whose key the schools then lie."""
     ranked = _ranked_schools(profiles, min_students)
     names = institutions.select("institution_id", "institution_name", "reg_name", "institution_type")
     return (
-        ranked.join(names, "institution_id")
+        ranked.join(dealt(names), "institution_id")
         .select(
             "institution_id",
             "institution_name",
