@@ -78,4 +78,4 @@ def attach_lookup(df: DataFrame, mapping: DataFrame, by: list[str], values: list
     """Left join of a tuple mapping back onto rows; NULL parts of the tuple match NULL."""
     renamed = mapping.select(*[F.col(c).alias(f"_ref_{c}") for c in by], *values)
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_ref_{c}")) for c in by])
-    return df.join(renamed, same, "left").drop(*[f"_ref_{c}" for c in by])
+    return df.join(dealt(renamed), same, "left").drop(*[f"_ref_{c}" for c in by])
