@@ -19,11 +19,14 @@ from pyspark.sql import types as T
 
 from scoreloom import schemas
 from scoreloom.functions.text import has_value, is_uuid, packed_id, try_parse_score, unpacked_id
+from scoreloom.operators.skew import dealt
 from scoreloom.sources.scratch import COMPRESSION, written
 
 ORDER = ["staging", "subjects", "institutions", "participants", "exam_results"]
 SCORE_FIELDS = [f"{s.prefix}_{part}" for s in schemas.SUBJECTS for part in ("ball100", "ball")]
 BROKEN = "broken_rules"
+#: Marks up to this number may be sent to all tasks, where their files are small as well; more are always joined by key.
+FEW_MARKS = 1 << 19
 
 
 class Rule(NamedTuple):
@@ -44,9 +47,10 @@ class Judged(NamedTuple):
 def _marked(df: DataFrame, marks: DataFrame, column: str, mark: str) -> DataFrame:
     """The rows with a flag that says whether their value is among the marked ones; marks are few, values may be hot.
 
-    Marks are stored first. Then their size is known, and where they are few indeed the rows are neither dealt nor sorted to meet them.
+    Marks are stored first. Then they can be counted, and where they are few indeed the rows are neither dealt nor sorted to meet them.
     """
     marks = written(marks, "marks").select(F.col(column).alias(f"_{mark}_value"), F.lit(True).alias(mark))
+    marks = dealt(marks) if marks.count() > FEW_MARKS else marks
     return df.join(marks, F.col(column) == F.col(f"_{mark}_value"), "left").drop(f"_{mark}_value")
 
 
@@ -67,7 +71,7 @@ def missing_parents(child: DataFrame, column: str, parent: DataFrame, parent_col
     there, back = _forms(child, column)
     wanted = child.filter(F.col(column).isNotNull()).select(there(F.col(column)).alias("_wanted")).distinct()
     parents = parent.select(there(F.col(parent_column)).alias("_parent")).distinct()
-    return wanted.join(parents, F.col("_wanted") == F.col("_parent"), "left_anti").select(back(F.col("_wanted")).alias(column))
+    return wanted.join(dealt(parents), F.col("_wanted") == F.col("_parent"), "left_anti").select(back(F.col("_wanted")).alias(column))
 
 
 def rules_of(table: str) -> list[Rule]:
